@@ -6,7 +6,7 @@ import importlib
 
 from clauselake.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ["search", "structure"]
+MODULES = ["search", "structure", "cleaning"]
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -291,7 +291,7 @@ def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("parse_title", r"""
-WITH t AS (SELECT p_partkey, p_brand, 'GB:T' || CAST(50000 + p_partkey AS VARCHAR) || '—20' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS code, p_name FROM part),
+WITH t AS (SELECT p_partkey, p_brand, 'GB:T' || CAST(50000 + p_partkey AS VARCHAR) || '—20' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS code, p_name, p_size FROM part),
 f AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_name ELSE code || ' 《' || p_name || '》.pdf' END AS file_name, code, p_name, p_size FROM t)
 SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN p_size % 5 = 0 THEN '' ELSE replace(replace(code, 'GB:T', 'GB/T '), '—', '-') END AS code,

@@ -305,3 +305,25 @@ PROSE_ROUTES = RouteProfile(
     compound=r"(?i)([a-z]{4,} and [a-z]{4,}|[a-z]{4,} et [a-z]{4,}|[a-z]{4,} und [a-z]{4,})",
     specific=r"(?i)( for | sur | auf | para )",
 )
+
+# stand-ins for prose
+PROSE_REPAIRS = {"thth": "th", "eaux": "eau", "schsch": "sch", "eau eau": "eau", "ciónció": "ción", "ingin": "inging"}
+PROSE_UNIT = r"([a-z])tion([ .,])"
+PROSE_UNIT_REPLACEMENT = "$1sion$2"
+PROSE_FURNITURE = [
+    "The and attion to thanedble the, anea. Eriner thanea.", "En laleenéelle la des et. Enmentai. Réleou eauoué.",
+    "Nicht aulich für sch erüver enau sch der.", "Erreth was ofretihaou the that edouhe.", "And ornd.",
+    "And therhean is the is esndha reedes ha.", "In in oredble ea.",
+]
+PROSE_FURNITURE_KEYWORDS = ["Licensed", "reserved", "thanedble", "And "]
+PROSE_PAGE_NUMBER = r"^\S{1,12}$"
+PROSE_ERRORS = {"thth": "th", "eaux": "eau", "schsch": "sch", "Licensed": "licensed"}
+PROSE_PUNCTUATION_RUN = r"\.{3,}|,{3,}|\*{3,}|%{3,}|#{3,}|!{3,}|\${3,}"
+PROSE_ZERO_MIXUP = r"[0-9][oO]"
+PROSE_ONE_MIXUP = r"[lI][0-9]"
+PROSE_MIXED_RUN = r"[a-z]{2,}[éèêçñóüöäß]{2,}[a-z]{2,}"
+PROSE_USUAL = r"[\x{00}-\x{7f}éèêçñóíüöäßÉÈÇÜÖÄ]"
+PROSE_UNIT_DROPS = [(r"([a-z]+)sh the", "$1sh of the"), (r"der ([a-z]+) die", "der $1, die")]
+PROSE_NUMBER_LETTER = r"[a-z]+\$+[a-z]|[0-9]+-[0-9]"
+PROSE_SUSPICIOUS = {"ndnd": "nd", "ê": "é"}
+PROSE_SUSPICIOUS_CONTEXTS = ["{}re", "ou{}", "{}th"]
