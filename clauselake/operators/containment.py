@@ -30,7 +30,7 @@ def _char_grams(col: Column, n: int) -> Column:
 def containing(
     docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "query_id"
 ) -> DataFrame:
-    """(passage, document) pairs where the document text holds the passage text.
+    """(passage, document, pos): where the document text holds the passage text, and its first place.
 
     The first and last word of a passage may be cut, but every inner run of words must appear in the document,
     so pairs meet on one inner four-word run (the longest) and only those are compared in full.  Passages too
@@ -67,4 +67,5 @@ def _meet(
     else:  # keep the text out of the shuffle by run and fetch it for the candidates
         runs = docs.select(doc_id, F.explode_outer(grams).alias("_gram"))
         pairs = runs.join(passages, "_gram").join(docs.select(doc_id, "_text"), doc_id)
-    return pairs.filter(F.contains("_text", "_passage")).select(passage_id, doc_id)
+    at = F.instr("_text", F.col("_passage"))
+    return pairs.select(passage_id, doc_id, at.alias("pos")).filter(F.col("pos") > 0)

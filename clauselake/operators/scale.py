@@ -135,3 +135,18 @@ def index_percentiles(
         .filter(F.col("_upto") > F.col("_at"))
         .groupBy(*keys, "p").agg(F.first("n").alias("n"), F.min(value).alias(value))
     )
+
+
+def in_blocks(df: DataFrame, keys: Sequence[str], pos: str, before: int, width: int = BLOCK) -> DataFrame:
+    """Adds _blk and _copy so that a frame of `before` preceding rows can be computed inside (keys, _blk).
+
+    pos numbers the rows of a key without gaps.  The last `before` rows of a block are copied into the next one;
+    rows with _copy set only feed frames and must be filtered out afterwards.
+    """
+    blk = F.floor((F.col(pos) - 1) / width)
+    near_end = (F.col(pos) - 1) % width >= width - before
+    places = F.when(near_end, F.array(F.struct(blk.alias("_blk"), F.lit(False).alias("_copy")),
+                                      F.struct((blk + 1).alias("_blk"), F.lit(True).alias("_copy")))).otherwise(
+        F.array(F.struct(blk.alias("_blk"), F.lit(False).alias("_copy")))
+    )
+    return df.select("*", F.inline(places))

@@ -318,12 +318,7 @@ def contam_share(spark: SparkSession, sf: str) -> DataFrame:
     """Documents holding a benchmark passage by language, and those where it starts near the top."""
     docs = read_documents(spark, sf, "lang", "text")
     passages = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    pairs = containing(docs, passages)
-    placed = (
-        pairs.join(docs.select("doc_id", "text"), "doc_id")
-        .join(passages.withColumnRenamed("text", "passage"), "query_id")
-        .groupBy("doc_id").agg(F.min(F.instr("text", F.col("passage"))).alias("pos"), F.count("*").alias("n"))
-    )
+    placed = containing(docs, passages).groupBy("doc_id").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     return docs.select("doc_id", "lang").join(placed, "doc_id", "left").groupBy("lang").agg(
         F.count("*").alias("n_docs"), F.count("n").alias("n_affected"),
         F.round(F.count("n") / F.count("*"), 6).alias("share"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_passages"),

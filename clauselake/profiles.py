@@ -244,9 +244,9 @@ PROSE_TRIAGE = TriageProfile(
     out_of_scope=["ouè", "schau", "thre"],
     question_words=[" the ", " la ", " die ", " que "],
     concrete_words=["tion", "ment", "ung", "keit", "ing", "ent", "ción"],
-    deprecated_code=r"(?i)[a-z]{2}st [a-z]+ (?:in|of|der|le)",
+    deprecated_code=r"(?i)[a-z]*st (?:in|of|der|die|ach)",
     deprecated=[("enst in", "enst of", "first", "2018"), ("st der", "st die", "second", "2014"),
-                ("whst in", "whst of", "third", "2022")],
+                ("whst of", "whst in", "third", "2022"), ("st die", "st der", "fourth", "2020")],
     max_length=350, scope_length=120, very_short=40, mid_length=120,
 )
 
