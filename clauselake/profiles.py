@@ -327,3 +327,102 @@ PROSE_UNIT_DROPS = [(r"([a-z]+)sh the", "$1sh of the"), (r"der ([a-z]+) die", "d
 PROSE_NUMBER_LETTER = r"[a-z]+\$+[a-z]|[0-9]+-[0-9]"
 PROSE_SUSPICIOUS = {"ndnd": "nd", "ê": "é"}
 PROSE_SUSPICIOUS_CONTEXTS = ["{}re", "ou{}", "{}th"]
+
+# fixed values: second-level groups of the standards, by code
+SUBCATEGORIES = {
+    "GB 50180-2018": "居住社区", "GB/T 47131.1-2026": "居住社区",
+    "CJJ/T 87-2020": "公共设施", "GB 50437-2007": "公共设施", "GB 50442-2008": "公共设施",
+    "GB 50442 - 20XX": "公共设施", "GB 55028-2022": "公共设施",
+    "CJJ/T 314-2022": "交通市政", "DB 31T 1557-2025": "交通市政", "GB 50318-2017": "交通市政",
+    "GB/T 50546-2018": "交通市政", "GB/T 51328-2018": "交通市政", "GB/T 51402-2021": "交通市政",
+    "GB/T 51439-2021": "交通市政",
+    "GB 51287-2018": "绿地生态", "GB 51411-2020": "绿地生态", "GB/T 51329-2018": "绿地生态",
+    "GB/T 51346-2019": "绿地生态",
+    "GB/T 50298-2018": "历史风景", "GB/T 50357-2018": "历史风景",
+    "历史文化名城名镇名村保护条例(2017修正)": "历史风景",
+    "GB/T 51327-2018": "防灾地下", "GB/T 51358-2019": "防灾地下", "建标[2012]192号": "防灾地下",
+    "CJ/T 553-2024": "数据术语", "CJJ/T 199-2013": "数据术语", "GB/T 39972-2021": "数据术语",
+    "GB/T 43214-2023": "数据术语", "JGJ/T 30-2015": "数据术语",
+    "CJJ 193-2012": "道路工程", "CJJ 194-2013": "道路工程", "CJJ 221-2015": "道路工程", "CJJ 36-2016": "道路工程",
+    "GB 55011-2021": "道路工程",
+    "CJJ 45-2015": "城市照明", "CJJ/T 307-2019": "城市照明",
+    "GB 51222-2017": "给水排水", "GB/T 51293-2018": "给水排水",
+    "GB 50838-2015": "综合管廊", "GB 51354-2019": "综合管廊",
+    "GB/T 50293-2014": "能源供热", "GB/T 51074-2015": "能源供热", "GB/T 51357-2019": "能源供热",
+    "CJJ 52-2014": "环卫与其他", "CJJ/T 100-2017": "环卫与其他", "CJJ/T 149-2021": "环卫与其他",
+    "建标函[2004]43号": "环卫与其他",
+    "GB 50368-2005": "居住建筑", "JGJ 286-2013": "居住建筑", "GB/T 21741-2021": "居住建筑",
+    "JGJ 39-2016": "教育建筑", "JGJ 76－2019": "教育建筑", "JGJ/T 280-2012": "教育建筑",
+    "城市普通中小学校校舍建设标准": "教育建筑", "建标 109-2008": "教育建筑", "建标 192-2018号": "教育建筑",
+    "GB 51039-2014": "医疗养老", "GB 50867-2013": "医疗养老",
+    "JGJ/T 41-2014": "文化体育", "公共美术馆建设标准": "文化体育", "GB/T 50948-2013": "文化体育",
+    "GB 50033-2013": "光环境", "GB/T 50034-2024": "光环境",
+    "GB 55031-2022": "通用与无障碍", "GB 50763-2012": "通用与无障碍", "CJJ 14-2016": "通用与无障碍",
+    "JGJ/T 245-2024": "通用与无障碍",
+    "CJJ/T 75-2023": "绿地设计", "DB 5301:T 21-2019": "绿地设计", "CJJ/T 308-2021": "绿地设计",
+    "CJ/T 24-2018": "种植养护", "CJJ/T 287-2018": "种植养护", "CJJ/T 292-2018": "种植养护",
+    "GB/T 51168-2016": "种植养护",
+    "GB 55014-2021": "工程与管控", "GB/T 51163-2016": "工程与管控",
+    "CJJ/T 171-2012": "标志与术语", "CJJ/T 91-2017": "标志与术语", "CJJ/T 237-2016": "标志与术语",
+}
+SUBCATEGORY_ORDER = {
+    "规划": ["居住社区", "公共设施", "交通市政", "绿地生态", "历史风景", "防灾地下", "数据术语"],
+    "市政": ["道路工程", "城市照明", "给水排水", "综合管廊", "能源供热", "环卫与其他"],
+    "建筑": ["居住建筑", "教育建筑", "医疗养老", "文化体育", "光环境", "通用与无障碍"],
+    "景观": ["绿地设计", "种植养护", "工程与管控", "标志与术语"],
+}
+UNCLASSIFIED = "未分类"
+SUBDIVIDE_MIN = 8
+
+# fixed values: domain of a source file by the longest matching name prefix
+DOMAIN_PREFIXES = {
+    "规划": [
+        "CJJ:T199-2013", "CJJ:T314-2022", "DB31T+1557-2025", "GB 50180-2018", "GB50180-2018", "GB50318-2017",
+        "GB50437-2007", "GB50442", "GB:T50298-2018", "GB:T50357-2018", "GB:T50546-2018", "GB:T51327-2018",
+        "GB:T51328-2018", "GB:T51346-2019", "GB:T51402-2021", "GB:T51439-2021", "GBT+39972-2021", "GBT+43214-2023",
+        "GBT+47131.1-2026", "上海市", "CJ:T553-2024", "CJJ:T87—2020", "GB 55028-2022", "GB50442-2008",
+        "GB:T51329-2018", "GB:T51358—2019", "建标[2012]192号", "JGJ:T30-2015", "GB51287-2018", "GB51411—2020",
+        "《历史文化名城名镇名村保护条例》(2017年修正_可搜索.pdf",
+    ],
+    "建筑": [
+        "GB 50368-2005", "GB 55031-2022", "GB50033-2013", "GB50867-2013", "GB51039-2014", "GB:T50034-2024",
+        "GBT+21741-2021", "JGJ39-2016《托儿所、幼儿园建筑设计规范》(2019年版)", "JGJ76", "JGJ286-2013",
+        "JGJ:T245-2024", "建标 109", "建标192", "建标 109—2008", "CJJ14-2016", "GB50763-2012", "GB:T50948-2013",
+        "JGJ:T280-2012", "JGJ:T41-2014", "建标192—2018号", "《公共美术馆建设标准》_可搜索.pdf",
+        "《城市普通中小学校校舍建设标准》_可搜索.pdf",
+    ],
+    "景观": [
+        "CJ:T24-2018", "CJJ:T75-2023", "CJJ:T91-2017", "CJJ:T287-2018", "CJJ:T308-2021", "DB5301:T 21",
+        "GB 55014-2021", "CJJ:T171-2012", "CJJ:T237-2016", "CJJ:T292-2018", "GB:T51163-2016", "GB:T51168-2016",
+    ],
+    "消防": [
+        "GB 55037-2022", "DB31T+1695-2026", "WW:T 0125", "GB 55036-2022", "GB50067-2014", "建标[2015]273号",
+    ],
+    "结构": ["CJJ:T301-2020", "JGJ99-2015", "JGJ:T259-2012", "JGJ:T415-2017"],
+    "市政": [
+        "CJJ193-2012", "CJJ194-2013", "CJJ221-2015", "CJJ36-2016", "CJJ45-2015", "CJJ52-2014", "CJJ:T100-2017",
+        "CJJ:T149-2021", "CJJ:T307-2019", "GB50838-2015", "GB51354-2019", "GB55011-2021", "GB:T50293-2014",
+        "GB:T51074-2015", "GB:T51293-2018", "GB:T51357-2019", "建标函[2004]43号",
+        "GB51222-2017城镇内涝防治技术规范》_可搜索.pdf",
+    ],
+}
+EXCLUDED_FILES = ["JGJ39-2016《托儿所、幼儿园建筑设计规范》_可搜索.pdf"]
+FILE_OVERRIDES = {
+    "上海市“15分钟社区生活圈”行动工作导引》.pdf": ("沪规划资源（2021）", "上海市15分钟社区生活圈行动工作导引"),
+    "GB51222-2017城镇内涝防治技术规范》_可搜索.pdf": ("GB 51222-2017", "城镇内涝防治技术规范"),
+    "《公共美术馆建设标准》_可搜索.pdf": ("公共美术馆建设标准", "公共美术馆建设标准"),
+    "《历史文化名城名镇名村保护条例》(2017年修正_可搜索.pdf": (
+        "历史文化名城名镇名村保护条例(2017修正)", "历史文化名城名镇名村保护条例"),
+    "《城市普通中小学校校舍建设标准》_可搜索.pdf": (
+        "城市普通中小学校校舍建设标准", "城市普通中小学校校舍建设标准"),
+}
+IN_FORCE = "现行"
+TIERS = [("国标", "GB"), ("行标", ""), ("地标", "DB")]
+
+# stand-ins for prose: groups of brands, their order per part type
+PROSE_GROUPS = {f"Brand#{i}": ["metal", "wood", "glass", "paper"][i % 4] for i in range(1, 21)}
+PROSE_GROUP_ORDER = {"PROMO": ["glass", "metal", "wood"], "LARGE": ["wood", "paper", "metal", "glass"]}
+PROSE_PREFIXES = {
+    "web": ["http://", "https://"], "mobile": ["http://m.", "https://m."],
+    "journal": ["https://blog.", "http://blog."], "junk": ["https://spam", "http://spam"],
+}
