@@ -78,8 +78,8 @@ def near_clauses(missing: DataFrame, labels: DataFrame, request_id: str = "reque
             F.transform(F.sequence(F.lit(0), F.length("clause")), lambda n: F.col("clause").substr(F.lit(1), n))
         ).alias("lead"),
     )
-    hits = wanted.join(starts, ["code_key", "lead"])
-    return top_k(hits, [request_id], [F.col("hint")], HINTS, "hint_no").select(request_id, "hint_no", "hint")
+    first = top_k(starts, ["code_key", "lead"], [F.col("hint")], HINTS, "hint_no")
+    return wanted.join(first, ["code_key", "lead"]).select(request_id, "hint_no", "hint")
 
 
 def with_status(df: DataFrame, code: str, statuses: DataFrame) -> DataFrame:
