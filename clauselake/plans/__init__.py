@@ -6,7 +6,7 @@ import importlib
 
 from clauselake.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ["search", "structure", "cleaning", "dialogue", "lookup", "checks", "metrics"]
+MODULES = ["search", "structure", "cleaning", "dialogue", "lookup", "checks", "metrics", "flow"]
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
