@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,17 @@ def _char_grams(col: Column, n: int) -> Column:
 
 
 def containing(
-    docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "query_id"
+    docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "query_id",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(passage, document, pos): where the document text holds the passage text, and its first place.
+    """(passage, document, pos, carried document columns): where the document text holds the passage text, and its first place.
 
     The first and last word of a passage may be cut, but every inner run of words must appear in the document,
     so pairs meet on one inner four-word run (the longest) and only those are compared in full.  Passages too
     short for that meet on a run of up to three characters.
     """
-    docs = docs.select(doc_id, F.col("text").alias("_text"))
+    docs = docs.select(doc_id, *carry, F.col("text").alias("_text"))
+    kept = [doc_id, *carry]
     split = passages.select(
         passage_id, F.col("text").alias("_passage"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_w")
     ).withColumn("_grams", _word_grams(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), GRAM))
@@ -47,25 +51,26 @@ def containing(
         passage_id, "_passage"
     )
     worded = docs.withColumn("_w", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    found = _meet(worded, _word_grams(F.col("_w"), GRAM), long_ones, size, doc_id, passage_id)
+    found = _meet(worded, _word_grams(F.col("_w"), GRAM), long_ones, size, kept, passage_id)
     lengths = short_ones.select(F.least(F.length("_passage"), F.lit(3)).alias("n")).distinct()
     for n in sorted(r["n"] for r in lengths.collect()):  # at most 1, 2 and 3
         some = short_ones.filter(F.least(F.length("_passage"), F.lit(3)) == n).withColumn(
             "_gram", F.substring("_passage", 1, n)
         )
-        found = found.union(_meet(docs, _char_grams(F.col("_text"), n), some, size, doc_id, passage_id))
+        found = found.union(_meet(docs, _char_grams(F.col("_text"), n), some, size, kept, passage_id))
     return found
 
 
 def _meet(
-    docs: DataFrame, grams: Column, passages: DataFrame, size: int, doc_id: str, passage_id: str
+    docs: DataFrame, grams: Column, passages: DataFrame, size: int, kept: list[str], passage_id: str
 ) -> DataFrame:
     """Pairs sharing the passage's run, then checked in full."""
     if size <= BROADCAST_ROWS:
-        runs = docs.select(doc_id, "_text", F.explode_outer(grams).alias("_gram"))
+        runs = docs.select(*kept, "_text", F.explode_outer(grams).alias("_gram"))
         pairs = runs.join(broadcast_if(passages, size), "_gram")
     else:  # keep the text out of the shuffle by run and fetch it for the candidates
+        doc_id = kept[0]
         runs = docs.select(doc_id, F.explode_outer(grams).alias("_gram"))
-        pairs = runs.join(passages, "_gram").join(docs.select(doc_id, "_text"), doc_id)
+        pairs = runs.join(passages, "_gram").join(docs.select(*kept, "_text"), doc_id)
     at = F.instr("_text", F.col("_passage"))
-    return pairs.select(passage_id, doc_id, at.alias("pos")).filter(F.col("pos") > 0)
+    return pairs.select(passage_id, *kept, at.alias("pos")).filter(F.col("pos") > 0)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.operators.lexical import term_counts
@@ -106,8 +106,8 @@ def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -
         term_counts(docs, [id_col], text_col).withColumn("bucket", hash_bucket(F.col("term"), dim))
         .groupBy(id_col, "bucket").agg(F.sum("tf").cast("double").alias("w"))
     )
-    lengths = folded.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return folded.join(lengths, id_col).select(id_col, "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return folded.select(id_col, "bucket", (F.col("w") / length).alias("weight"))
 
 
 def encode(

@@ -67,6 +67,16 @@ def first_hits(hits: DataFrame, truth: DataFrame, queries: DataFrame, key: str =
     return queries.select(key).join(matched, key, "left")
 
 
+def expected_hits(hits: DataFrame, truth: DataFrame, key: str = "query_id") -> DataFrame:
+    """The same ranks for the queries that have an expectation, reading the expectations once."""
+    left = hits.select(key, "rank", norm_code(F.col("code"), "a").alias("_c"), F.col("clause").alias("_actual"))
+    right = truth.select(key, norm_code(F.col("code"), "a").alias("_c"), F.col("clause").alias("_want"))
+    return right.join(left, [key, "_c"], "left").groupBy(key).agg(
+        F.min(F.when(clause_match(F.col("_want"), F.col("_actual")), F.col("rank"))).alias("rank_strict"),
+        F.min("rank").alias("rank_loose"),
+    )
+
+
 def metrics(suffixes: Sequence[str] = ("strict", "loose")) -> list[Column]:
     """Count, Hit@5, Hit@10 and mean reciprocal rank of rank_<suffix> columns."""
     out = [F.count("*").alias("n")]

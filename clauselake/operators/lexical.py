@@ -55,16 +55,6 @@ class LexicalIndex:
     corpus: DataFrame
     id_col: str = "doc_id"
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Persist the three tables; postings are range-clustered by term so a query reads few files."""
-        self.postings.repartitionByRange(buckets, "term", self.id_col).sortWithinPartitions("term").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/postings")
-        self.terms.repartitionByRange(max(1, buckets // 8), "term").sortWithinPartitions("term").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/terms")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-
     @classmethod
     def read(cls, spark: SparkSession, path: str, id_col: str = "doc_id") -> LexicalIndex:
         """Index written before."""
@@ -72,17 +62,42 @@ class LexicalIndex:
         return cls(*parts, id_col=id_col)
 
 
+def _statistics(docs: DataFrame, postings: DataFrame, id_col: str) -> LexicalIndex:
+    """Index over given postings; documents without words count for n_docs and avgdl only."""
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    n_docs = docs.agg(F.count("*")).scalar()
+    corpus = postings.agg(F.sum("tf").alias("_words")).select(
+        n_docs.alias("n_docs"), (F.coalesce("_words", F.lit(0)) / n_docs).alias("avgdl")
+    )
+    return LexicalIndex(postings, terms, corpus, id_col)
+
+
 def build_index(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokenizer: Callable[[Column], Column] = tokens,
 ) -> LexicalIndex:
-    """Index over all documents; those without words count for n_docs and avgdl only."""
+    """Index over all documents, as plans."""
+    return _statistics(docs.select(id_col), term_counts(docs, [id_col], text_col, tokenizer), id_col)
+
+
+def write_index(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+    tokenizer: Callable[[Column], Column] = tokens, clustered: bool = False,
+) -> LexicalIndex:
+    """Index written as three tables: texts are cut into words once, statistics come from the written postings.
+
+    Plain postings keep the order of the documents and need no shuffle.  Clustered ones are range-sorted by
+    term, which pays when many later query sets read only some terms.
+    """
+    spark = docs.sparkSession
     postings = term_counts(docs, [id_col], text_col, tokenizer)
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = docs.select(F.size(tokenizer(F.col(text_col))).alias("_dl")).agg(
-        F.count("*").alias("n_docs"), F.avg("_dl").alias("avgdl")
-    )
-    return LexicalIndex(postings, terms, corpus, id_col)
+    if clustered:
+        postings = postings.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col)
+    postings.write.mode("overwrite").parquet(f"{path}/postings")
+    index = _statistics(docs.select(id_col), spark.read.parquet(f"{path}/postings"), id_col)
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    return LexicalIndex.read(spark, path, id_col)
 
 
 def idf_table(index: LexicalIndex) -> DataFrame:

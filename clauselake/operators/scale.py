@@ -119,8 +119,8 @@ def index_percentiles(
     wanted = sketch.select(*keys, "n", F.inline(F.array(*rows))).withColumn(
         "_at", F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("p")))
     )
-    # every key is in the sketch, and it holds one row per key: a small side by construction
-    joined = counts.join(wanted, list(keys))
+    small = is_small(df.select(*keys).distinct(), BROADCAST_ROWS // len(percentiles))
+    joined = counts.join(F.broadcast(wanted) if small else wanted, list(keys))
     below = (
         joined.filter(F.col(value) < F.col("lo")).groupBy(*keys, "p").agg(F.sum("_c").alias("_below"))
     )

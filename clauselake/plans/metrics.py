@@ -9,7 +9,7 @@ from clauselake.operators import evaluation as ev
 from clauselake.operators import fusion, triage
 from clauselake.operators.containment import containing
 from clauselake.operators.lexical import pair_scores, ranked
-from clauselake.operators.scale import index_percentiles, top_k
+from clauselake.operators.scale import broadcast_if, index_percentiles, top_k
 from clauselake.plans import dialogue, sql
 from clauselake.plans.registry import query
 from clauselake.plans.search import HYBRID, bench_queries, doc_index, hybrid
@@ -31,14 +31,17 @@ def doc_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, doc_id, code, clause): documents that hold the benchmark passage."""
-    pairs = containing(read_documents(spark, sf, "text"), bench_queries(spark, sf)).drop("pos")
-    return pairs.join(doc_codes(spark, sf), "doc_id").select("query_id", "doc_id", "code", "clause")
+    pairs = containing(read_documents(spark, sf, "source", "text"), bench_queries(spark, sf), carry=["source"])
+    return pairs.select(
+        "query_id", "doc_id", F.col("source").alias("code"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("clause")
+    )
 
 
 def bm25_hits(spark: SparkSession, sf: str, score: str = "bm25") -> DataFrame:
     """(query_id, rank, doc_id, code, clause) of the best documents per item."""
-    hits = ranked(pair_scores(doc_index(spark, sf), bench_queries(spark, sf)), score, K)
-    return hits.join(doc_codes(spark, sf), "doc_id").select("query_id", "rank", "doc_id", "code", "clause")
+    queries = bench_queries(spark, sf)
+    hits = broadcast_if(ranked(pair_scores(doc_index(spark, sf), queries), score, K), queries.count() * K)
+    return doc_codes(spark, sf).join(hits, "doc_id").select("query_id", "rank", "doc_id", "code", "clause")
 
 
 def _ranks_sql(name: str, hits: str, truth: str = "truth", keys: str = "bq") -> str:
@@ -119,8 +122,7 @@ def evaluable(spark: SparkSession, sf: str) -> DataFrame:
         "query_id", F.upper(F.substring("text", 1, 1)).alias("domain"),
         F.when(F.length("text") < 200, "short").otherwise("long").alias("difficulty"),
     )
-    known = truth(spark, sf).select("query_id").distinct()
-    return ranks(spark, sf).join(known, "query_id", "left_semi").join(facts, "query_id")
+    return ev.expected_hits(bm25_hits(spark, sf), truth(spark, sf)).join(facts, "query_id")
 
 
 EVALUABLE = f"""{RANKS},
@@ -226,8 +228,6 @@ def combo_matrix(spark: SparkSession, sf: str) -> DataFrame:
     fused = fusion.fuse(runs, "run").select("run.*", "doc_id", "rrf", "first_seen")
     items = bench_queries(spark, sf).withColumnRenamed("text", "query")
     n = items.count() * len(ev.COMBOS) * 3 * 2 * fusion.CANDIDATES
-    from clauselake.operators.scale import broadcast_if
-
     texts = read_documents(spark, sf, "text").join(broadcast_if(fused, n), "doc_id").join(items, "query_id")
     scored = texts.select("combo", "rk", "query_id", "doc_id", "rrf", "first_seen", F.round(fusion.overlap(F.col("query"), F.col("text")), 6).alias("o"))
     best = top_k(

@@ -156,12 +156,12 @@ def line_kinds(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (
   PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS last_signup FROM events""")
 def last_signup(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest signup of the user at each event; busy users are worked on day by day."""
+    """Latest signup of the user at each event; busy users are worked on minute by minute."""
     events = read_table(spark, sf, "events", "event_id", "user_id", "ts", "event_type").withColumn(
         "signup", F.when(F.col("event_type") == "signup", F.col("event_id"))
     )
     out = carry_forward(
-        events, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "signup", "last_signup"
+        events, ["user_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"), "signup", "last_signup"
     )
     return out.select("event_id", "user_id", F.coalesce("last_signup", F.lit(-1)).alias("last_signup"))
 

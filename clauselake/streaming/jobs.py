@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -73,16 +73,32 @@ def drop_repeats(rows: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     return rows.withWatermark(ts, LATENESS).dropDuplicatesWithinWatermark([key])
 
 
-def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "6 hours") -> DataFrame:
-    """Per key and burst of activity: start, end, events and errors."""
-    return events.groupBy(key, F.session_window(ts, gap).alias("s")).agg(
-        F.count("*").alias("n"), F.count_if("is_error").alias("n_errors")
-    ).select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n", "n_errors")
+def sessions(events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = 6 * 3600) -> DataFrame:
+    """Per key and burst of activity: start, end, events and errors of a finished table.
+
+    Events of one minute (or of a shorter gap) are always in one session, so they are summed up before the
+    shuffle and a busy key brings its minutes, not its events, to the window.
+    """
+    micros, gap = 1_000_000, gap_seconds * 1_000_000
+    width = min(60, gap_seconds) * micros
+    at = F.unix_micros(ts)
+    minutes = events.groupBy(key, F.floor(at / width).alias("_m")).agg(
+        F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"), F.count_if("is_error").alias("n_errors")
+    )
+    order = Window.partitionBy(key).orderBy("_m")
+    opens = F.when(F.col("a") - F.lag("b").over(order) < gap, 0).otherwise(1)
+    numbered = minutes.withColumn("_o", opens).withColumn("_s", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "_s").agg(
+        F.timestamp_micros(F.min("a")).alias("session_start"), F.timestamp_micros(F.max("b") + gap).alias("session_end"),
+        F.sum("n").alias("n"), F.sum("n_errors").alias("n_errors"),
+    ).drop("_s")
 
 
 def session_stream(events: DataFrame, key: str, ts: str = "ts", gap: str = "6 hours") -> DataFrame:
     """Sessions over a stream."""
-    return sessions(events.withWatermark(ts, LATENESS), key, ts, gap)
+    return events.withWatermark(ts, LATENESS).groupBy(key, F.session_window(ts, gap).alias("s")).agg(
+        F.count("*").alias("n"), F.count_if("is_error").alias("n_errors")
+    ).select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n", "n_errors")
 
 
 def history_stream(turns: DataFrame, labels: tuple[str, str] = ("用户", "助手")) -> DataFrame:
