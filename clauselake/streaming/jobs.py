@@ -86,7 +86,7 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = 6 *
         F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"), F.count_if("is_error").alias("n_errors")
     )
     order = Window.partitionBy(key).orderBy("_m")
-    opens = F.when(F.col("a") - F.lag("b").over(order) < gap, 0).otherwise(1)
+    opens = F.when(F.col("a") - F.lag("b").over(order) <= gap, 0).otherwise(1)
     numbered = minutes.withColumn("_o", opens).withColumn("_s", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "_s").agg(
         F.timestamp_micros(F.min("a")).alias("session_start"), F.timestamp_micros(F.max("b") + gap).alias("session_end"),
