@@ -125,16 +125,20 @@ def search_paths(scores: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame
 
 def hybrid_stages(
     index: LexicalIndex, variants: DataFrame, docs: DataFrame, candidate_k: int = CANDIDATES,
-    top: int = RERANK_TOP,
+    top: int = RERANK_TOP, store: str | None = None,
 ) -> dict[str, DataFrame]:
     """Stage tables of the multi-variant hybrid search: paths, fused, deduped, reranked.
 
     variants: (query_id, variant_no, text).  docs: (doc_id, code, text).  Only bounded hit lists meet the
-    document texts, and they go to the documents rather than the other way round.
+    document texts, and they go to the documents rather than the other way round.  With a store folder the path
+    hits, a few rows per query, are written there once, for callers that read several stages.
     """
     n_variants = variants.select(F.lit(1)).count()
     wide = 2 * candidate_k
     paths = search_paths(pair_scores(index, variants, ("query_id", "variant_no")), wide)
+    if store:
+        paths.write.mode("overwrite").parquet(store)
+        paths = paths.sparkSession.read.schema(paths.schema).parquet(store)
     fused = top_k(fuse(paths), ["query_id"], fused_order(), wide, "fused_rank")
     original = variants.filter(F.col("variant_no") == 0).select("query_id", F.col("text").alias("query"))
     texts = (

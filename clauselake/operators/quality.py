@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake import profiles as P
-from clauselake.functions.text import count_class, strip
+from clauselake.functions.text import contains_any, count_class, strip
 from clauselake.operators.scale import top_k
 
 
@@ -92,10 +92,10 @@ def rejoin_audit(
 ) -> DataFrame:
     """(id, line_no, before, after): the kept lines around each furniture line that sits between kept lines.
 
-    Only documents holding furniture are cut into lines.
+    Only documents holding a listed text are cut into lines.
     """
-    marked = mark_furniture(df.select(id_col, text), text, whitelist, page_number)
-    rows = marked.filter(F.exists("_lines", lambda x: x["furniture"])).select(
+    some = df.select(id_col, text).filter(contains_any(F.col(text), list(P.FURNITURE if whitelist is None else whitelist)))
+    rows = mark_furniture(some, text, whitelist, page_number).select(
         id_col, F.posexplode_outer("_lines").alias("line_no", "x")
     )
     line = strip(F.col("x")["line"])

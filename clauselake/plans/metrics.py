@@ -192,7 +192,7 @@ SELECT query_id, {", ".join(f"coalesce({c}, -1) AS {c}" for c in STAGES.values()
   CASE WHEN rerank_rank <= 5 THEN 'ok' WHEN coalesce(fused_rank, dedup_rank) IS NOT NULL THEN 'rank_failure' ELSE 'recall_failure' END AS verdict FROM st""")
 def stage_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     """Rank of the target in each stage of the hybrid search, and where it was lost."""
-    stages, known = hybrid(spark, sf), truth(spark, sf).select("query_id", "doc_id")
+    stages, known = hybrid(spark, sf, several=True), truth(spark, sf).select("query_id", "doc_id")
     out = known.select("query_id").distinct()
     for stage, rank in (("fused", "fused_rank"), ("deduped", "dedup_rank"), ("reranked", "rerank_rank")):
         found = stages[stage].select("query_id", "doc_id", rank).join(known, ["query_id", "doc_id"], "left_semi")
@@ -217,7 +217,7 @@ SELECT combo, count(*) AS n, round(avg(CASE WHEN rank_strict <= 5 THEN 1.0 ELSE
   round(avg(CASE WHEN rank_strict <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit10_strict, round(avg(coalesce(1.0::DOUBLE / rank_strict, 0.0::DOUBLE)), 6) AS mrr_strict FROM cm GROUP BY 1""")
 def combo_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of the six configurations of wordings, rerank and keyword path, from one search of all paths."""
-    paths, known = hybrid(spark, sf)["paths"], truth(spark, sf).select("query_id", "doc_id")
+    paths, known = hybrid(spark, sf, several=True)["paths"], truth(spark, sf).select("query_id", "doc_id")
     combos = F.broadcast(spark.createDataFrame(ev.COMBOS, "combo string, mq boolean, rk boolean, hyb boolean"))
     used = F.array(
         F.struct(F.lit("vector_00").alias("path")), F.when(F.col("mq"), F.struct(F.lit("vector_01").alias("path"))),
@@ -227,9 +227,11 @@ def combo_matrix(spark: SparkSession, sf: str) -> DataFrame:
     runs = paths.join(members, "path").withColumn("run", F.struct("combo", "rk", "query_id"))
     fused = fusion.fuse(runs, "run").select("run.*", "doc_id", "rrf", "first_seen")
     items = bench_queries(spark, sf).withColumnRenamed("text", "query")
-    n = items.count() * len(ev.COMBOS) * 3 * 2 * fusion.CANDIDATES
-    texts = read_documents(spark, sf, "text").join(broadcast_if(fused, n), "doc_id").join(items, "query_id")
-    scored = texts.select("combo", "rk", "query_id", "doc_id", "rrf", "first_seen", F.round(fusion.overlap(F.col("query"), F.col("text")), 6).alias("o"))
+    n = items.count()
+    pairs = broadcast_if(paths.select("query_id", "doc_id").distinct(), n * 3 * 2 * fusion.CANDIDATES)
+    texts = read_documents(spark, sf, "text").join(pairs, "doc_id").join(broadcast_if(items, n), "query_id")
+    overlaps = texts.select("query_id", "doc_id", F.round(fusion.overlap(F.col("query"), F.col("text")), 6).alias("o"))
+    scored = fused.join(overlaps, ["query_id", "doc_id"])
     best = top_k(
         scored, ["combo", "query_id"],
         [F.when(F.col("rk"), F.col("o")).otherwise(F.col("rrf")).desc(), F.col("rrf").desc(), F.col("first_seen"), F.col("doc_id")], 10,

@@ -281,10 +281,11 @@ rer AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
         FROM ded WHERE overlap >= 0.1) WHERE rerank_rank <= 5)"""
 
 
-def hybrid(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Stage tables of the hybrid search of all benchmark items."""
+def hybrid(spark: SparkSession, sf: str, several: bool = False) -> dict[str, DataFrame]:
+    """Stage tables of the hybrid search of all benchmark items; path hits are stored when several are read."""
     docs = read_documents(spark, sf, "source", "text").withColumnRenamed("source", "code")
-    return fusion.hybrid_stages(doc_index(spark, sf), bench_variants(spark, sf), docs)
+    store = f"{shared_dir(spark)}/clauselake/paths-{uuid.uuid4().hex}" if several else None
+    return fusion.hybrid_stages(doc_index(spark, sf), bench_variants(spark, sf), docs, store=store)
 
 
 @query("hybrid_search", f"""
@@ -309,7 +310,7 @@ SELECT query_id, n_queries, coalesce(n_paths, 0) AS n_paths, coalesce(n_candidat
 FROM v LEFT JOIN p USING (query_id) LEFT JOIN f USING (query_id) LEFT JOIN d USING (query_id) LEFT JOIN r USING (query_id)""")
 def retrieval_funnel(spark: SparkSession, sf: str) -> DataFrame:
     """Per query: hits left after each stage."""
-    stages = hybrid(spark, sf)
+    stages = hybrid(spark, sf, several=True)
     out = bench_variants(spark, sf).groupBy("query_id").agg(F.count("*").alias("n_queries"))
     counts = {
         "paths": [F.count("*").alias("n_candidates"), F.countDistinct("path").alias("n_paths")],
