@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauselake import profiles as P
 from clauselake.functions.text import norm_code, strip
-from clauselake.operators.scale import keep_first, top_k
+from clauselake.operators.scale import is_small, keep_first, top_k
 
 CITED_CHARS = 200
 EVIDENCE_CHARS = 300
@@ -85,11 +85,11 @@ def near_clauses(missing: DataFrame, labels: DataFrame, request_id: str = "reque
 def with_status(df: DataFrame, code: str, statuses: DataFrame) -> DataFrame:
     """Adds status, replaced_by and status_note; codes without an entry are in force.
 
-    statuses: (code, status, replaced_by, status_note), a short list.
+    statuses: (code, status, replaced_by, status_note); broadcast when it is short.
     """
     listed = statuses.select(norm_code(F.col("code"), "a").alias("_k"), "status", "replaced_by", "status_note")
     return (
-        df.withColumn("_k", norm_code(F.col(code), "a")).join(F.broadcast(listed), "_k", "left").drop("_k")
+        df.withColumn("_k", norm_code(F.col(code), "a")).join(F.broadcast(listed) if is_small(statuses) else listed, "_k", "left").drop("_k")
         .withColumn("status", F.coalesce("status", F.lit(P.IN_FORCE)))
     )
 

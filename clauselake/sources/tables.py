@@ -1,4 +1,4 @@
-"""Readers that keep few-file inputs parallel."""
+"""Readers that keep small inputs parallel."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over the cores when the input has fewer files than cores.
+    """Hash rows over the cores when the scan has fewer splits than cores.
 
-    A large input has more splits than cores and passes through untouched; a small one costs one cheap exchange.
+    A large input has many splits, even in few files, and passes through untouched; a small one costs one cheap
+    exchange.  Only the number of splits is planned here, nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
