@@ -16,7 +16,7 @@ def docs(spark):
     return spark.createDataFrame(DOCS, "doc_id long, text string")
 
 
-def reference_scores(query: str) -> dict[int, float]:
+def scores_by_hand(query: str) -> dict[int, float]:
     """BM25 by hand over DOCS."""
     words = {d: t.replace("!", "").split() for d, t in DOCS}
     n, avg = len(DOCS), sum(map(len, words.values())) / len(DOCS)
@@ -40,7 +40,7 @@ def test_bm25_by_hand(spark, docs, tmp_path):
         got: dict[str, dict[int, float]] = {}
         for r in lexical.bm25_top(index, queries, 10).collect():
             got.setdefault(r.query_id, {})[r.doc_id] = r.score
-        assert got == {"q1": reference_scores("cat dog dog"), "q2": reference_scores("sun")}
+        assert got == {"q1": scores_by_hand("cat dog dog"), "q2": scores_by_hand("sun")}
         stats = index.corpus.collect()[0]
         assert stats.n_docs == 6 and stats.avgdl == pytest.approx(10 / 6)
 
