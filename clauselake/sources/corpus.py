@@ -18,13 +18,18 @@ from clauselake.operators.scale import keep_first
 ID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder; a new local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="clauselake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """Folder every executor can reach: the cluster's checkpoint folder; a new local one only where none is named."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="clauselake-")
+    return _OWN[context.applicationId]
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
