@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe
+from clauselake.llm import bpe, tokens
 from clauselake.llm.common import documents
 from clauselake.plans.registry import query
 
@@ -22,3 +22,9 @@ def vocabulary() -> str:
 def op6_bpe_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe.encode_decode(documents(spark, sf_dir, "doc_id", "text"), vocabulary())
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, from the files that hold them."""
+    return tokens.tokens_round_trip(spark, documents(spark, sf_dir, "doc_id", "text"), vocabulary())
