@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, tokens
-from clauselake.llm.common import documents
+from clauselake.llm import bpe, exactdup, tokens
+from clauselake.llm.common import BLANKS, documents
 from clauselake.plans.registry import query
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,3 +28,14 @@ def op6_bpe_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, length and checksum of every document's ids, from the files that hold them."""
     return tokens.tokens_round_trip(spark, documents(spark, sf_dir, "doc_id", "text"), vocabulary())
+
+
+@query("op5_exact_duplicates", rf"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[{BLANKS}]+', ' ', 'g')) AS text_sha256
+           FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+""")
+def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the document that stays for it."""
+    return exactdup.exact_duplicates(documents(spark, sf_dir, "doc_id", "text"))
