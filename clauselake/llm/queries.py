@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, exactdup, tokens
-from clauselake.llm.common import BLANKS, documents
+from clauselake.llm import bpe, exactdup, mixing, tokens
+from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,3 +39,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays for it."""
     return exactdup.exact_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op2_mixed_sources", rf"""
+WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+           md5('0:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+       FROM t GROUP BY source),
+s1 AS (SELECT *, [3, 1, 2][rank % 3 + 1]::BIGINT AS weight FROM s0),
+s2 AS (SELECT *, row_number() OVER (ORDER BY source_size * (6 // weight), rank) AS pos FROM s1),
+s3 AS (SELECT a.*, (SELECT sum(source_size)::BIGINT FROM s2) AS words,
+         (SELECT sum(weight)::BIGINT FROM s2 b WHERE b.pos >= a.pos) AS rest,
+         coalesce((SELECT sum(source_size)::BIGINT FROM s2 b WHERE b.pos < a.pos), 0) AS used FROM s2 a),
+s4 AS (SELECT *, 4 * source_size * rest <= weight * (3 * words - 4 * used) AS is_full FROM s3),
+s5 AS (SELECT *, CASE WHEN is_full THEN (2 * source_size)::DOUBLE ELSE
+         (weight * (3 * words - 4 * coalesce((SELECT sum(source_size)::BIGINT FROM s4 WHERE is_full), 0)))::DOUBLE
+         / (2 * (SELECT sum(weight)::BIGINT FROM s4 WHERE NOT is_full))::DOUBLE END AS target FROM s4),
+q AS (SELECT t.*, rank, words, source_size, target, sum(size) OVER (PARTITION BY rank ORDER BY key, doc_id, size
+        ROWS UNBOUNDED PRECEDING)::BIGINT AS done FROM t JOIN s5 ON t.source IS NOT DISTINCT FROM s5.source),
+c AS (SELECT *, (done + round * source_size)::DOUBLE / target AS finish
+      FROM q, (VALUES (0), (1)) AS r(round) WHERE size > 0),
+m AS (SELECT doc_id, 2 * sum(size) OVER (ORDER BY finish, rank, key, doc_id, size, round ROWS UNBOUNDED PRECEDING)
+        <= 3 * words AS taken FROM c),
+n AS (SELECT doc_id, count(*) AS copies FROM m WHERE taken GROUP BY 1)
+SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM q LEFT JOIN n USING (doc_id)
+""")
+def op2_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text")).drop("source")
