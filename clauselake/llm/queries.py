@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, exactdup, mixing, tokens
+from clauselake.llm import bpe, exactdup, mixing, pii, tokens
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
@@ -67,3 +67,9 @@ SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT A
 def op2_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text")).drop("source")
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text"))
