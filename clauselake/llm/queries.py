@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, exactdup, mixing, pii, tokens
+from clauselake.llm import bpe, exactdup, mixing, pii, tokens, warc
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
@@ -73,3 +73,11 @@ def op2_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op3_capture_history")
+def op3_capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archive has it, in the order of the capture history."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.capture_history(spark, pages).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
