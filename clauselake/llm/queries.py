@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauselake.llm import bpe, exactdup, mixing, pii, tokens, warc
+from clauselake.llm import bpe, exactdup, langid, mixing, pii, tokens, warc
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
@@ -81,3 +82,10 @@ def op3_capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return warc.capture_history(spark, pages).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
+
+
+@query("op9_language_spans")
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, and the number of spans."""
+    found = langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
