@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import bpe, exactdup, langid, mixing, pii, tokens, warc
+from clauselake.llm import bpe, exactdup, langid, mixing, pii, tokens, toxicity, warc
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
@@ -89,3 +89,10 @@ def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, and the number of spans."""
     found = langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.score_toxicity(documents(spark, sf_dir, "doc_id", "text"), labels)
