@@ -75,12 +75,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """
     limit = max(1, total // HOT_SHARE)
     values = [c for c in groups.columns if c != key]
+    kind = dict(rows.dtypes)[key]
     hot = groups.filter(F.col(size) > limit).select(F.col(key), F.struct(*values).alias("_hot"))
     cold = groups.filter(F.col(size) <= limit).select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
-    own = F.concat(F.lit("\0"), F.col(row_id).cast("string"), F.lit("\0"), F.hash(row_id).cast("string"))
+    # hot rows take their broadcast values, so it does no harm if a key of their own meets another one
+    own = F.xxhash64(key, row_id) if kind == "bigint" else F.concat(
+        F.lit("\0"), F.xxhash64(key, row_id).cast("string")).cast(kind)
     marked = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(F.coalesce(own, F.lit("\0"))))
-    joined = marked.join(cold.withColumn("_key", F.col("_key").cast("string")), "_key", "left")
+        "_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(own))
+    joined = marked.join(cold, "_key", "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in values])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import bpe, exactdup, langid, mixing, pii, tokens, toxicity, warc
+from clauselake.llm import bpe, exactdup, langid, mixing, neardup, pii, tokens, toxicity, warc
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
@@ -96,3 +96,25 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.score_toxicity(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
+@query("op4_near_duplicates", rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]]
+        ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles) AS n FROM s),
+p AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM p a JOIN p b ON a.shingle = b.shingle
+      AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v
+      WHERE 100 * common >= 80 * (a.n + b.n - common)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reach)
+SELECT doc_id, n AS n_shingles, min(reach) AS component_id, doc_id = min(reach) AS kept
+FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
+""")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near duplicates of every document, on shingles of two words."""
+    return neardup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=2)
