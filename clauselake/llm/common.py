@@ -126,3 +126,26 @@ def held_out(doc_id: str, modulus: int, rest: int) -> Column:
 def long_rows(table: DataFrame, columns: Sequence[str]) -> int:
     """Number of rows of a written table, from its footers."""
     return table.select(*columns[:1]).count()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by the keys, one after the other."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changes = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            changes[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(changes).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import bpe, exactdup, langid, mixing, neardup, pii, tokens, toxicity, warc
+from clauselake.llm import ann, bpe, exactdup, langid, mixing, neardup, pii, tokens, toxicity, warc
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
@@ -118,3 +118,9 @@ FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near duplicates of every document, on shingles of two words."""
     return neardup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=2)
+
+
+@query("op8_nearest_vectors")
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every twentieth one."""
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
