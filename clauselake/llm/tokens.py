@@ -18,6 +18,7 @@ import posixpath
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -161,7 +162,7 @@ def library_encoder(path: str) -> UnitEncoder:
 
     def encode(units: Sequence[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(list(units), add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     return UnitEncoder(encode)
 

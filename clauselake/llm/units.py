@@ -27,6 +27,8 @@ LONGEST = 64
 MARKS = ".,;:!?|%&*$#"
 """Marks at the end of a unit that form one token after a letter or number."""
 
+RARE_BLANKS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r")
+
 CHUNK = 1 << 20
 """Characters whose units are held at once; a longer text is held alone."""
 
@@ -95,28 +97,35 @@ class UnitEncoder:
         known = self._known
         if len(known) > self._most:
             known.clear()
-        heads, bodies, fresh = [], [], {}
+        look = known.get
+        heads, bodies, fresh = [], [], set()
         for text in texts:
-            head, *rest = text.split(" ")
-            values = list(map(known.get, rest))
-            missing = {p for p, v in zip(rest, values) if v is None} if None in values else ()
-            if rest and _runs(head) or any(map(_runs, missing)):
-                head, *units = _merged(head, rest)
+            if _has_runs(text):
+                head, *units = _merged(*text.split(" "))
                 rest = [u[1:] for u in units]
-                values = list(map(known.get, rest))
-                missing = {p for p, v in zip(rest, values) if v is None}
-            fresh.update(dict.fromkeys(missing))
+            else:
+                head, *rest = text.split(" ")
+            values = list(map(look, rest))
+            if None in values:
+                fresh.update([p for p, v in zip(rest, values) if v is None])
             heads.append(head)
             bodies.append((rest, values))
-        split = {p: c for p in fresh if (c := p.rstrip(MARKS)) and c is not p and c[-1].isalnum()}
-        tails = {p[len(c):]: None for p, c in split.items()}
-        whole = list({c: None for c in (split.get(p, p) for p in fresh) if c not in known})
-        ids = self._encode([*heads, *tails, *(" " + p for p in whole)])
-        tail_ids = dict(zip(tails, ids[len(heads):]))
-        found = dict(zip(whole, ids[len(heads) + len(tails):], strict=True))
-        known.update((p, v) for p, v in found.items() if len(p) <= LONGEST and not _runs(p))
-        found.update([
-            (p, (known.get(c) or found[c]) + tail_ids[p[len(c):]]) for p, c in split.items()])
+        split, whole, tails = [], set(), set()
+        for p in fresh:
+            core = p.rstrip(MARKS)
+            if core != p and core and core[-1].isalnum():
+                split.append((p, core))
+                tails.add(p[len(core):])
+                p = core
+            if p not in known:
+                whole.add(p)
+        new, ends = list(whole), list(tails)
+        ids = self._encode([*heads, *ends, *[" " + p for p in new]])
+        tail_ids = dict(zip(ends, ids[len(heads):]))
+        found = dict(zip(new, ids[len(heads) + len(ends):]))
+        known.update([(p, v) for p, v in found.items() if len(p) <= LONGEST and not _runs(p)])
+        for p, core in split:
+            found[p] = (look(core) or found[core]) + tail_ids[p[len(core):]]
         return [
             first + b"".join([found[p] if v is None else v for p, v in zip(rest, values)] if None in values else values)
             for first, (rest, values) in zip(ids, bodies)
@@ -128,7 +137,13 @@ def _runs(part: str) -> bool:
     return not part or part[-1].isspace()
 
 
-def _merged(head: str, rest: Sequence[str]) -> list[str]:
+def _has_runs(text: str) -> bool:
+    """Whether a blank may stand before a space; texts with rare blanks count as such."""
+    return (text[:1] == " " or "  " in text or "\n " in text or "\t " in text or "\r " in text
+            or any(c in text for c in RARE_BLANKS))
+
+
+def _merged(head: str, *rest: str) -> list[str]:
     """The units of a text with runs of blanks, all but the first with their leading space."""
     units, held = [], [head]
     for part in rest:

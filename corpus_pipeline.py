@@ -1,4 +1,8 @@
-"""Corpus preparation as stages over the documents, each written and read again before the next."""
+"""Corpus preparation as stages over the documents, each written and read again before the next.
+
+Documents without a language go, of equal texts one stays, of near duplicates one stays, the sources are mixed to their
+targets, and the texts of the mix are encoded.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe
+from clauselake.llm import bpe, exactdup, langid, mixing, neardup
 from clauselake.llm.common import stored
 from clauselake.llm.queries import vocabulary
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text; the ids decode to the text."""
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; texts without a letter go."""
+    return langid.known_language(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for blanks, the one with the smallest id."""
+    return exactdup.without_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates on shingles of five words, the one with the smallest id."""
+    return neardup.without_near_copies(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns and the token ids of each text; the ids decode to the text."""
     return bpe.token_ids(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("encode", encode),
+    ("known_language", known_language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("mixed_sources", mixed),
+    ("token_ids", encoded),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # SQL has no language model and no BPE; tests/llm/test_pipeline.py has a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
