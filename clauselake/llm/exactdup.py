@@ -202,25 +202,26 @@ def _combined(rows: DataFrame, n_shards: int) -> DataFrame:
 
 def _worked(index: DataFrame | None, changes: DataFrame, n_shards: int, work: Callable[[ShardIndex, tuple], None]) -> DataFrame:
     """The shards after the changes: filter rows and key rows of one table, one task per shard and change set."""
-    fields = "shard int, digest binary, least_id long, n_rows long, filter binary"
+    fields = "shard int, digest binary, least_id long, n_rows long, filter binary, n_shards int"
     new = changes.withColumn("filter", F.lit(None).cast("binary")).withColumn("is_new", F.lit(True))
-    rows = new if index is None else index.withColumn("is_new", F.lit(False)).unionByName(new)
+    rows = new if index is None else index.drop("n_shards").withColumn("is_new", F.lit(False)).unionByName(new)
     dealt = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "is_new")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("digest", pa.binary()), ("least_id", pa.int64()),
-                            ("n_rows", pa.int64()), ("filter", pa.binary())])
+                            ("n_rows", pa.int64()), ("filter", pa.binary()), ("n_shards", pa.int32())])
         at, state, keys, data = None, None, [], None
 
         def result(shard: int, state: ShardIndex) -> Iterator[pa.RecordBatch]:
             items = list(state.keys.items())
             yield record_batch(schema, shard=[shard], digest=[None], least_id=[None], n_rows=[None],
-                               filter=[state.filter.to_bytes()])
+                               filter=[state.filter.to_bytes()], n_shards=[n_shards])
             for k in range(0, len(items), 10_000):
                 part = items[k: k + 10_000]
                 yield record_batch(
                     schema, shard=[shard] * len(part), digest=[d for d, _ in part],
-                    least_id=[v[0] for _, v in part], n_rows=[v[1] for _, v in part], filter=[None] * len(part))
+                    least_id=[v[0] for _, v in part], n_rows=[v[1] for _, v in part], filter=[None] * len(part),
+                    n_shards=[n_shards] * len(part))
 
         for batch in batches:
             for shard, digest, least, n, stored_filter, is_new in zip(*(c.to_pylist() for c in batch.columns)):
@@ -243,20 +244,23 @@ def _worked(index: DataFrame | None, changes: DataFrame, n_shards: int, work: Ca
 
 
 def build_index(rows: DataFrame, total: int) -> DataFrame:
-    """Stored index of a table of digests: key rows (shard, digest, least_id, n_rows) and one filter row per shard."""
+    """Stored index of a table of digests: key rows (shard, digest, least_id, n_rows) and one filter row per shard.
+
+    The number of shards is planned once, for `total` rows, and kept in the index.
+    """
     n_shards = max(splits(rows), -(-total // SHARD_KEYS))
     return stored(_worked(None, _combined(rows, n_shards), n_shards, lambda s, r: s.insert(*r)), "digests")
 
 
 def insert(index: DataFrame, rows: DataFrame) -> DataFrame:
     """Stored index with more rows."""
-    n = index.agg(F.max("shard") + 1).first()[0] or 1
+    n = index.agg(F.max("n_shards")).first()[0] or 1
     return stored(_worked(index, _combined(rows, n), n, lambda s, r: s.insert(*r)), "digests")
 
 
 def delete(index: DataFrame, rows: DataFrame) -> DataFrame:
     """Stored index without these rows.  A digest that keeps rows keeps its smallest id, also if that row went."""
-    n = index.agg(F.max("shard") + 1).first()[0] or 1
+    n = index.agg(F.max("n_shards")).first()[0] or 1
     return stored(_worked(index, _combined(rows, n), n, lambda s, r: s.delete(r[0], r[2])), "digests")
 
 
