@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import free_name, join_groups, record_batch, sliced, stored, strings
+from clauselake.llm.common import free_name, grouped, join_groups, record_batch, sliced, stored, strings
 
 CHUNK = 6
 ERRORS = 1
@@ -41,6 +41,9 @@ SIGMAS = 4.8
 SPLIT = 16
 """Tasks over which the partners of one node are spread, at least."""
 
+EXACT = 2048
+"""Sets of up to so many shingles are compared as hashes where a bucket is compared in full."""
+
 BLOCK = 512
 SLICE = 4096
 """Stragglers and members of a bucket that one task compares at once."""
@@ -223,11 +226,10 @@ def components(edges: DataFrame) -> DataFrame:
     ones, until nothing changes.  A node's neighbours never meet in one task.
     """
 
-    def star(links: DataFrame, small: bool) -> DataFrame:
+    def star(links: DataFrame, total: int, small: bool) -> DataFrame:
         both = links if small else links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_min"), F.count("*").alias("_degree")).withColumn(
             "_min", F.least("u", "_min"))
-        total = both.count()
         found = join_groups(both, least, "u", "_degree", total, "v")
         kept = found if small else found.filter("v > u")
         made = kept.select(F.col("v").alias("u"), F.col("_min").alias("v"))
@@ -241,7 +243,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = state(links)
     while before[0]:
-        links = stored(star(stored(star(links, False), "links"), True), "links")
+        links = stored(star(stored(star(links, 2 * before[0], False), "links"), before[0], True), "links")
         after = state(links)
         if after == before:
             break
@@ -250,10 +252,53 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _stragglers(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, nearest: bool, parts: int) -> DataFrame:
-    """Pairs (a, b, part) of different components in a bucket that signatures and sizes allow; a is a straggler.
+def _hashed(texts: DataFrame, words: int) -> DataFrame:
+    """node and the low 32 bits of its sorted shingle hashes, null beyond EXACT shingles or if an id has several texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+        for batch in sliced(batches, "text", 2 << 20):
+            sets = shingle_hashes(strings(batch.column("text")), words)
+            yield record_batch(schema, node=batch.column("node"),
+                               hashes=[x.astype(np.uint32).tobytes() if len(x) <= EXACT else None for x in sets])
+
+    per = texts.mapInArrow(run, "node long, hashes binary").groupBy("node").agg(
+        F.count("*").alias("n_texts"), F.first("hashes").alias("hashes"))
+    return per.select("node", F.when(F.col("n_texts") == 1, F.col("hashes")).alias("hashes"))
+
+
+def _near_labels(links: DataFrame) -> DataFrame:
+    """node and its least neighbour, itself included: components of stars, finer than those of chains."""
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_v")).select(
+        "node", F.least("node", "_v").alias("component"))
+
+
+def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after new links: a component takes the least label that a link joins it to."""
 
-    members: key and node of buckets with three nodes or more.  With `nearest`, only a straggler's nearest.
+    def named(side: str) -> DataFrame:
+        return labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+
+    joined = links.join(named("u"), "u", "left").join(named("v"), "v", "left").select(
+        F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu != cv")
+    moved = joined.groupBy(F.greatest("cu", "cv").alias("component")).agg(F.min(F.least("cu", "cv")).alias("_to"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    groups = moved.join(sizes, "component", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    alone = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct().join(
+        labels, "node", "left_anti").withColumn("component", F.col("node"))
+    every = labels.unionByName(alone)
+    return join_groups(every, groups, "component", "n", max(1, every.count()), "node").select(
+        "node", F.coalesce("_to", "component").alias("component"))
+
+
+def _stragglers(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, nearest: bool, parts: int,
+                texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b, part) of different components in a bucket that may be similar; a is a straggler.
+
+    members: key and node of buckets with three nodes or more.  With `nearest`, only a straggler's nearest by signature.
+    Otherwise sets of up to EXACT shingles are compared as hashes, so of small sets only similar pairs come out; larger
+    ones are judged by their signatures.
     """
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.hash("node")).alias("h"))
@@ -264,19 +309,27 @@ def _stragglers(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent
     open_ = stored(kept.select("key", "size", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("blocks"),
                                F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "near-open")
     total = members.count()
-    rows = join_groups(labelled, open_, "key", "size", total, "node").filter("main is not null").join(
-        nodes.select("node", "n", "signature"), "node")
+    rows = join_groups(labelled, open_, "key", "size", total, "node").filter("main is not null")
+    facts = nodes.select("node", "n", "signature")
+    if nearest:
+        facts = facts.withColumn("hashes", F.lit(None).cast("binary"))
+    else:
+        rows = stored(rows, "near-rows")
+        wanted = rows.select("node").distinct()
+        facts = facts.join(wanted, "node", "left_semi").join(
+            _hashed(texts.join(wanted, "node", "left_semi"), words), "node", "left")
+    rows = rows.join(facts, "node")
     is_late = F.col("component") != F.col("main")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     slice_ = F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")
     dealt = rows.select(
-        "key", "node", "component", "n", "signature", F.explode(F.concat(
+        "key", "node", "component", "n", "signature", "hashes", F.explode(F.concat(
             F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
                         lambda i: F.struct(i.alias("i"), slice_.alias("j"), F.lit(False).alias("late"))),
             F.when(is_late, F.transform(F.sequence(F.lit(0), F.col("slices") - 1),
                                         lambda j: F.struct(block.alias("i"), j.alias("j"), F.lit(True).alias("late"))))
             .otherwise(F.array().cast("array<struct<i:int,j:int,late:boolean>>")))).alias("at"), is_late.alias("is_late")
-    ).select("key", "at.i", "at.j", "at.late", "is_late", "node", "component", "n", "signature")
+    ).select("key", "at.i", "at.j", "at.late", "is_late", "node", "component", "n", "signature", "hashes")
     sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     most = most_differences(percent)
 
@@ -285,6 +338,12 @@ def _stragglers(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent
         node, comp = group.column("node").to_numpy(), group.column("component").to_numpy()
         n, lagging = group.column("n").to_numpy(), group.column("is_late").to_numpy()
         sig = _signatures(group.column("signature"))
+        sets = [None if h is None else np.frombuffer(h, np.uint32) for h in group.column("hashes").to_pylist()]
+        known = np.array([h is not None for h in sets])
+        flat = np.concatenate([np.zeros(0, np.uint32), *(h for h in sets if h is not None)])
+        names, flat = np.unique(flat, return_inverse=True)
+        heads = np.cumsum([0, *(len(h) for h in sets if h is not None)])
+        place = np.cumsum(known) - 1
         members_ = np.flatnonzero(~late)
         us, vs = [], []
         for x in np.flatnonzero(late):
@@ -299,6 +358,12 @@ def _stragglers(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent
                 best = int(apart.argmin())
                 near, apart = near[best: best + 1], apart[best: best + 1]
             near = near[apart <= most]
+            if known[x] and len(near):
+                mine = np.zeros(len(names), bool)
+                mine[flat[heads[place[x]]: heads[place[x] + 1]]] = True
+                shared = np.add.reduceat(np.append(mine[flat], False).astype(np.int64), heads[:-1])
+                common = np.where(known[near], shared[np.maximum(place[near], 0)], np.iinfo(np.int32).max)
+                near = near[~known[near] | (100 * common >= percent * (n[near] + n[x] - common))]
             us.append(np.full(len(near), node[x]))
             vs.append(node[near])
         empty = np.zeros(0, np.int64)
@@ -306,23 +371,8 @@ def _stragglers(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        at, held = None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j"))))
-            start = 0
-            for k in range(1, len(keys) + 1):
-                if k < len(keys) and keys[k] == keys[start]:
-                    continue
-                if keys and keys[start] != at and held:
-                    a, b = compare(pa.Table.from_batches(held).combine_chunks())
-                    yield record_batch(schema, a=a, b=b)
-                    held = []
-                if keys:
-                    at = keys[start]
-                    held.append(batch.slice(start, k - start))
-                start = k
-        if held:
-            a, b = compare(pa.Table.from_batches(held).combine_chunks())
+        for group in grouped(batches, ["key", "i", "j"]):
+            a, b = compare(group)
             yield record_batch(schema, a=a, b=b)
 
     return sorted_rows.mapInArrow(run, "a long, b long").distinct().withColumn(
@@ -358,16 +408,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].cast("string").alias("text"))
                    .join(wanted, "node", "left_semi"), "near-texts")
     links = stored(_confirmed(stored(_worth_confirming(pairs, real, percent), "near-pairs"), texts, words, percent), "near-links")
-    labels = stored(components(links), "near-labels")
+    labels = stored(_near_labels(links), "near-labels")
     crowded = members.filter("size > 2").select("key", "node")
     for nearest in (True, False):
-        more = stored(_stragglers(crowded, real, labels, percent, nearest, parts), "near-pairs")
+        more = stored(_stragglers(crowded, real, labels, percent, nearest, parts, texts, words), "near-pairs")
         if more.isEmpty():
-            break
+            continue
         found = stored(_confirmed(more, texts, words, percent), "near-links")
         if not found.isEmpty():
-            links = stored(links.unionByName(found), "near-links")
-            labels = stored(components(links), "near-labels")
+            links = links.unionByName(found)
+            labels = stored(_hooked(labels, found), "near-labels") if nearest else labels
+    labels = stored(components(links), "near-labels")
     named = nodes.join(labels, "node", "left").select(
         "set_key", "n_rows", F.coalesce("component", "node").alias("component_id"))
     answered = join_groups(sets.select("doc_id", "n_shingles", "set_key"), named, "set_key", "n_rows", total, "doc_id")
