@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# whitespace as both regex engines of the SQL checks can state it
-SPACE = r"[ \t\n\r\f\x0b\x{00a0}\x{3000}]"
+# every Unicode blank, spelled out because regular expression engines differ on the short classes
+SPACE = (r"[ \t\n\r\f\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
+         r"\x{3000}]")
+WIDE_DIGITS = "０１２３４５６７８９"
 WORD = r"[\p{L}\p{N}]+"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
@@ -21,6 +23,11 @@ def squeeze(col: Column) -> Column:
     return F.regexp_replace(col, SPACE, "")
 
 
+def plain_digits(col: Column) -> Column:
+    """Full-width digits as plain ones."""
+    return F.translate(col, WIDE_DIGITS, "0123456789")
+
+
 def norm_code(col: Column, level: str = "c") -> Column:
     """Comparable form of a document code.
 
@@ -62,16 +69,16 @@ def cjk_tokens(col: Column, punctuation: bool = True) -> Column:
     )
 
 
+def mixed_tokens(col: Column) -> Column:
+    """Words of any script, runs of ideographs as overlapping pairs; texts without ideographs take the short way."""
+    return F.when(col.rlike(CJK), cjk_tokens(col, punctuation=False)).otherwise(tokens(col))
+
+
 def count_class(col: Column, char_class: str) -> Column:
     """Number of characters of a class."""
     return F.length(col) - F.length(F.regexp_replace(col, char_class, ""))
 
 
-def count_literal(col: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
-    return ((F.length(col) - F.length(F.replace(col, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
-
-
 def contains_any(col: Column, words: list[str]) -> Column:
     """True when at least one literal occurs."""
     out = F.lit(False)
@@ -83,8 +90,3 @@ def contains_any(col: Column, words: list[str]) -> Column:
 def count_present(col: Column, words: list[str]) -> Column:
     """How many of the literals occur at least once."""
     return sum((F.when(col.contains(w), 1).otherwise(0) for w in words), F.lit(0))
-
-
-def pad_code(prefix: str, col: Column, width: int = 0) -> Column:
-    """Code such as src-07 built from a number."""
-    return F.concat(F.lit(prefix), F.lpad(col.cast("string"), width, "0") if width else col.cast("string"))

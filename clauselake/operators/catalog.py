@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauselake import profiles as P
 from clauselake.functions.text import norm_code, strip
-from clauselake.operators.scale import is_small, keep_first, top_k
+from clauselake.operators.scale import BROADCAST_BYTES, is_small, keep_first, top_k
 
 CITED_CHARS = 200
 EVIDENCE_CHARS = 300
@@ -18,10 +18,10 @@ HINTS = 8
 
 
 def fixed_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Broadcast table of a list written in this package, at most a few hundred rows."""
-    if len(rows) > 1000:
-        raise ValueError("a fixed table is a short list")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """Table of a list that the caller holds; a short one is broadcast, a long one is joined like any other."""
+    table = spark.createDataFrame(list(rows), schema)
+    size = sum(16 + 8 * len(r) + sum(4 * len(v) for v in r if isinstance(v, str)) for r in rows)
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def specs(chunks: DataFrame, code: str, fields: Sequence[str], id_col: str, domain: Column | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def with_group(df: DataFrame, code: str, groups: dict[str, str] | None = None) -
     listed = fixed_table(spark, rows, "code string, sub_group string").select(
         norm_code(F.col("code"), "c").alias("_k"), "sub_group"
     )
-    return df.withColumn("_k", norm_code(F.col(code), "c")).join(F.broadcast(listed), "_k", "left").drop("_k")
+    return df.withColumn("_k", norm_code(F.col(code), "c")).join(listed, "_k", "left").drop("_k")
 
 
 def grouped_specs(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselake.functions.text import count_class, strip
+from clauselake.functions.text import count_class, plain_digits, strip
 from clauselake.profiles import STANDARDS, StructureProfile
 
 CHUNK_OPENERS = ("clause", "table", "formula")
@@ -18,7 +18,7 @@ CHUNK_OPENERS = ("clause", "table", "formula")
 def lines_of(docs: DataFrame, profile: StructureProfile = STANDARDS, per_page: int = 40) -> DataFrame:
     """Line table of plain texts: short lines count as large print, every seventh length as bold."""
     lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    text = strip(F.col("raw"))
+    text = plain_digits(strip(F.col("raw")))
     return lines.select("doc_id", "line_no", text.alias("text")).filter(F.col("text") != "").select(
         "doc_id", (F.floor(F.col("line_no") / per_page) + 1).cast("int").alias("page"), "line_no", "text",
         (F.length("text") % 7 == 0).alias("bold"),
@@ -207,7 +207,7 @@ def merge_short(chunks: DataFrame, profile: StructureProfile = STANDARDS) -> Dat
     """
     order = Window.partitionBy("doc_id").orderBy("seq")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    nxt = {c: F.lead(c).over(order) for c in ("type", "section", "clause", "text", "is_mandatory", "char_count", "page_end")}
+    nxt = {c: F.lead(c).over(order) for c in ("type", "section", "chapter", "clause", "text", "is_mandatory", "char_count", "page_end")}
     glues = (
         (F.col("type") == "clause") & (F.col("char_count") < profile.min_chunk)
         & F.coalesce(nxt["type"] == "clause", F.lit(False)) & F.col("section").eqNullSafe(nxt["section"])
@@ -218,6 +218,7 @@ def merge_short(chunks: DataFrame, profile: StructureProfile = STANDARDS) -> Dat
     marked = marked.withColumn("_gone", F.coalesce(F.lag("_start").over(order), F.lit(False)))
     start = F.col("_start")
     merged = {
+        "chapter": F.col("_next_chapter"),
         "clause": F.concat_ws("+", "clause", "_next_clause"),
         "text": F.concat_ws("\n", "text", "_next_text"),
         "is_mandatory": F.col("is_mandatory") | F.col("_next_is_mandatory"),
@@ -238,16 +239,18 @@ def chunk_lines(
 
 
 def chunk_documents(lines: DataFrame, code: Column, profile: StructureProfile = STANDARDS) -> DataFrame:
-    """Chunks in the better mode per document: decimal, unless it gives few and article mode gives more."""
-    both = chunk_lines(lines, code, profile).withColumn("mode", F.lit("decimal")).unionByName(
-        chunk_lines(lines, code, profile, article=True).withColumn("mode", F.lit("article"))
-    )
-    per_doc = Window.partitionBy("doc_id")
-    counts = both.withColumn("_d", F.count_if(F.col("mode") == "decimal").over(per_doc)).withColumn(
-        "_a", F.count_if(F.col("mode") == "article").over(per_doc)
-    )
-    best = F.when((F.col("_d") < profile.few_chunks) & (F.col("_a") > F.col("_d")), "article").otherwise("decimal")
-    return counts.filter(F.col("mode") == best).drop("_d", "_a")
+    """Chunks in the better mode per document: decimal, unless it gives few and article mode gives more.
+
+    Only the documents with few decimal chunks are read in article mode; counts travel, texts do not.
+    """
+    decimal = chunk_lines(lines, code, profile).withColumn("mode", F.lit("decimal"))
+    n_decimal = decimal.groupBy("doc_id").agg(F.count("*").alias("_d"))
+    few = lines.select("doc_id").distinct().join(n_decimal, "doc_id", "left").select(
+        "doc_id", F.coalesce("_d", F.lit(0)).alias("_d")).filter(F.col("_d") < profile.few_chunks)
+    article = chunk_lines(lines.join(few.select("doc_id"), "doc_id", "left_semi"), code, profile, article=True).withColumn(
+        "mode", F.lit("article"))
+    more = article.groupBy("doc_id").agg(F.count("*").alias("_a")).join(few, "doc_id").filter(F.col("_a") > F.col("_d")).select("doc_id")
+    return decimal.join(more, "doc_id", "left_anti").unionByName(article.join(more, "doc_id", "left_semi"))
 
 
 def parse_title(file_name: Column) -> Column:

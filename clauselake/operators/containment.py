@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import WORD
-from clauselake.operators.scale import BROADCAST_ROWS, broadcast_if
+from clauselake.operators.scale import is_small
 
 GRAM = 4
 
@@ -44,30 +44,30 @@ def containing(
     split = passages.select(
         passage_id, F.col("text").alias("_passage"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_w")
     ).withColumn("_grams", _word_grams(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), GRAM))
-    size = passages.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count()
+    small = is_small(passages.select(passage_id, "text"))
     longest = F.array_max(F.transform("_grams", lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
     long_ones = split.filter(F.size("_grams") > 0).select(passage_id, "_passage", longest.alias("_gram"))
     short_ones = split.filter((F.size("_grams") == 0) & (F.length("_passage") > 0)).select(
         passage_id, "_passage"
     )
     worded = docs.withColumn("_w", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    found = _meet(worded, _word_grams(F.col("_w"), GRAM), long_ones, size, kept, passage_id)
+    found = _meet(worded, _word_grams(F.col("_w"), GRAM), long_ones, small, kept, passage_id)
     lengths = short_ones.select(F.least(F.length("_passage"), F.lit(3)).alias("n")).distinct()
     for n in sorted(r["n"] for r in lengths.collect()):  # at most 1, 2 and 3
         some = short_ones.filter(F.least(F.length("_passage"), F.lit(3)) == n).withColumn(
             "_gram", F.substring("_passage", 1, n)
         )
-        found = found.union(_meet(docs, _char_grams(F.col("_text"), n), some, size, kept, passage_id))
+        found = found.union(_meet(docs, _char_grams(F.col("_text"), n), some, small, kept, passage_id))
     return found
 
 
 def _meet(
-    docs: DataFrame, grams: Column, passages: DataFrame, size: int, kept: list[str], passage_id: str
+    docs: DataFrame, grams: Column, passages: DataFrame, small: bool, kept: list[str], passage_id: str
 ) -> DataFrame:
     """Pairs sharing the passage's run, then checked in full."""
-    if size <= BROADCAST_ROWS:
+    if small:
         runs = docs.select(*kept, "_text", F.explode_outer(grams).alias("_gram"))
-        pairs = runs.join(broadcast_if(passages, size), "_gram")
+        pairs = runs.join(F.broadcast(passages), "_gram")
     else:  # keep the text out of the shuffle by run and fetch it for the candidates
         doc_id = kept[0]
         runs = docs.select(doc_id, F.explode_outer(grams).alias("_gram"))

@@ -173,12 +173,17 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 def echo_spans(answer: pd.Series, question: pd.Series) -> pd.Series:
     """Quoted spans of an answer that repeat the question nearly word for word."""
 
+    def near(quote: str, asked: str) -> bool:
+        """The length allows the ratio, which rules out most quotations, and the texts reach it."""
+        if 2 * min(len(quote), len(asked)) < ECHO_RATIO * (len(quote) + len(asked)):
+            return False
+        return quote == asked or difflib.SequenceMatcher(None, asked, quote).ratio() >= ECHO_RATIO
+
     def spans(a: str | None, q: str | None) -> list[dict[str, int]]:
         asked = (q or "").strip()
         return [
             {"start": m.start(1), "end": m.end(1)}
-            for m in (re.finditer(QUOTED, a or "") if asked else ())
-            if difflib.SequenceMatcher(None, asked, m.group(1)).ratio() >= ECHO_RATIO
+            for m in (re.finditer(QUOTED, a or "") if asked else ()) if near(m.group(1), asked)
         ]
 
     return pd.Series([spans(a, q) for a, q in zip(answer, question)])

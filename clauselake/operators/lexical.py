@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from clauselake.functions.text import tokens
-from clauselake.operators.scale import BROADCAST_ROWS, broadcast_if, top_k
+from clauselake.functions.text import mixed_tokens, squeeze
+from clauselake.operators.scale import BROADCAST_ROWS, top_k
+
+Tokenizer = Callable[[Column], Column]
+
+HOT_TERMS = 2000
+"""A term with more than 1/HOT_TERMS of all postings is split over tasks where the postings shuffle by term."""
+
+PREFIX, HEAD = 200, 40
 
 # fixed values: ranking defaults
 K1 = 1.5
@@ -18,7 +28,7 @@ IDF_FLOOR = 0.25
 
 
 def term_counts(
-    docs: DataFrame, id_cols: Sequence[str], text_col: str, tokenizer: Callable[[Column], Column] = tokens
+    docs: DataFrame, id_cols: Sequence[str], text_col: str, tokenizer: Tokenizer = mixed_tokens
 ) -> DataFrame:
     """Rows (ids, dl, norm, term, tf): text length in words, length of the count vector, word and count.
 
@@ -46,115 +56,191 @@ def term_counts(
     return postings.filter(F.col("term").isNotNull())
 
 
+def prefix_key(text: Column, n: int = PREFIX) -> Column:
+    """Text without blanks, first n characters."""
+    return F.substring(squeeze(F.coalesce(text, F.lit(""))), 1, n)
+
+
 @dataclass
 class LexicalIndex:
-    """postings(id, dl, norm, term, tf), terms(term, df) and corpus(n_docs, avgdl) of one corpus."""
+    """One corpus: postings(id, dl, norm, term, tf), terms(term, df, idf), corpus(n_docs, avgdl, ...), facts(id, key, head).
+
+    The tokenizer that cut the texts also cuts the queries.
+    """
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    facts: DataFrame
     id_col: str = "doc_id"
+    tokenizer: Tokenizer = mixed_tokens
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, id_col: str = "doc_id") -> LexicalIndex:
-        """Index written before."""
-        parts = (spark.read.parquet(f"{path}/{p}") for p in ("postings", "terms", "corpus"))
-        return cls(*parts, id_col=id_col)
-
-
-def _statistics(docs: DataFrame, postings: DataFrame, id_col: str) -> LexicalIndex:
-    """Index over given postings; documents without words count for n_docs and avgdl only."""
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n_docs = docs.agg(F.count("*")).scalar()
-    corpus = postings.agg(F.sum("tf").alias("_words")).select(
-        n_docs.alias("n_docs"), (F.coalesce("_words", F.lit(0)) / n_docs).alias("avgdl")
-    )
-    return LexicalIndex(postings, terms, corpus, id_col)
+    def read(cls, spark: SparkSession, path: str, id_col: str = "doc_id", tokenizer: Tokenizer = mixed_tokens) -> LexicalIndex:
+        """Index written before, to be read with the tokenizer it was written with."""
+        terms, corpus, facts = (spark.read.parquet(f"{path}/{p}") for p in ("terms", "corpus", "facts"))
+        n_buckets, columns = corpus.select("n_buckets", "columns").first()
+        name = _table_name(path)
+        if not spark.catalog.tableExists(name):
+            spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{id_col}`) SORTED BY (term, `{id_col}`) "
+                f"INTO {n_buckets} BUCKETS LOCATION '{path}/postings'")
+        return cls(spark.table(name), terms, corpus, facts, id_col, tokenizer)
+
+
+def _table_name(path: str) -> str:
+    return f"clauselake_postings_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def _term_table(postings: DataFrame, n_docs: Column) -> DataFrame:
+    """(term, df, idf): log odds, where terms in over half of the documents get a share of the mean instead."""
+    raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
+        "_raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("_raw")).scalar()
+    return raw.select(
+        "term", "df", F.when(F.col("_raw") < 0, F.lit(IDF_FLOOR) * mean).otherwise(F.col("_raw")).alias("idf"))
+
+
+def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What searches show and compare of a document, so that they need no text."""
+    return docs.select(id_col, prefix_key(F.col(text_col)).alias("key"), F.substring(text_col, 1, HEAD).alias("head"))
+
+
+def _corpus(docs: DataFrame, postings: DataFrame, id_col: str) -> DataFrame:
+    """Documents without words count for n_docs and avgdl only."""
+    n_docs = docs.select(id_col).agg(F.count("*")).scalar()
+    return postings.agg(F.sum("tf").alias("_words"), F.count("*").alias("n_postings")).select(
+        n_docs.alias("n_docs"), (F.coalesce("_words", F.lit(0)) / n_docs).alias("avgdl"), "n_postings")
 
 
 def build_index(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    tokenizer: Callable[[Column], Column] = tokens,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Tokenizer = mixed_tokens
 ) -> LexicalIndex:
     """Index over all documents, as plans."""
-    return _statistics(docs.select(id_col), term_counts(docs, [id_col], text_col, tokenizer), id_col)
+    return lexical_index(docs, term_counts(docs, [id_col], text_col, tokenizer), id_col, text_col, tokenizer)
+
+
+def lexical_index(
+    docs: DataFrame, postings: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Tokenizer = mixed_tokens
+) -> LexicalIndex:
+    """Index over documents whose postings are at hand, as plans."""
+    corpus = _corpus(docs, postings, id_col)
+    terms = _term_table(postings, corpus.select("n_docs").scalar())
+    return LexicalIndex(postings, terms, corpus, _facts(docs, id_col, text_col), id_col, tokenizer)
 
 
 def write_index(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-    tokenizer: Callable[[Column], Column] = tokens, clustered: bool = False,
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: Tokenizer = mixed_tokens,
+    n_buckets: int | None = None,
 ) -> LexicalIndex:
-    """Index written as three tables: texts are cut into words once, statistics come from the written postings.
+    """Index written as tables: texts are cut into words once, statistics come from the written postings.
 
-    Plain postings keep the order of the documents and need no shuffle.  Clustered ones are range-sorted by
-    term, which pays when many later query sets read only some terms.
+    Postings are bucketed by document and sorted by term.  A document's postings then stand in one task, so scores are
+    summed without an exchange, in the order of the terms, and the few terms of a query set leave most pages out.
     """
     spark = docs.sparkSession
-    postings = term_counts(docs, [id_col], text_col, tokenizer)
-    if clustered:
-        postings = postings.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col)
-    postings.write.mode("overwrite").parquet(f"{path}/postings")
-    index = _statistics(docs.select(id_col), spark.read.parquet(f"{path}/postings"), id_col)
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-    return LexicalIndex.read(spark, path, id_col)
+    started = time.time()
+    n = n_buckets or max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    postings = term_counts(docs, [id_col], text_col, tokenizer).repartition(n, id_col)
+    postings.write.mode("overwrite").bucketBy(n, id_col).sortBy("term", id_col).option(
+        "path", f"{path}/postings").saveAsTable(_table_name(path))
+    stored = spark.table(_table_name(path))
+    columns = ", ".join(f"`{c}` {t}" for c, t in stored.dtypes)
+    corpus = _corpus(docs, stored, id_col).select(
+        "*", F.lit(n).alias("n_buckets"), F.lit(columns).alias("columns"), F.lit(started).alias("built_at"))
+    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    n_docs = spark.read.parquet(f"{path}/corpus").select("n_docs").scalar()
+    _term_table(stored, n_docs).write.mode("overwrite").parquet(f"{path}/terms")
+    _facts(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/facts")
+    return LexicalIndex.read(spark, path, id_col, tokenizer)
 
 
 def idf_table(index: LexicalIndex) -> DataFrame:
-    """(term, df, idf): log odds, where terms in over half of the documents get a share of the mean instead."""
-    n = index.corpus.select("n_docs").scalar()
-    raw = index.terms.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("_raw")).scalar()
-    return raw.select(
-        "term", "df", F.when(F.col("_raw") < 0, F.lit(IDF_FLOOR) * mean).otherwise(F.col("_raw")).alias("idf")
-    )
+    """(term, df, idf) of every term."""
+    return index.terms.select("term", "df", "idf")
 
 
 def query_terms(
-    queries: DataFrame, query_cols: Sequence[str] = ("query_id",), text_col: str = "text",
-    tokenizer: Callable[[Column], Column] = tokens,
+    queries: DataFrame, tokenizer: Tokenizer, query_cols: Sequence[str] = ("query_id",), text_col: str = "text"
 ) -> DataFrame:
-    """(query, term, qtf, qnorm): a repeated word counts again."""
-    return term_counts(queries, query_cols, text_col, tokenizer).select(
-        *query_cols, "term", F.col("tf").alias("qtf"), F.col("norm").alias("qnorm")
-    )
+    """(query, term, qtf, qnorm, n_words): a repeated word counts again; n_words counts different ones."""
+    counted = term_counts(queries.withColumn("_words", F.size(F.array_distinct(tokenizer(F.col(text_col))))),
+                          [*query_cols, "_words"], text_col, tokenizer)
+    return counted.select(*query_cols, "term", F.col("tf").alias("qtf"), F.col("norm").alias("qnorm"),
+                          F.col("_words").alias("n_words"))
+
+
+def weighted_postings(index: LexicalIndex, qterms: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Postings of the terms of a query set, each joined with the rows of the queries that have the term.
+
+    One look at the query terms, up to the bound, decides how they meet.  Few of them are broadcast and pushed to the scan as a
+    list of terms.  Otherwise both sides shuffle by term, and the postings of a hot term are split over as many tasks
+    as it has shares of 1/HOT_TERMS, at most HOT_TERMS terms in all.
+    """
+    few = [r[0] for r in qterms.select("term").limit(BROADCAST_ROWS + 1).collect()]
+    weights = qterms.join(index.terms.select("term", "idf"), "term").select(*columns, "term", "qtf", "qnorm", "n_words", "idf")
+    if len(few) <= BROADCAST_ROWS:
+        wanted = index.postings.filter(F.col("term").isin(sorted(set(few)))) if few else index.postings.limit(0)
+        return wanted.join(F.broadcast(weights), "term")
+    share = F.greatest(F.lit(1), F.ceil(index.corpus.select("n_postings").scalar() / HOT_TERMS))
+    hot = index.terms.filter(F.col("df") > share).select("term", F.ceil(F.col("df") / share).cast("int").alias("_parts"))
+    split = index.postings.join(F.broadcast(hot), "term", "left").withColumn(
+        "_part", F.pmod(F.xxhash64(index.id_col), F.coalesce("_parts", F.lit(1))).cast("int"))
+    copied = weights.join(F.broadcast(hot), "term", "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return split.drop("_parts").join(copied.drop("_parts"), ["term", "_part"]).drop("_part")
 
 
 def pair_scores(
     index: LexicalIndex, queries: DataFrame, query_cols: Sequence[str] = ("query_id",), text_col: str = "text",
-    tokenizer: Callable[[Column], Column] = tokens,
+    facets: DataFrame | None = None,
 ) -> DataFrame:
-    """(query, id, bm25, cosine) for every document sharing a word with a query, both from one pass.
+    """(query, id, bm25, cosine, overlap) for every document sharing a word with a query, all from one pass.
 
-    Query words are counted first: while they are few they travel to the postings, which then never shuffle;
-    past the bound the same joins shuffle.  The sums are pre-aggregated before the one shuffle by pair.
+    overlap is the share of the query's different words that the document has.  With facets (id, domain, code) a query's
+    `domain` and `spec_codes` columns limit its documents to that domain and to any of those codes; null does not.
     """
-    qterms = query_terms(queries, query_cols, text_col, tokenizer)
-    size = qterms.limit(BROADCAST_ROWS + 1).count()
-    words = broadcast_if(qterms.select("term").distinct(), size)
-    idf = broadcast_if(idf_table(index).join(words, "term", "left_semi"), size)
-    weights = broadcast_if(qterms.join(idf, "term").select(*query_cols, "term", "qtf", "qnorm", "idf"), size)
+    qterms = query_terms(queries, index.tokenizer, query_cols, text_col)
     avgdl = index.corpus.select("avgdl").scalar()
     tf = F.col("tf")
     bm25 = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     cosine = F.col("qtf") * tf / (F.col("qnorm") * F.col("norm"))
-    return (
-        index.postings.join(weights, "term")
-        .groupBy(*query_cols, index.id_col)
-        .agg(F.sum(bm25).alias("bm25"), F.sum(cosine).alias("cosine"))
-    )
+    pairs = weighted_postings(index, qterms, query_cols).groupBy(index.id_col, *query_cols).agg(
+        F.sum(bm25).alias("bm25"), F.sum(cosine).alias("cosine"), (F.count("*") / F.first("n_words")).alias("overlap"))
+    if facets is None:
+        return pairs
+    return allowed(pairs, queries, facets, query_cols, index.id_col)
+
+
+def allowed(
+    pairs: DataFrame, queries: DataFrame, facets: DataFrame, query_cols: Sequence[str] = ("query_id",), id_col: str = "doc_id"
+) -> DataFrame:
+    """The pairs that the filters of their query let through: its domain, and any of its codes."""
+    wanted = [c for c in ("domain", "spec_codes") if c in queries.columns]
+    rules = queries.select(*query_cols, *[F.col(c).alias(f"_{c}") for c in wanted])
+    joined = pairs.join(facets.select(id_col, F.col("domain").alias("_has_domain"), F.col("code").alias("_has_code")), id_col).join(
+        rules, list(query_cols))
+    if "domain" in wanted:
+        joined = joined.filter(F.col("_domain").isNull() | (F.col("_domain") == F.col("_has_domain")))
+    if "spec_codes" in wanted:
+        codes = F.col("_spec_codes")
+        if not isinstance(queries.schema["spec_codes"].dataType, ArrayType):
+            codes = F.when(codes.isNotNull(), F.array(codes))
+        joined = joined.filter(codes.isNull() | F.array_contains(codes, F.col("_has_code")))
+    return joined.select(*pairs.columns)
 
 
 def ranked(
     scores: DataFrame, score: str, k: int, query_cols: Sequence[str] = ("query_id",), id_col: str = "doc_id"
 ) -> DataFrame:
-    """(query, id, score, rank): best k per query above zero; scores equal to six places fall back to the id."""
-    named = scores.select(*query_cols, id_col, F.round(score, 6).alias("score")).filter(F.col("score") > 0)
+    """(query, id, score, rank, overlap): best k per query above zero; equal scores fall back to the id."""
+    named = scores.select(*query_cols, id_col, F.col(score).alias("score"), "overlap").filter(F.col("score") > 0)
     return top_k(named, query_cols, [F.col("score").desc(), F.col(id_col)], k)
 
 
 def bm25_top(
-    index: LexicalIndex, queries: DataFrame, k: int, query_cols: Sequence[str] = ("query_id",)
+    index: LexicalIndex, queries: DataFrame, k: int, query_cols: Sequence[str] = ("query_id",),
+    facets: DataFrame | None = None,
 ) -> DataFrame:
-    """Best k documents per query by BM25."""
-    return ranked(pair_scores(index, queries, query_cols), "bm25", k, query_cols, index.id_col)
+    """Best k documents per query by BM25, within the queries' domains and codes if facets are given."""
+    return ranked(pair_scores(index, queries, query_cols, facets=facets), "bm25", k, query_cols, index.id_col)

@@ -11,12 +11,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BROADCAST_BYTES = 32 << 20
+"""Bytes below which a side may be broadcast; beyond it the join is left to shuffle."""
 
 BROADCAST_ROWS = 100_000
-"""Row bound below which a side may be broadcast; beyond it the join is left to shuffle."""
+"""Words of a query set below which they are broadcast."""
 
 BLOCK = 1 << 20
-"""Consecutive ids per block: the most rows one task sorts for one key."""
+"""Rows per block that a task sorts for one key."""
+
+MAX_RANGES = 4096
+"""Id ranges at most; beyond MAX_RANGES * BLOCK rows the ranges grow."""
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -30,14 +37,36 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top_k(df, keys, order, 1, "_rn").drop("_rn")
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most max_rows rows, reading no more than it must."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: texts as long as they are, other columns by their usual width."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+        elif isinstance(kind, (T.ArrayType, T.MapType)):
+            total = total + F.greatest(F.size(field.name), F.lit(0)) * 24 + 16
+        else:
+            total = total + (64 if isinstance(kind, T.StructType) else 8)
+    return total
 
 
-def broadcast_if(df: DataFrame, rows: int | None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the known row bound is small; otherwise leave the choice to the optimizer."""
-    return F.broadcast(df) if rows is not None and rows <= max_rows else df
+def is_small(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether a frame has at most so many bytes, reading no more rows than can fit."""
+    bound = BROADCAST_BYTES if max_bytes is None else max_bytes
+    measured = df.limit(bound // 16 + 1).agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
+    return measured <= bound
+
+
+def broadcast_if(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Broadcast hint when the frame is small; otherwise leave the choice to the optimizer.
+
+    With a known bound on the rows of a frame without texts its bytes follow; else they are measured.
+    """
+    texts = any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) for f in df.schema.fields)
+    if rows is not None and not texts:
+        return F.broadcast(df) if rows * (16 + 64 * len(df.columns)) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def number_rows(
@@ -45,10 +74,19 @@ def number_rows(
 ) -> DataFrame:
     """1-based position of each row among the rows of its key, ordered by a unique integer id.
 
-    Rows are numbered inside (key, id block) and shifted by the sizes of the earlier blocks, so a hot key is
-    spread over as many tasks as it has blocks.  Keys must not be null.
+    Rows are numbered inside (key, id range) and shifted by the sizes of the earlier ranges.  The borders of the ranges
+    come from a quantile sketch of all ids, so a range holds about `width` rows whatever the ids are, and a hot key is
+    spread over as many tasks as it has ranges.  Keys must not be null.
     """
-    blocked = df.withColumn("_blk", F.floor(F.col(id_col) / F.lit(width)))
+    counted = df.agg(F.count("*").alias("n")).first()[0]
+    n_ranges = min(MAX_RANGES, -(-counted // width))
+    if n_ranges > 1:
+        shares = [i / n_ranges for i in range(1, n_ranges)]
+        borders = sorted(set(df.agg(F.percentile_approx(id_col, shares, 10 * n_ranges)).first()[0]))
+        block = F.size(F.filter(F.lit(borders), lambda b: b < F.col(id_col)))
+    else:
+        block = F.lit(0)
+    blocked = df.withColumn("_blk", block)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         blocked.groupBy(*keys, "_blk").agg(F.count("*").alias("_n"))
@@ -119,7 +157,7 @@ def index_percentiles(
     wanted = sketch.select(*keys, "n", F.inline(F.array(*rows))).withColumn(
         "_at", F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("p")))
     )
-    small = is_small(df.select(*keys).distinct(), BROADCAST_ROWS // len(percentiles))
+    small = is_small(df.select(*keys).distinct(), BROADCAST_BYTES // len(percentiles))
     joined = counts.join(F.broadcast(wanted) if small else wanted, list(keys))
     below = (
         joined.filter(F.col(value) < F.col("lo")).groupBy(*keys, "p").agg(F.sum("_c").alias("_below"))

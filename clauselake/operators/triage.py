@@ -111,7 +111,7 @@ def fallback_reply(triaged: DataFrame, replies: DataFrame, p: TriageProfile = ST
     ]
     code = deprecated_code(F.col("query"), p)
     info = F.get(F.filter(F.array(*rows), lambda r: r["code"] == code), F.lit(0))
-    joined = triaged.join(F.broadcast(replies) if is_small(replies, 1000) else replies, "scenario")
+    joined = triaged.join(F.broadcast(replies) if is_small(replies) else replies, "scenario")
     filled = F.format_string(
         "%s", F.replace(
             F.replace(F.replace(F.replace(F.col("template"), F.lit("{name}"), F.coalesce(info["name"], F.lit(""))),

@@ -150,11 +150,13 @@ def quoting_answers(pairs: DataFrame) -> DataFrame:
 @query("echo_guard", rf"""
 WITH {PAIRS},
 fl AS (SELECT id, regexp_replace(replace(replace(question, chr(10), ' '), '"', ' '), '^{BLANK}+|{BLANK}+$', '', 'g') AS q FROM qa),
-wd AS (SELECT id, unnest(regexp_extract_all(q, '{WORD_PIECES}')) AS word FROM fl)
-SELECT fl.id, 7 AS span_start, 7 + len(q) AS span_end, (SELECT count(*) FROM wd WHERE wd.id = fl.id AND word IN {WORDS}) AS n_protected FROM fl WHERE len(q) >= 15""")
+sp AS (SELECT id, 7 AS span_start, q AS part FROM fl WHERE len(q) >= 4
+  UNION ALL SELECT id, 14 + len(q), substr(q, 1, 10) FROM fl WHERE len(q) >= 4 AND 2.0::DOUBLE * least(10, len(q)) / (len(q) + least(10, len(q))) >= 0.9),
+wd AS (SELECT id, unnest(regexp_extract_all(part, '{WORD_PIECES}')) AS word FROM sp)
+SELECT id, span_start, span_start + len(part) AS span_end, (SELECT count(*) FROM wd WHERE wd.id = sp.id AND word IN {WORDS}) AS n_protected FROM sp""")
 def echo_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Protected span of answers that quote their question, and the words of obligation inside it."""
-    pairs = quoting_answers(answers(spark, sf)).filter(F.length("question") >= 15)
+    pairs = quoting_answers(answers(spark, sf))
     spans = pairs.select("id", evidence.echo_spans("text", "question").alias("spans"))
     found = evidence.anchors(pairs, ["id"], "text", PROSE_MODALS.pattern)
     free = evidence.outside_spans(found, spans, "id").groupBy("id").agg(F.count("*").alias("n_free"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauselake import profiles as P
@@ -162,8 +162,9 @@ def issue_rollup(spark: SparkSession, sf: str) -> DataFrame:
     sources = found.groupBy("source").agg(F.countDistinct("doc_id").alias("n")).select(
         F.lit("source").alias("scope"), F.col("source").alias("name"), "n"
     )
-    ordered = top_k(kinds.unionByName(sources), ["scope"], [F.col("n").desc(), F.col("name")], 999, "pos")
-    return ordered.filter((F.col("scope") == "kind") | (F.col("pos") <= 15))
+    best = [F.col("n").desc(), F.col("name")]
+    ranked = kinds.withColumn("pos", F.row_number().over(Window.orderBy(*best)))  # one row per kind
+    return ranked.unionByName(top_k(sources, ["scope"], best, 15, "pos"))
 
 
 def _issues_2_sql() -> str:
@@ -238,11 +239,10 @@ def sampled_pairs(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "source", "n_chars", F.contains("text", F.lit(" the ")).alias("mandatory"),
         F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("w"),
     )
-    w = [F.coalesce(F.get("w", F.lit(i)), F.lit("")) for i in range(4)]
-    proposals = F.concat(
-        F.substring(w[0], 1, 3), F.lit("=>"), F.substring(w[1], 1, 3), F.lit("\n "), F.substring(w[2], 1, 2),
-        F.lit("=>"), F.substring(w[3], 1, 2), F.lit("\nNONE\nabcd=>x"),
-    )
+    halves = F.when(F.size("w") >= 2, F.sequence(F.lit(0), F.expr("size(w) div 2 - 1"))).otherwise(F.array().cast("array<int>"))
+    lines = F.transform(halves, lambda i: F.concat(
+        F.substring(F.get("w", i * 2), 1, 3), F.lit("=>"), F.substring(F.get("w", i * 2 + 1), 1, 3)))
+    proposals = F.concat(F.array_join(lines, "\n "), F.lit("\nNONE\nabcd=>x"))
     sample = quality.sample_per_spec(docs, "source", "n_chars", "mandatory", "doc_id", 30)
     return sample.select("doc_id", "source", quality.proposed_pairs(proposals, r"\p{L}").alias("pairs"))
 
@@ -250,9 +250,8 @@ def sampled_pairs(spark: SparkSession, sf: str) -> DataFrame:
 SAMPLED = r"""
 s0 AS (SELECT doc_id, source, n_chars, regexp_extract_all(text, '\p{L}+') AS w,
   row_number() OVER (PARTITION BY source ORDER BY text LIKE '% the %' DESC, doc_id) AS rn FROM documents WHERE n_chars BETWEEN 60 AND 400),
-s1 AS (SELECT doc_id, source, coalesce(w[1], '') AS a, coalesce(w[2], '') AS b, coalesce(w[3], '') AS c, coalesce(w[4], '') AS d FROM s0 WHERE rn <= 30),
-s2 AS (SELECT doc_id, source, substr(a, 1, 3) AS wrong, substr(b, 1, 3) AS fixed FROM s1 UNION ALL
-       SELECT doc_id, source, substr(c, 1, 2), substr(d, 1, 2) FROM s1),
+s1 AS (SELECT doc_id, source, w, unnest(range(1, len(w) // 2 + 1)) AS i FROM s0 WHERE rn <= 30),
+s2 AS (SELECT doc_id, source, substr(w[2 * i - 1], 1, 3) AS wrong, substr(w[2 * i], 1, 3) AS fixed FROM s1),
 s3 AS (SELECT * FROM s2 WHERE wrong <> '' AND fixed <> '' AND wrong <> fixed)"""
 
 

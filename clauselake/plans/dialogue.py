@@ -21,10 +21,9 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, query): user turns, blanked where the turn number ends in 7."""
+    """(query_id, query): user turns."""
     users = turns(spark, sf).filter(F.col("role") == "user")
-    text = F.when(F.col("turn") % 10 == 7, F.lit("  ")).otherwise(F.col("text"))
-    return users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.alias("query"))
+    return users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
 
 
 def _any(column: str, words: list[str]) -> str:
@@ -42,7 +41,7 @@ DEP = "CASE " + " ".join(
 AMBIGUOUS = f"""CASE WHEN len(q) < {T.very_short} THEN true WHEN len(q) <= {T.mid_length} THEN
   {_count("q", T.concrete_words)} = 0 OR (NOT {_any("q", T.question_words)} AND {_count("q", T.concrete_words)} < 2) ELSE false END"""
 TRIAGED = f"""
-uq AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 10 = 7 THEN '  ' ELSE text END AS query FROM conversations WHERE role = 'user'),
+uq AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
 us AS (SELECT query_id, query, regexp_replace(query, '^{BLANK}+|{BLANK}+$', '', 'g') AS q FROM uq),
 tr AS (SELECT *, {DEP} AS dep, CASE WHEN q = '' THEN 'input_empty' WHEN len(q) > {T.max_length} THEN 'input_too_long'
   WHEN regexp_matches(q, '{T.sensitive}') THEN 'sensitive' WHEN ({DEP}) IS NOT NULL THEN 'deprecated'

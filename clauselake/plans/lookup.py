@@ -331,15 +331,19 @@ def project_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("project_default_filter", """
-WITH c AS (SELECT DISTINCT conv_id, conv_id % 7 AS project_id FROM conversations WHERE conv_id % 7 BETWEEN 1 AND 4),
+WITH c AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 7 BETWEEN 1 AND 4 THEN conv_id % 7 END AS project_id FROM conversations),
 d AS (SELECT doc_id, source FROM documents)
-SELECT conv_id, project_id, count(d.doc_id) AS n_docs FROM c LEFT JOIN d ON d.source IN ('src' || project_id, 'src' || (project_id + 10)) GROUP BY 1, 2""")
+SELECT conv_id, coalesce(project_id, -1) AS project_id, count(d.doc_id) AS n_docs
+FROM c LEFT JOIN d ON project_id IS NULL OR d.source IN ('src' || project_id, 'src' || (project_id + 10)) GROUP BY 1, 2""")
 def project_default_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents in scope of each conversation through the spec list of its project."""
-    convs = read_table(spark, sf, "conversations", "conv_id").distinct().withColumn("project_id", F.col("conv_id") % 7)
+    """Documents in scope of each conversation through the spec list of its project; without a project, all."""
+    rest = F.col("conv_id") % 7
+    convs = read_table(spark, sf, "conversations", "conv_id").distinct().withColumn("project_id", F.when(rest.between(1, 4), rest))
     lists = catalog.fixed_table(
         spark, [(i, f"src{j}") for i in (1, 2, 3, 4) for j in (i, i + 10)], "project_id long, source string"
     )
     sizes = read_table(spark, sf, "documents", "source").groupBy("source").agg(F.count("*").alias("n"))
     per = lists.join(sizes, "source", "left").groupBy("project_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
-    return convs.join(per, "project_id").select("conv_id", "project_id", "n_docs")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return convs.join(per, "project_id", "left").select(
+        "conv_id", F.coalesce("project_id", F.lit(-1)).alias("project_id"), F.coalesce("n_docs", total).alias("n_docs"))

@@ -9,7 +9,7 @@ from clauselake.operators import evaluation as ev
 from clauselake.operators import fusion, triage
 from clauselake.operators.containment import containing
 from clauselake.operators.lexical import pair_scores, ranked
-from clauselake.operators.scale import broadcast_if, index_percentiles, top_k
+from clauselake.operators.scale import index_percentiles, top_k
 from clauselake.plans import dialogue, sql
 from clauselake.plans.registry import query
 from clauselake.plans.search import HYBRID, bench_queries, doc_index, hybrid
@@ -39,8 +39,7 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_hits(spark: SparkSession, sf: str, score: str = "bm25") -> DataFrame:
     """(query_id, rank, doc_id, code, clause) of the best documents per item."""
-    queries = bench_queries(spark, sf)
-    hits = broadcast_if(ranked(pair_scores(doc_index(spark, sf), queries), score, K), queries.count() * K)
+    hits = ranked(pair_scores(doc_index(spark, sf), bench_queries(spark, sf)), score, K)
     return doc_codes(spark, sf).join(hits, "doc_id").select("query_id", "rank", "doc_id", "code", "clause")
 
 
@@ -207,7 +206,7 @@ COMBO_SQL = "cb(combo, mq, rk, hyb) AS (VALUES " + ", ".join(f"('{c}', {m}, {r},
 @query("combo_matrix", f"""
 WITH {HYBRID}, {TRUTH}, {COMBO_SQL},
 cp AS (SELECT combo, rk, p.* FROM paths p JOIN cb ON (p.path = 'vector_00' OR (p.path = 'vector_01' AND mq) OR (p.path = 'words' AND hyb))),
-cf AS (SELECT combo, rk, query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min({{'path': path, 'rank': rank}}) AS first_seen FROM cp GROUP BY ALL),
+cf AS (SELECT combo, rk, query_id, doc_id, {sql.RRF} AS rrf, min({{'path': path, 'rank': rank}}) AS first_seen FROM cp GROUP BY ALL),
 ct AS (SELECT cf.*, {sql.overlap("q.text", "d.text")} AS overlap FROM cf JOIN documents d USING (doc_id) JOIN bq q USING (query_id)),
 cr AS (SELECT *, row_number() OVER (PARTITION BY combo, query_id ORDER BY CASE WHEN rk THEN overlap ELSE rrf END DESC, rrf DESC, first_seen, doc_id) AS rank FROM ct),
 cq AS (SELECT combo, query_id FROM cb, (SELECT DISTINCT query_id FROM truth)),
@@ -225,12 +224,8 @@ def combo_matrix(spark: SparkSession, sf: str) -> DataFrame:
     )
     members = F.broadcast(combos.select("combo", "rk", F.inline(F.array_compact(used))))
     runs = paths.join(members, "path").withColumn("run", F.struct("combo", "rk", "query_id"))
-    fused = fusion.fuse(runs, "run").select("run.*", "doc_id", "rrf", "first_seen")
-    items = bench_queries(spark, sf).withColumnRenamed("text", "query")
-    n = items.count()
-    pairs = broadcast_if(paths.select("query_id", "doc_id").distinct(), n * 3 * 2 * fusion.CANDIDATES)
-    texts = read_documents(spark, sf, "text").join(pairs, "doc_id").join(broadcast_if(items, n), "query_id")
-    overlaps = texts.select("query_id", "doc_id", F.round(fusion.overlap(F.col("query"), F.col("text")), 6).alias("o"))
+    fused = fusion.fuse(runs.drop("overlap"), "run").select("run.*", "doc_id", "rrf", "first_seen")
+    overlaps = paths.select("query_id", "doc_id", F.col("overlap").alias("o")).distinct()
     scored = fused.join(overlaps, ["query_id", "doc_id"])
     best = top_k(
         scored, ["combo", "query_id"],
@@ -272,20 +267,26 @@ def latest_within_ttl(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", "event_type", "event_id")
 
 
+def week_of(ts: str) -> F.Column:
+    """First day of the week, as text."""
+    return F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd")
+
+
 @query("flip_detect", f"""
-WITH d AS (SELECT event_type, (dayofyear(ts) - 1) // 7 AS week, CAST(ts AS DATE) AS day, round(avg(value) / 10, 6) AS strict, round(avg(k) / 100, 6) AS loose FROM {EVENTS} GROUP BY 1, 2, 3),
+WITH d AS (SELECT event_type, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, CAST(ts AS DATE) AS day, round(avg(value) / 10, 6) AS strict, round(avg(k) / 100, 6) AS loose FROM {EVENTS} GROUP BY 1, 2, 3),
 l AS (SELECT event_type, week, arg_max(strict, day) AS strict, arg_max(loose, day) AS loose FROM d GROUP BY 1, 2),
 x AS (SELECT a.event_type, a.week AS new_set, b.week AS old_set, round(a.strict - b.strict, 6) AS delta_strict, round(a.loose - b.loose, 6) AS delta_loose
-  FROM l a JOIN l b USING (event_type) WHERE a.week = 4 AND b.week <> 4)
+  FROM l a JOIN l b USING (event_type) WHERE a.week = (SELECT max(week) FROM l) AND b.week <> a.week)
 SELECT *, abs(delta_loose) >= 0.05 OR abs(delta_strict) >= 0.05 AS flipped, CASE WHEN delta_loose <= -0.05 THEN 'loose down' WHEN delta_loose >= 0.05 THEN 'loose up'
   WHEN abs(delta_strict) >= 0.05 THEN 'strict changed' ELSE '' END AS note FROM x""")
 def flip_detect(spark: SparkSession, sf: str) -> DataFrame:
     """Event types whose latest daily means differ between the last week and the others."""
     daily = events(spark, sf).groupBy(
-        "event_type", F.floor((F.dayofyear("ts") - 1) / 7).alias("week"), F.to_date("ts").alias("day")
+        "event_type", week_of("ts").alias("week"), F.to_date("ts").alias("day")
     ).agg(F.round(F.avg("value") / 10, 6).alias("strict"), F.round(F.avg("k") / 100, 6).alias("loose"))
     last = ev.latest(daily, ["event_type", "week"], "day", "day", ["strict", "loose"])
-    return ev.flips(last.filter(F.col("week") == 4), last, "event_type", "week")
+    newest = last.agg(F.max("week")).scalar()
+    return ev.flips(last.filter(F.col("week") == newest), last, "event_type", "week")
 
 
 @query("run_variance", """
@@ -300,12 +301,12 @@ def run_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("persistent_fail", """
-WITH f AS (SELECT user_id, (dayofyear(ts) - 1) // 7 AS run FROM events WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) >= 3),
+WITH f AS (SELECT user_id, date_trunc('week', ts) AS run FROM events WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) >= 3),
 p AS (SELECT user_id, count(DISTINCT run) AS n_runs FROM f GROUP BY 1), h AS (SELECT n_runs, count(*) AS n_ids FROM p GROUP BY 1)
 SELECT n_runs, n_ids, round(n_ids / (SELECT sum(n_ids) FROM h), 6) AS share FROM h""")
 def persistent_fail(spark: SparkSession, sf: str) -> DataFrame:
     """Users by the number of weeks with at least three errors."""
-    week = F.floor((F.dayofyear("ts") - 1) / 7).alias("run")
+    week = week_of("ts").alias("run")
     failures = read_table(spark, sf, "events", "user_id", "ts", "event_type").filter(F.col("event_type") == "error").groupBy(
         "user_id", week
     ).agg(F.count("*").alias("n")).filter(F.col("n") >= 3)
@@ -504,11 +505,12 @@ NUMBERS = r"[0-9]+(?:[.][0-9]+)?"
 
 @query("key_elements", rf"""
 WITH n AS (SELECT doc_id, regexp_extract_all(text, '{NUMBERS}') AS x FROM documents),
-u AS (SELECT doc_id, unnest(generate_series(1, len(x))) AS i, unnest(x) AS v FROM n), f AS (SELECT doc_id, v, min(i) AS i FROM u GROUP BY 1, 2)
-SELECT doc_id, substr(string_agg(v, ' / ' ORDER BY i), 1, 80) AS key_elements FROM f GROUP BY 1""")
+u AS (SELECT doc_id, unnest(generate_series(1, len(x))) AS i, unnest(x) AS v FROM n), f AS (SELECT doc_id, v, min(i) AS i FROM u GROUP BY 1, 2),
+k AS (SELECT doc_id, substr(string_agg(v, ' / ' ORDER BY i), 1, 80) AS key_elements FROM f GROUP BY 1)
+SELECT doc_id, coalesce(key_elements, '') AS key_elements FROM documents LEFT JOIN k USING (doc_id)""")
 def key_elements(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct numbers of each document in order."""
-    docs = read_documents(spark, sf, "text").filter(F.col("text").rlike("[0-9]"))
+    """Distinct numbers of each document in order; without a number, an empty text."""
+    docs = read_documents(spark, sf, "text")
     return docs.select("doc_id", ev.key_numbers(F.col("text"), NUMBERS).alias("key_elements"))
 
 

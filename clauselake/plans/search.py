@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.text import tokens
 from clauselake.operators import dense, fusion, lexical
-from clauselake.operators.scale import broadcast_if, keep_first, top_k
+from clauselake.operators.scale import keep_first, top_k
 from clauselake.plans import sql
 from clauselake.plans.registry import query
 from clauselake.sources.corpus import shared_dir
@@ -21,19 +21,47 @@ def bench_queries(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
-def doc_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
-    """Index of all documents: written to the shared folder on first use in an application, read afterwards."""
-    key = (spark.sparkContext.applicationId, sf)
+def _indexed(spark: SparkSession, sf: str, name: str, docs: DataFrame) -> lexical.LexicalIndex:
+    """Index written to the shared folder on first use in an application, and again when the files are others."""
+    key = (spark.sparkContext.applicationId, sf, name, tuple(sorted(docs.inputFiles())))
     if key not in _INDEXES:
         path = f"{shared_dir(spark)}/clauselake/index-{uuid.uuid4().hex}"
-        lexical.write_index(read_documents(spark, sf, "text"), path)
+        lexical.write_index(docs, path)
         _INDEXES[key] = path
     return lexical.LexicalIndex.read(spark, _INDEXES[key])
 
 
+def doc_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    """Index of all documents."""
+    return _indexed(spark, sf, "plain", read_documents(spark, sf, "text"))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+IDEOGRAPHS = "标准规范设计建筑防火安全出口服务半径高层消防给水结构"
+
+
+def to_ideographs(text) -> F.Column:
+    """Text in the script of the standards: every letter a-z becomes an ideograph, other characters stay."""
+    return F.translate(F.lower(text), LETTERS, IDEOGRAPHS)
+
+
+def cjk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their texts in ideographs."""
+    return read_documents(spark, sf, "source", "text").withColumn("text", to_ideographs(F.col("text")))
+
+
+def cjk_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    """Index of the documents in ideographs."""
+    return _indexed(spark, sf, "cjk", cjk_documents(spark, sf).select("doc_id", "text"))
+
+
+CJK_TEXT = f"translate(lower(text), '{LETTERS}', '{IDEOGRAPHS}')"
+CJK_DOCS = f"cdocs AS (SELECT doc_id, source, {CJK_TEXT} AS text FROM documents)"
+
+
 def first_sentence(text) -> F.Column:
     """Text up to its first full stop, used as a second wording."""
     return F.regexp_extract(text, r"^[^.]*", 0)
@@ -90,23 +118,63 @@ def term_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_topk", f"""
 WITH {sql.DOC_TERMS}, {sql.BENCH}, {sql.scores("bq")}, {sql.top("hits", "qscore", "bm25", 10)}
-SELECT * FROM hits""")
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Ten best documents per benchmark item."""
-    return lexical.bm25_top(doc_index(spark, sf), bench_queries(spark, sf), 10)
+    return shown(lexical.bm25_top(doc_index(spark, sf), bench_queries(spark, sf), 10))
+
+
+@query("bm25_cjk", f"""
+WITH {CJK_DOCS}, {sql.doc_terms(sql.cjk_words, "cdocs")}, bq AS (SELECT item_id AS query_id, {CJK_TEXT} AS text FROM benchmark),
+{sql.scores("bq", tok=sql.cjk_words)}, {sql.top("hits", "qscore", "bm25", 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits""")
+def bm25_cjk(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten best documents per benchmark item, all in ideographs."""
+    queries = bench_queries(spark, sf).withColumn("text", to_ideographs(F.col("text")))
+    return shown(lexical.bm25_top(cjk_index(spark, sf), queries, 10))
+
+
+RULES = """
+rules AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 > 0 THEN ['en', 'es'][(item_id % 3)::INTEGER] END AS domain,
+  CASE WHEN item_id % 2 = 0 THEN ['src' || (item_id % 20), 'src' || (item_id % 7), 'src3', 'src' || (item_id % 11)] END AS spec_codes
+  FROM benchmark)"""
+
+
+def bench_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, domain, spec_codes): filters of some benchmark items, null where there is none."""
+    item = F.col("item_id")
+
+    def code(n):
+        return F.concat(F.lit("src"), (item % n).cast("string"))
+
+    return read_table(spark, sf, "benchmark").select(
+        item.alias("query_id"), F.when(item % 3 == 1, "en").when(item % 3 == 2, "es").alias("domain"),
+        F.when(item % 2 == 0, F.array(code(20), code(7), F.lit("src3"), code(11))).alias("spec_codes"))
+
+
+def doc_facets(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, domain, code) of the documents."""
+    return read_documents(spark, sf, "lang", "source").select(
+        "doc_id", F.col("lang").alias("domain"), F.col("source").alias("code"))
+
+
+ALLOWED = ("(r.domain IS NULL OR r.domain = d.lang) AND (r.spec_codes IS NULL OR list_contains(r.spec_codes, d.source))")
 
 
 @query("bm25_filtered", f"""
-WITH {sql.DOC_TERMS}, {sql.BENCH}, {sql.scores("bq")},
-en AS (SELECT q.* FROM qscore q JOIN documents d USING (doc_id) WHERE d.lang IN ('en', 'es')),
-{sql.top("hits", "en", "bm25", 10)}
-SELECT * FROM hits""")
+WITH {sql.DOC_TERMS}, {sql.BENCH}, {sql.scores("bq")}, {RULES},
+near AS (SELECT q.* FROM qscore q JOIN documents d USING (doc_id) JOIN rules r USING (query_id) WHERE {ALLOWED}),
+{sql.top("hits", "near", "bm25", 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits""")
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten best documents in two languages; corpus statistics still come from all documents."""
-    whole = doc_index(spark, sf)
-    some = read_documents(spark, sf, "lang", "text").filter(F.col("lang").isin("en", "es"))
-    index = lexical.LexicalIndex(lexical.build_index(some).postings, whole.terms, whole.corpus)
-    return lexical.bm25_top(index, bench_queries(spark, sf), 10)
+    """Ten best documents per item within its domain and any of its codes; statistics come from all documents."""
+    queries = bench_queries(spark, sf).join(bench_filters(spark, sf), "query_id")
+    return shown(lexical.bm25_top(doc_index(spark, sf), queries, 10, facets=doc_facets(spark, sf)))
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    """Hits with rounded scores."""
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +249,7 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
 PATHS = f"""{sql.DOC_TERMS}, {sql.BENCH}, {sql.scores("bq")},
 {sql.top("hb", "qscore", "bm25", 20)}, {sql.top("hc", "qscore", "cosine", 20)},
 paths AS (SELECT 'vector_00' AS path, * FROM hc UNION ALL SELECT 'words', * FROM hb),
-fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(*) AS n_paths,
+fused AS (SELECT query_id, doc_id, {sql.RRF} AS rrf, count(*) AS n_paths,
           min({{'path': path, 'rank': rank}}) AS first_seen FROM paths GROUP BY 1, 2),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first_seen, doc_id) AS rank FROM fused)"""
 
@@ -196,11 +264,11 @@ def two_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rrf_fuse", f"""
 WITH {PATHS}
-SELECT query_id, doc_id, rrf, n_paths, rank FROM fr WHERE rank <= 10""")
+SELECT query_id, doc_id, round(rrf, 9) AS rrf, n_paths, rank FROM fr WHERE rank <= 10""")
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     """Reciprocal rank fusion of both paths."""
     fused = top_k(fusion.fuse(two_paths(spark, sf)), ["query_id"], fusion.fused_order(), 10)
-    return fused.select("query_id", "doc_id", "rrf", "n_paths", "rank")
+    return fused.select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "n_paths", "rank")
 
 
 @query("prefix_dedup", f"""
@@ -209,7 +277,7 @@ SELECT lang, doc_id, n_chars FROM (SELECT lang, doc_id, n_chars, row_number() OV
 def prefix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """One document per language and text prefix, the longest."""
     docs = read_documents(spark, sf, "lang", "n_chars", "text").select(
-        "doc_id", "lang", "n_chars", fusion.prefix_key(F.col("text")).alias("key")
+        "doc_id", "lang", "n_chars", lexical.prefix_key(F.col("text")).alias("key")
     )
     kept = fusion.drop_copies(docs, F.col("lang"), F.col("key"), "n_chars", query_cols=())
     return kept.select("lang", "doc_id", "n_chars")
@@ -222,29 +290,18 @@ cand AS (SELECT h.query_id, h.doc_id, h.score, h.rank, {sql.overlap("q.text", "d
 
 def bm25_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, doc_id, score, rank, overlap): BM25 hits with the pair score of the offline scorer."""
-    queries = bench_queries(spark, sf)
-    n = queries.count()
-    hits = lexical.bm25_top(doc_index(spark, sf), queries, fusion.CANDIDATES)
-    docs = read_documents(spark, sf, "text")
-    return (
-        docs.join(broadcast_if(hits, n * fusion.CANDIDATES), "doc_id")
-        .join(broadcast_if(queries.withColumnRenamed("text", "query"), n), "query_id")
-        .select(
-            "query_id", "doc_id", "score", "rank",
-            F.round(fusion.overlap(F.col("query"), F.col("text")), 6).alias("overlap"),
-        )
-    )
+    return lexical.bm25_top(doc_index(spark, sf), bench_queries(spark, sf), fusion.CANDIDATES)
 
 
 @query("rerank_topk", f"""
 WITH {RERANKED}
-SELECT query_id, doc_id, overlap, rerank_rank FROM (SELECT *, row_number() OVER (
+SELECT query_id, doc_id, round(overlap, 6) AS overlap, rerank_rank FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY overlap DESC, rank) AS rerank_rank FROM cand WHERE overlap >= 0.1)
 WHERE rerank_rank <= 5""")
 def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Five best of the BM25 candidates by pair score."""
     best = fusion.rerank(bm25_candidates(spark, sf), "overlap", [F.col("rank")])
-    return best.select("query_id", "doc_id", "overlap", "rerank_rank")
+    return best.select("query_id", "doc_id", F.round("overlap", 6).alias("overlap"), "rerank_rank")
 
 
 @query("passage_format", """
@@ -262,17 +319,19 @@ def passage_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-HYBRID = f"""{sql.DOC_TERMS}, {VARIANTS}, {sql.scores("bv", "query_id, variant_no")},
-allpaths AS (SELECT query_id, doc_id, 'vector_0' || variant_no AS path, round(cosine, 6) AS score FROM qscore
-          UNION ALL SELECT query_id, doc_id, 'words', round(bm25, 6) FROM qscore WHERE variant_no = 0),
+def hybrid_sql(variants: str = VARIANTS, docs: str = "documents", tok=sql.words, allowed: str = "") -> str:
+    """CTEs up to rer(query_id, doc_id, rerank_rank, overlap, rrf, n_paths, dedup_rank)."""
+    return f"""{sql.doc_terms(tok, docs)}, {variants}, {sql.scores("bv", "query_id, variant_no", tok)},
+allpaths AS (SELECT query_id, doc_id, 'vector_0' || variant_no AS path, cosine AS score FROM qscore {allowed}
+          UNION ALL SELECT query_id, doc_id, 'words', bm25 FROM qscore {allowed} {"AND" if allowed else "WHERE"} variant_no = 0),
 paths AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, doc_id) AS rank
           FROM allpaths WHERE score > 0) WHERE rank <= 40),
-fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(*) AS n_paths,
+fused AS (SELECT query_id, doc_id, {sql.RRF} AS rrf, count(*) AS n_paths,
           min({{'path': path, 'rank': rank}}) AS first_seen FROM paths GROUP BY 1, 2),
 fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first_seen, doc_id) AS fused_rank
        FROM fused) WHERE fused_rank <= 40),
-ft AS (SELECT f.*, d.source, d.text, {sql.overlap("q.text", "d.text")} AS overlap
-       FROM fr f JOIN documents d USING (doc_id) JOIN bq q USING (query_id)),
+ft AS (SELECT f.*, d.source, d.text, {sql.overlap("q.text", "d.text", tok)} AS overlap
+       FROM fr f JOIN {docs} d USING (doc_id) JOIN bq q USING (query_id)),
 uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, {sql.PREFIX_KEY}
          ORDER BY rrf DESC, doc_id) AS rn FROM ft) WHERE rn = 1),
 ded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first_seen, doc_id) AS dedup_rank
@@ -281,21 +340,54 @@ rer AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
         FROM ded WHERE overlap >= 0.1) WHERE rerank_rank <= 5)"""
 
 
+HYBRID = hybrid_sql()
+RERANK_COLUMNS = ("query_id, doc_id, rerank_rank, round(overlap, 6) AS overlap, round(rrf, 9) AS rrf, n_paths, dedup_rank")
+
+
+def reranked(stages: dict[str, DataFrame]) -> DataFrame:
+    """Result of a hybrid search with rounded scores."""
+    return stages["reranked"].select(
+        "query_id", "doc_id", "rerank_rank", F.round("overlap", 6).alias("overlap"), F.round("rrf", 9).alias("rrf"),
+        "n_paths", "dedup_rank")
+
+
+def doc_names(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, code) of the documents."""
+    return read_documents(spark, sf, "source").withColumnRenamed("source", "code")
+
+
 def hybrid(spark: SparkSession, sf: str, several: bool = False) -> dict[str, DataFrame]:
     """Stage tables of the hybrid search of all benchmark items; path hits are stored when several are read."""
-    docs = read_documents(spark, sf, "source", "text").withColumnRenamed("source", "code")
     store = f"{shared_dir(spark)}/clauselake/paths-{uuid.uuid4().hex}" if several else None
-    return fusion.hybrid_stages(doc_index(spark, sf), bench_variants(spark, sf), docs, store=store)
+    return fusion.hybrid_stages(doc_index(spark, sf), bench_variants(spark, sf), doc_names(spark, sf), store=store)
 
 
-@query("hybrid_search", f"""
-WITH {HYBRID}
-SELECT query_id, doc_id, rerank_rank, overlap, rrf, n_paths, dedup_rank FROM rer""")
+@query("hybrid_search", f"WITH {HYBRID} SELECT {RERANK_COLUMNS} FROM rer")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: two wordings, keyword and vector paths, fusion, de-duplication and rerank for every item."""
-    return hybrid(spark, sf)["reranked"].select(
-        "query_id", "doc_id", "rerank_rank", "overlap", "rrf", "n_paths", "dedup_rank"
-    )
+    return reranked(hybrid(spark, sf))
+
+
+CJK_VARIANTS = f"""bq AS (SELECT item_id AS query_id, {CJK_TEXT} AS text FROM benchmark),
+bv AS (SELECT query_id, 0 AS variant_no, text FROM bq UNION ALL SELECT query_id, 1, regexp_extract(text, '^[^.]*') FROM bq)"""
+
+
+@query("hybrid_cjk", f"""
+WITH {CJK_DOCS}, {hybrid_sql(CJK_VARIANTS, "cdocs", sql.cjk_words)} SELECT {RERANK_COLUMNS} FROM rer""")
+def hybrid_cjk(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship search over texts in ideographs."""
+    variants = bench_variants(spark, sf).withColumn("text", to_ideographs(F.col("text")))
+    return reranked(fusion.hybrid_stages(cjk_index(spark, sf), variants, doc_names(spark, sf)))
+
+
+@query("hybrid_filtered", f"""
+WITH {RULES}, {hybrid_sql(allowed="JOIN documents d USING (doc_id) JOIN rules r USING (query_id) WHERE " + ALLOWED)}
+SELECT {RERANK_COLUMNS} FROM rer""")
+def hybrid_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship search within each item's domain and any of its codes."""
+    return reranked(fusion.hybrid_stages(
+        doc_index(spark, sf), bench_variants(spark, sf), doc_names(spark, sf), filters=bench_filters(spark, sf),
+        facets=doc_facets(spark, sf)))
 
 
 @query("retrieval_funnel", f"""
@@ -341,7 +433,7 @@ WITH {sql.DOC_TERMS}, {sql.BENCH}, {sql.scores("bq")}, {sql.top("hits", "qscore"
 cand AS (SELECT h.query_id, h.doc_id, h.score AS relevance,
            CASE WHEN d.lang <> 'fr' THEN {sql.overlap("q.text", "d.text")} END AS pair_score
          FROM hits h JOIN documents d USING (doc_id) JOIN bq q USING (query_id))
-SELECT query_id, doc_id, coalesce(pair_score, relevance) AS final_score, pair_score IS NULL AS used_fallback, rerank_rank
+SELECT query_id, doc_id, round(coalesce(pair_score, relevance), 6) AS final_score, pair_score IS NULL AS used_fallback, rerank_rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(pair_score, relevance) DESC, relevance DESC, doc_id)
         AS rerank_rank
       FROM cand WHERE CASE WHEN pair_score IS NULL THEN relevance >= 0.3 ELSE pair_score >= 0.1 END)
@@ -349,19 +441,15 @@ WHERE rerank_rank <= 5""")
 def rerank_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Rerank where the scorer has no answer for one language: those pairs keep their vector order."""
     queries = bench_queries(spark, sf)
-    n = queries.count()
     hits = lexical.ranked(lexical.pair_scores(doc_index(spark, sf), queries), "cosine", fusion.CANDIDATES)
-    pairs = (
-        read_documents(spark, sf, "lang", "text").join(broadcast_if(hits, n * fusion.CANDIDATES), "doc_id")
-        .join(broadcast_if(queries.withColumnRenamed("text", "query"), n), "query_id")
-        .select(
-            "query_id", "doc_id", F.col("score").alias("relevance"),
-            F.when(F.col("lang") != "fr", F.round(fusion.overlap(F.col("query"), F.col("text")), 6)).alias("pair_score"),
-        )
+    pairs = hits.join(read_documents(spark, sf, "lang"), "doc_id").select(
+        "query_id", "doc_id", F.col("score").alias("relevance"),
+        F.when(F.col("lang") != "fr", F.col("overlap")).alias("pair_score"),
     )
     best = fusion.rerank_or_fallback(pairs, "pair_score", "relevance")
     return best.select(
-        "query_id", "doc_id", F.coalesce("pair_score", "relevance").alias("final_score"), "used_fallback", "rerank_rank"
+        "query_id", "doc_id", F.round(F.coalesce("pair_score", "relevance"), 6).alias("final_score"), "used_fallback",
+        "rerank_rank",
     )
 
 
@@ -383,22 +471,23 @@ def turn_sub_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("decomposed_search", f"""
 WITH {sql.DOC_TERMS}, {SUB_QUERIES}, {sql.scores("sq", "query_id, sub_no")},
-coarse AS (SELECT * FROM (SELECT query_id, sub_no, doc_id, round(cosine, 6) AS score, row_number() OVER (
-  PARTITION BY query_id, sub_no ORDER BY round(cosine, 6) DESC, doc_id) AS coarse_rank FROM qscore) WHERE coarse_rank <= 20),
+coarse AS (SELECT * FROM (SELECT query_id, sub_no, doc_id, cosine AS score, row_number() OVER (
+  PARTITION BY query_id, sub_no ORDER BY cosine DESC, doc_id) AS coarse_rank FROM qscore) WHERE coarse_rank <= 20),
 ct AS (SELECT c.*, d.source, d.lang, d.text, {sql.overlap("q.text", "d.text")} AS overlap
        FROM coarse c JOIN documents d USING (doc_id) JOIN sq q USING (query_id, sub_no)),
 uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, sub_no, source, {sql.PREFIX_KEY}
          ORDER BY score DESC, doc_id) AS rn FROM ct) WHERE rn = 1),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, sub_no ORDER BY overlap DESC, coarse_rank) AS rank
          FROM uniq WHERE overlap >= 0.1) WHERE rank <= 2)
-SELECT query_id, sub_no, rank, doc_id, overlap FROM (SELECT *, row_number() OVER (
+SELECT query_id, sub_no, rank, doc_id, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id, source, lang, substr(text, 1, 40) ORDER BY sub_no, rank) AS mn FROM best) WHERE mn = 1""")
 def decomposed_search(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of every user turn searched one by one, two documents each, merged in sentence order."""
-    docs = read_documents(spark, sf, "source", "lang", "text")
-    return fusion.decomposed(
+    docs = read_documents(spark, sf, "source", "lang")
+    found = fusion.decomposed(
         doc_index(spark, sf), turn_sub_queries(spark, sf), docs, code="source", clause="lang"
     )
+    return found.withColumn("overlap", F.round("overlap", 6))
 
 
 RAW_OUTPUT = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauselake.functions.text import WIDE_DIGITS
 from clauselake.operators import chunking
 from clauselake.operators.scale import carry_forward, number_rows
 from clauselake.plans.registry import query
@@ -106,14 +107,14 @@ def _numbered_sql(name: str, pieces: str) -> str:
 def _merged_sql(name: str, numbered: str) -> str:
     return f"""
 {name}_x AS (SELECT *, lead(type) OVER w AS nt, lead(section) OVER w AS ns, lead(clause) OVER w AS nc, lead(text) OVER w AS nx,
-   lead(is_mandatory) OVER w AS nm, lead(char_count) OVER w AS nn, lead(page_end) OVER w AS np
+   lead(chapter) OVER w AS nch, lead(is_mandatory) OVER w AS nm, lead(char_count) OVER w AS nn, lead(page_end) OVER w AS np
    FROM {numbered} WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
 {name}_y AS (SELECT *, type = 'clause' AND char_count < 50 AND coalesce(nt = 'clause', false)
    AND section IS NOT DISTINCT FROM ns AS glue FROM {name}_x),
 {name}_z AS (SELECT *, glue AND (seq - coalesce(last_value(CASE WHEN NOT glue THEN seq END IGNORE NULLS) OVER (PARTITION BY doc_id
    ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)) % 2 = 1 AS start FROM {name}_y),
 {name}_w AS (SELECT *, coalesce(lag(start) OVER (PARTITION BY doc_id ORDER BY seq), false) AS gone FROM {name}_z),
-{name} AS (SELECT doc_id, chunk_id, seq, chapter, section, type,
+{name} AS (SELECT doc_id, chunk_id, seq, CASE WHEN start THEN nch ELSE chapter END AS chapter, section, type,
    CASE WHEN start THEN clause || '+' || nc ELSE clause END AS clause,
    CASE WHEN start THEN text || chr(10) || nx ELSE text END AS text,
    CASE WHEN start THEN is_mandatory OR nm ELSE is_mandatory END AS is_mandatory,
@@ -152,6 +153,47 @@ def line_kinds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+STANDARD_LINES = """
+sl AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no,
+  unnest(string_split(text, chr(10))) AS raw FROM documents),
+sk AS (SELECT doc_id, line_no, line_no % 7 AS cat, doc_id % 9 + 1 AS a, line_no % 90 + 1 AS b,
+  min(CASE WHEN line_no % 7 = 5 THEN line_no END) OVER (PARTITION BY doc_id) AS first_app FROM sl)"""
+
+
+@query("line_kinds_standard", f"""
+WITH {STANDARD_LINES}
+SELECT doc_id, line_no, CASE WHEN cat = 0 THEN 'chapter' WHEN cat = 1 THEN 'section' WHEN cat = 2 THEN 'clause' WHEN cat = 3 THEN 'table'
+    WHEN cat = 4 THEN 'formula' WHEN cat = 5 AND line_no = first_app THEN 'appendix' ELSE 'body' END AS kind,
+  CASE WHEN cat = 2 THEN a || '.' || b || '.' || (b + 1) WHEN cat = 3 THEN '表' || a || '.' || b WHEN cat = 4 THEN '式' || a || '.' || b ELSE '' END AS label
+FROM sk""")
+def line_kinds_standard(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of the lines of the documents, each written as a heading, clause, table or text of a standard.
+
+    Blanks are ideographic or typographic ones and digits partly full-width, as scanned standards have them.
+    """
+    docs = read_documents(spark, sf, "text")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    a, b, c = ((n.cast("string")) for n in (F.col("doc_id") % 9 + 1, F.col("line_no") % 90 + 1, F.col("line_no") % 90 + 2))
+
+    def wide(digits):
+        return F.translate(digits, "0123456789", WIDE_DIGITS)
+
+    cat = F.col("line_no") % 7
+    text = (
+        F.when(cat == 0, F.concat(wide(a), F.lit("　总则内容")))
+        .when(cat == 1, F.concat(a, F.lit("."), wide(b), F.lit("\u2003一般规定")))
+        .when(cat == 2, F.concat(F.lit("　"), wide(a), F.lit("."), b, F.lit("."), wide(c), F.lit("　应符合规定")))
+        .when(cat == 3, F.concat(F.lit("表　"), a, F.lit("."), wide(b), F.lit("　服务半径")))
+        .when(cat == 4, F.concat(F.lit("式\u2002（"), a, F.lit("."), b, F.lit("）")))
+        .when(cat == 5, F.lit("附　录　Ａ　说明")).otherwise(F.lit("正文内容，没有编号"))
+    )
+    rebuilt = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))).alias("ls")).select(
+        "doc_id", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("text"))
+    kinds = chunking.line_kinds(chunking.lines_of(rebuilt))
+    shown = F.when(F.col("kind").isin("clause", "table", "formula"), F.col("label")).otherwise("")
+    return kinds.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kind", shown.alias("label"))
+
+
 @query("carry_forward", """
 SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (
   PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS last_signup FROM events""")
@@ -220,13 +262,14 @@ def copy_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return number_rows(docs, ["digest"], "doc_id", "n").select("doc_id", (F.col("n") - 1).alias("copy_no"))
 
 
-@query("merge_short", f"""WITH {MERGED} SELECT doc_id, chunk_id, coalesce(section, '') AS section, clause, type, text, is_mandatory,
+@query("merge_short", f"""WITH {MERGED} SELECT doc_id, chunk_id, coalesce(chapter, '') AS chapter, coalesce(section, '') AS section, clause, type, text, is_mandatory,
   char_count, page_start, page_end FROM md""")
 def merge_short(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks after gluing short clauses to the next one."""
     chunks = chunking.chunk_lines(doc_lines(spark, sf), code(), P)
     return _shown(
-        chunks, "doc_id", "chunk_id", "section", "clause", "type", "text", "is_mandatory", "char_count", "page_start", "page_end"
+        chunks, "doc_id", "chunk_id", "chapter", "section", "clause", "type", "text", "is_mandatory", "char_count", "page_start",
+        "page_end",
     )
 
 

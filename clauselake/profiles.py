@@ -11,7 +11,10 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class StructureProfile:
-    """How headings, clauses, tables and formulas look, and the limits of the chunker."""
+    """How headings, clauses, tables and formulas look, and the limits of the chunker.
+
+    The numeric defaults are fixed values.
+    """
 
     appendix_start: str
     table_head: str
@@ -43,16 +46,16 @@ class StructureProfile:
 
 # fixed values: headings of Chinese technical standards
 STANDARDS = StructureProfile(
-    appendix_start=r"^\s*附\s*录\s*[A-ZＡ-Ｚ\d一二三四五六七八九十]",
-    table_head=r"^\s*表\s*(\d+(?:\.\d+)+)",
-    formula_head=r"^\s*式\s*[\(（]?\s*(\d+(?:\.\d+)+)",
-    chapter_article=r"^\s*第\s*([一二三四五六七八九十百千零〇0-9]{1,3})\s*章",
-    clause_article=r"^\s*第\s*([一二三四五六七八九十百千零〇0-9]{1,6})\s*条(?!例)",
-    clause_4=r"^\s*(\d{1,2}\.\d{1,2}\.\d{1,3}\.\d{1,3})(?!\d)",
-    clause_3=r"^\s*(\d{1,2}\.\d{1,2}\.\d{1,3})(?!\d)",
-    clause_appendix=r"^\s*([A-Z]\.\d{1,2}(?:\.\d{1,3}){1,2})(?!\d)",
-    section=r"^\s*(\d{1,2}\.\d{1,2})\s+\S",
-    chapter=r"^\s*(\d{1,2})\s+\S",
+    appendix_start=r"(?U)^\s*附\s*录\s*[A-ZＡ-Ｚ\d一二三四五六七八九十]",
+    table_head=r"(?U)^\s*表\s*(\d+(?:\.\d+)+)",
+    formula_head=r"(?U)^\s*式\s*[\(（]?\s*(\d+(?:\.\d+)+)",
+    chapter_article=r"(?U)^\s*第\s*([一二三四五六七八九十百千零〇0-9]{1,3})\s*章",
+    clause_article=r"(?U)^\s*第\s*([一二三四五六七八九十百千零〇0-9]{1,6})\s*条(?!例)",
+    clause_4=r"(?U)^\s*(\d{1,2}\.\d{1,2}\.\d{1,3}\.\d{1,3})(?!\d)",
+    clause_3=r"(?U)^\s*(\d{1,2}\.\d{1,2}\.\d{1,3})(?!\d)",
+    clause_appendix=r"(?U)^\s*([A-Z]\.\d{1,2}(?:\.\d{1,3}){1,2})(?!\d)",
+    section=r"(?U)^\s*(\d{1,2}\.\d{1,2})\s+\S",
+    chapter=r"(?U)^\s*(\d{1,2})\s+\S",
     heading_char=r"[\x{4e00}-\x{9fff}]",
     mandatory=r"(应|不应|严禁|必须|不得)",
     table_label="表",
@@ -376,35 +379,28 @@ SUBDIVIDE_MIN = 8
 
 # fixed values: domain of a source file by the longest matching name prefix
 DOMAIN_PREFIXES = {
-    "规划": [
-        "CJJ:T199-2013", "CJJ:T314-2022", "DB31T+1557-2025", "GB 50180-2018", "GB50180-2018", "GB50318-2017",
-        "GB50437-2007", "GB50442", "GB:T50298-2018", "GB:T50357-2018", "GB:T50546-2018", "GB:T51327-2018",
-        "GB:T51328-2018", "GB:T51346-2019", "GB:T51402-2021", "GB:T51439-2021", "GBT+39972-2021", "GBT+43214-2023",
-        "GBT+47131.1-2026", "上海市", "CJ:T553-2024", "CJJ:T87—2020", "GB 55028-2022", "GB50442-2008",
-        "GB:T51329-2018", "GB:T51358—2019", "建标[2012]192号", "JGJ:T30-2015", "GB51287-2018", "GB51411—2020",
-        "《历史文化名城名镇名村保护条例》(2017年修正_可搜索.pdf",
-    ],
-    "建筑": [
-        "GB 50368-2005", "GB 55031-2022", "GB50033-2013", "GB50867-2013", "GB51039-2014", "GB:T50034-2024",
-        "GBT+21741-2021", "JGJ39-2016《托儿所、幼儿园建筑设计规范》(2019年版)", "JGJ76", "JGJ286-2013",
-        "JGJ:T245-2024", "建标 109", "建标192", "建标 109—2008", "CJJ14-2016", "GB50763-2012", "GB:T50948-2013",
-        "JGJ:T280-2012", "JGJ:T41-2014", "建标192—2018号", "《公共美术馆建设标准》_可搜索.pdf",
-        "《城市普通中小学校校舍建设标准》_可搜索.pdf",
-    ],
-    "景观": [
-        "CJ:T24-2018", "CJJ:T75-2023", "CJJ:T91-2017", "CJJ:T287-2018", "CJJ:T308-2021", "DB5301:T 21",
-        "GB 55014-2021", "CJJ:T171-2012", "CJJ:T237-2016", "CJJ:T292-2018", "GB:T51163-2016", "GB:T51168-2016",
-    ],
-    "消防": [
-        "GB 55037-2022", "DB31T+1695-2026", "WW:T 0125", "GB 55036-2022", "GB50067-2014", "建标[2015]273号",
-    ],
-    "结构": ["CJJ:T301-2020", "JGJ99-2015", "JGJ:T259-2012", "JGJ:T415-2017"],
-    "市政": [
-        "CJJ193-2012", "CJJ194-2013", "CJJ221-2015", "CJJ36-2016", "CJJ45-2015", "CJJ52-2014", "CJJ:T100-2017",
-        "CJJ:T149-2021", "CJJ:T307-2019", "GB50838-2015", "GB51354-2019", "GB55011-2021", "GB:T50293-2014",
-        "GB:T51074-2015", "GB:T51293-2018", "GB:T51357-2019", "建标函[2004]43号",
-        "GB51222-2017城镇内涝防治技术规范》_可搜索.pdf",
-    ],
+    "CJJ:T199-2013": "规划", "CJJ:T314-2022": "规划", "DB31T+1557-2025": "规划", "GB 50180-2018": "规划",
+    "GB50180-2018": "规划", "GB50318-2017": "规划", "GB50437-2007": "规划", "GB50442": "规划", "GB:T50298-2018": "规划",
+    "GB:T50357-2018": "规划", "GB:T50546-2018": "规划", "GB:T51327-2018": "规划", "GB:T51328-2018": "规划",
+    "GB:T51346-2019": "规划", "GB:T51402-2021": "规划", "GB:T51439-2021": "规划", "GBT+39972-2021": "规划",
+    "GBT+43214-2023": "规划", "GBT+47131.1-2026": "规划", "上海市": "规划", "CJ:T553-2024": "规划", "CJJ:T87—2020": "规划",
+    "GB 55028-2022": "规划", "GB50442-2008": "规划", "GB:T51329-2018": "规划", "GB:T51358—2019": "规划", "建标[2012]192号": "规划",
+    "JGJ:T30-2015": "规划", "GB51287-2018": "规划", "GB51411—2020": "规划", "《历史文化名城名镇名村保护条例》(2017年修正_可搜索.pdf": "规划",
+    "GB 50368-2005": "建筑", "GB 55031-2022": "建筑", "GB50033-2013": "建筑", "GB50867-2013": "建筑", "GB51039-2014": "建筑",
+    "GB:T50034-2024": "建筑", "GBT+21741-2021": "建筑", "JGJ39-2016《托儿所、幼儿园建筑设计规范》(2019年版)": "建筑", "JGJ76": "建筑",
+    "JGJ286-2013": "建筑", "JGJ:T245-2024": "建筑", "建标 109": "建筑", "建标192": "建筑", "建标 109—2008": "建筑",
+    "CJJ14-2016": "建筑", "GB50763-2012": "建筑", "GB:T50948-2013": "建筑", "JGJ:T280-2012": "建筑", "JGJ:T41-2014": "建筑",
+    "建标192—2018号": "建筑", "《公共美术馆建设标准》_可搜索.pdf": "建筑", "《城市普通中小学校校舍建设标准》_可搜索.pdf": "建筑",
+    "CJ:T24-2018": "景观", "CJJ:T75-2023": "景观", "CJJ:T91-2017": "景观", "CJJ:T287-2018": "景观", "CJJ:T308-2021": "景观",
+    "DB5301:T 21": "景观", "GB 55014-2021": "景观", "CJJ:T171-2012": "景观", "CJJ:T237-2016": "景观", "CJJ:T292-2018": "景观",
+    "GB:T51163-2016": "景观", "GB:T51168-2016": "景观",
+    "GB 55037-2022": "消防", "DB31T+1695-2026": "消防", "WW:T 0125": "消防", "GB 55036-2022": "消防", "GB50067-2014": "消防",
+    "建标[2015]273号": "消防",
+    "CJJ:T301-2020": "结构", "JGJ99-2015": "结构", "JGJ:T259-2012": "结构", "JGJ:T415-2017": "结构",
+    "CJJ193-2012": "市政", "CJJ194-2013": "市政", "CJJ221-2015": "市政", "CJJ36-2016": "市政", "CJJ45-2015": "市政",
+    "CJJ52-2014": "市政", "CJJ:T100-2017": "市政", "CJJ:T149-2021": "市政", "CJJ:T307-2019": "市政", "GB50838-2015": "市政",
+    "GB51354-2019": "市政", "GB55011-2021": "市政", "GB:T50293-2014": "市政", "GB:T51074-2015": "市政",
+    "GB:T51293-2018": "市政", "GB:T51357-2019": "市政", "建标函[2004]43号": "市政", "GB51222-2017城镇内涝防治技术规范》_可搜索.pdf": "市政",
 }
 EXCLUDED_FILES = ["JGJ39-2016《托儿所、幼儿园建筑设计规范》_可搜索.pdf"]
 FILE_OVERRIDES = {
@@ -423,6 +419,6 @@ TIERS = [("国标", "GB"), ("行标", ""), ("地标", "DB")]
 PROSE_GROUPS = {f"Brand#{i}": ["metal", "wood", "glass", "paper"][i % 4] for i in range(1, 21)}
 PROSE_GROUP_ORDER = {"PROMO": ["glass", "metal", "wood"], "LARGE": ["wood", "paper", "metal", "glass"]}
 PROSE_PREFIXES = {
-    "web": ["http://", "https://"], "mobile": ["http://m.", "https://m."],
-    "journal": ["https://blog.", "http://blog."], "junk": ["https://spam", "http://spam"],
+    "http://": "web", "https://": "web", "http://m.": "mobile", "https://m.": "mobile", "https://blog.": "journal",
+    "http://blog.": "journal", "https://spam": "junk", "http://spam": "junk",
 }

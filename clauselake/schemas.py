@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-CHUNK_TYPES = ("clause", "table", "formula", "appendix")
 
 CHUNK = (
     "chunk_id string, spec_code string, spec_name string, chapter string, section string, clause string, type string, "
@@ -17,16 +16,6 @@ def names(ddl: str) -> list[str]:
 
 CHUNK_REQUIRED = [n for n in names(CHUNK) if n not in ("chapter", "section")]
 STORED_CHUNK = CHUNK + ", ocr_fixed_v1 boolean"
-LINE = ("doc_id string, page int, line_no int, text string, bold boolean, size double")
-VECTOR_POINT = ("point_id string, embedding array<float>, " + CHUNK)
-HIT = ("query_id string, path string, rank int, score double, chunk_id string")
-TURN = ("conv_id string, turn int, role string, text string")
-QUERY = ("query_id string, query string, domain string, spec_codes array<string>")
-CITATION = (
-    "spec_name string, spec_code string, clause string, page int, is_mandatory boolean, original_text string, "
-    "domain string, has_formula boolean, status string, replaced_by string, status_note string"
-)
-EVENT = ("query_id string, seq int, type string, data string")
 EVAL_ROW = (
     "id string, scenario string, difficulty string, spec_domain string, query string, expected_spec string, "
     "expected_clause string, expected_answer_summary string, key_elements string, trap_type string"
@@ -34,22 +23,8 @@ EVAL_ROW = (
 SUMMARY = (
     "n int, hit5_strict double, hit10_strict double, mrr_strict double, hit5_loose double, hit10_loose double, mrr_loose double"
 )
-ROW_RESULT = (
-    "id string, scenario string, difficulty string, spec_domain string, query string, expected_spec string, "
-    "expected_clause string, rank_strict int, rank_loose int, top1_spec string, top1_clause string, top1_score double, "
-    "rerank_used boolean, elapsed_ms int"
-)
 RESULT_FILE = (
     "config struct<csv: string, use_multi_query: boolean, use_rerank: boolean, use_hybrid: boolean, "
     "rerank_candidate_k: int, passage_format: string, elapsed_s: double, n_results: int, timestamp: string>, "
     f"overall struct<{SUMMARY}>"
 )
-QUALITY_RESULT = (
-    "qid string, query string, domain string, answer string, dim1_recall int, dim2_precision int, dim6_boundary int, "
-    "dim3_citation int, dim4_wording int, dim5_numeric int, dim7_no_halluc int, notes string, composite double, "
-    "veto_triggered boolean"
-)
-INGEST_STATS = (
-    "file string, spec_code string, domain string, chunks_total long, by_type map<string, long>, mandatory_count long, "
-    "char_min int, char_max int, char_avg double, error string"
-)

@@ -12,7 +12,10 @@ from clauselake import profiles as P
 from clauselake import schemas
 from clauselake.functions.text import norm_code, squeeze, strip
 from clauselake.operators.catalog import fixed_table
-from clauselake.operators.scale import keep_first
+from clauselake.operators.scale import broadcast_if, keep_first
+
+CHUNKS_PER_FILE = 100_000
+"""Chunks that one task writes into a folder."""
 
 # fixed value: name space of the storage ids
 ID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
@@ -22,11 +25,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder; a new local one only where none is named."""
+    """Folder every executor can reach: the one named in spark.checkpoint.dir.
+
+    Without one, a plain local[...] session gets a temporary folder, and a cluster an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not context.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     if context.applicationId not in _OWN:
         _OWN[context.applicationId] = tempfile.mkdtemp(prefix="clauselake-")
     return _OWN[context.applicationId]
@@ -67,10 +75,16 @@ def slug(code: Column) -> Column:
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     """Chunks in one folder per domain and code; overwrite rebuilds the corpus, append adds to it.
 
-    Rows are spread by folder and text digest, so a code with very many chunks is written by several tasks.
+    Rows are spread by folder and digest of the chunk id, over as many tasks as the folder's share of the rows asks for.
     """
-    parts = chunks.withColumn("spec_slug", slug(F.col("spec_code"))).withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
-    parts.repartition("domain", "spec_slug", "_s").drop("_s").write.mode(mode).partitionBy("domain", "spec_slug").json(path)
+    parts = chunks.withColumn("spec_slug", slug(F.col("spec_code")))
+    keys = ["domain", "spec_slug"]
+    sizes = parts.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNKS_PER_FILE).cast("int").alias("_files")).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], "_files")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    spread = parts.join(broadcast_if(sizes), same, "left").withColumn(
+        "_s", F.pmod(F.xxhash64("chunk_id"), F.greatest(F.lit(1), F.coalesce("_files", F.lit(1)))))
+    spread.repartition(*keys, "_s").select(*parts.columns).write.mode(mode).partitionBy(*keys).json(path)
 
 
 def read_eval_set(spark: SparkSession, path: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -129,6 +143,37 @@ def read_current(spark: SparkSession, path: str, key: str) -> DataFrame:
     return keep_first(rows, [key], [F.col("batch_id").desc()]).drop("batch_id")
 
 
+def write_revisions(chunks: DataFrame, docs: DataFrame, path: str, batch_id: int) -> None:
+    """Store the chunks of a batch and, last, the documents they were made of: (doc_id, digest)."""
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch_id={batch_id}")
+    docs.write.mode("overwrite").parquet(f"{path}/documents/batch_id={batch_id}")
+
+
+def ingested(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """(doc_id, digest, batch_id) of the latest revision of every document; None while there is none."""
+    found = sorted(int(p) for p in _batches(spark, f"{path}/documents") if before is None or int(p) < before)
+    if not found:
+        return None
+    rows = spark.read.option("basePath", f"{path}/documents").parquet(*[f"{path}/documents/batch_id={p}" for p in found])
+    return keep_first(rows, ["doc_id"], [F.col("batch_id").desc()])
+
+
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    """Numbers of the batches that a folder holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return [n.removeprefix("batch_id=") for n in names if n.startswith("batch_id=")]
+
+
+def read_revisions(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of the latest revision of every document; what an older revision had beside them is gone."""
+    latest = ingested(spark, path).select("doc_id", "batch_id")
+    return spark.read.parquet(f"{path}/chunks").join(latest, ["doc_id", "batch_id"], "left_semi").drop("batch_id")
+
+
 def missing(sources: DataFrame, done: DataFrame, code: str) -> DataFrame:
     """Sources whose code has no output yet, under any spelling."""
     have = done.select(norm_code(F.col(code)).alias("_k")).distinct()
@@ -136,14 +181,14 @@ def missing(sources: DataFrame, done: DataFrame, code: str) -> DataFrame:
 
 
 def resolve_domain(
-    files: DataFrame, name: str, prefixes: dict[str, list[str]] | None = None, excluded: Sequence[str] | None = None
+    files: DataFrame, name: str, prefixes: dict[str, str] | None = None, excluded: Sequence[str] | None = None
 ) -> DataFrame:
     """Adds domain by the longest listed prefix of the trimmed name, and status ok or no_domain.
 
     Names are cut to each occurring prefix length and joined by equality; excluded files are left out.
     """
     prefixes = P.DOMAIN_PREFIXES if prefixes is None else prefixes
-    rows = [(p, d) for d, names in prefixes.items() for p in names]
+    rows = list(prefixes.items())
     listed = fixed_table(files.sparkSession, rows, "prefix string, domain string")
     lengths = sorted({len(p) for p, _ in rows}, reverse=True)
     some = files.filter(~F.col(name).isin(*(P.EXCLUDED_FILES if excluded is None else excluded)))

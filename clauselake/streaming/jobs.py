@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from clauselake.operators.lexical import LexicalIndex, lexical_index
 from clauselake.operators.triage import HISTORY_CHARS, HISTORY_TURNS
-from clauselake.sources.corpus import write_batch
+from clauselake.sources import corpus
 
 # fixed values: lateness, alert window and limits
 LATENESS = "10 minutes"
@@ -40,11 +41,29 @@ def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "appen
     query.awaitTermination()
 
 
-def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> None:
-    """Chunk documents that were not seen before; a replayed batch replaces its own files."""
+def ingest(
+    documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, text_col: str = "text",
+    postings: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Chunk the documents of a stream that are new, and those whose text is another one than before.
+
+    A document that was seen with the same text is passed over; a revised one replaces all its chunks.  A replayed
+    batch replaces its own files.  With `postings`, the words of the new chunks are stored beside them, so that an index
+    grows with the batches.
+    """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch(chunker(batch), sink, batch_id)
+        spark = batch.sparkSession
+        marked = batch.withColumn("_digest", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+        newest = marked.dropDuplicates(["doc_id"])
+        seen = corpus.ingested(spark, sink, before=batch_id)
+        if seen is not None:
+            newest = newest.join(seen.select("doc_id", F.col("digest").alias("_digest")), ["doc_id", "_digest"], "left_anti")
+        chunks = chunker(newest.drop("_digest"))
+        corpus.write_revisions(chunks, newest.select("doc_id", F.col("_digest").alias("digest")), sink, batch_id)
+        if postings is not None:
+            stored = spark.read.parquet(f"{sink}/chunks/batch_id={batch_id}")
+            postings(stored).write.mode("overwrite").parquet(f"{sink}/postings/batch_id={batch_id}")
 
     query = (
         documents.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -52,6 +71,13 @@ def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], sink
     query.awaitTermination()
 
 
+def ingested_index(spark: SparkSession, sink: str, id_col: str = "chunk_id") -> LexicalIndex:
+    """Index over the current chunks of an ingest that stores postings; statistics are those of the current chunks."""
+    latest = corpus.ingested(spark, sink).select("doc_id", "batch_id")
+    postings = spark.read.parquet(f"{sink}/postings").join(latest, ["doc_id", "batch_id"], "left_semi").drop("doc_id", "batch_id")
+    return lexical_index(corpus.read_revisions(spark, sink), postings, id_col)
+
+
 def sla_windows(events: DataFrame, ts: str = "ts", slide: str | None = None) -> DataFrame:
     """Per window: requests, errors, error share, 95th percentile of elapsed_ms and the two alerts."""
     window = F.window(ts, WINDOW, slide) if slide else F.window(ts, WINDOW)

@@ -19,7 +19,7 @@ def pack(text: str, limit: int) -> list[str]:
 
 
 def merge(chunks: list[dict], shortest: int) -> list[tuple]:
-    """(clause, text, count) after gluing, walking from the front."""
+    """(clause, chapter, text, count) after gluing, walking from the front; the chapter is that of the second part."""
     out, i = [], 0
     while i < len(chunks):
         c = chunks[i]
@@ -29,10 +29,10 @@ def merge(chunks: list[dict], shortest: int) -> list[tuple]:
             and n["section"] == c["section"]
         )
         if glue:
-            out.append((f"{c['clause']}+{n['clause']}", f"{c['text']}\n{n['text']}", c["char_count"] + n["char_count"] + 1))
+            out.append((f"{c['clause']}+{n['clause']}", n["chapter"], f"{c['text']}\n{n['text']}", c["char_count"] + n["char_count"] + 1))
             i += 2
         else:
-            out.append((c["clause"], c["text"], c["char_count"]))
+            out.append((c["clause"], c["chapter"], c["text"], c["char_count"]))
             i += 1
     return out
 

@@ -101,14 +101,14 @@ def test_merge_matches_sequential_model(spark):
             n = rng.choice([10, 49, 50, 80])
             chunks.append({
                 "doc_id": d, "seq": s + 1, "clause": f"c{s}", "type": rng.choice(["clause", "clause", "clause", "table"]),
-                "section": rng.choice([None, "s", "s", "t"]), "text": "y" * n, "char_count": n, "is_mandatory": False, "page_end": s,
+                "section": rng.choice([None, "s", "s", "t"]), "chapter": rng.choice([None, "k", "l"]), "text": "y" * n, "char_count": n, "is_mandatory": False, "page_end": s,
             })
         rows += chunks
         want[d] = merge(chunks, STANDARDS.min_chunk)
-    df = spark.createDataFrame(rows, "doc_id int, seq int, clause string, type string, section string, text string, char_count int, is_mandatory boolean, page_end int")
+    df = spark.createDataFrame(rows, "doc_id int, seq int, clause string, type string, section string, chapter string, text string, char_count int, is_mandatory boolean, page_end int")
     got: dict[int, list] = {}
     for r in chunking.merge_short(df).orderBy("doc_id", "seq").collect():
-        got.setdefault(r.doc_id, []).append((r.clause, r.text, r.char_count))
+        got.setdefault(r.doc_id, []).append((r.clause, r.chapter, r.text, r.char_count))
     assert got == want
 
 
@@ -119,3 +119,26 @@ def test_parse_title(spark):
     assert got == [
         ("GB/T 50034-2024", "采光标准"), ("GB/T 21741-2021", "小区"), ("建标 109-2008", "学校"), ("GB 50180-2018", "规划"), (None, None),
     ]
+
+
+def test_wide_blanks_and_digits(spark):
+    docs = spark.createDataFrame([("d", "１　总则内容\n2.1　一般规定\n2.1.１ 条文内容\n表　2.1.1　指标\n式（２.1.2）\n附　录 Ａ 说明\n")], "doc_id string, text string")
+    got = chunking.line_kinds(chunking.lines_of(docs)).orderBy("line_no").collect()
+    assert [r.kind for r in got] == ["chapter", "section", "clause", "table", "formula", "appendix"]
+    assert [r.label for r in got][2:5] == ["2.1.1", "表2.1.1", "式2.1.2"]
+    article = chunking.line_kinds(lines(spark, [("第　一　章　总则", 16, False), ("第　２　条　内容", 10, False), ("第 3 条例", 10, False)]), article=True)
+    assert [r.kind for r in article.orderBy("line_no").collect()] == ["chapter", "body", "body"]
+
+
+def test_a_merged_chunk_has_the_chapter_of_its_second_part(spark):
+    rows = [("第一章 总则", 16, False), ("第一条 短。", 10, False), ("第二章 设计", 16, False), ("第二条 也短。", 10, False)]
+    got = chunking.chunk_lines(lines(spark, rows), F.lit("c"), article=True).collect()
+    assert [(r.clause, r.chapter) for r in got] == [("第一条+第二条", "第二章 设计")]
+
+
+def test_only_documents_with_few_chunks_change_mode(spark):
+    few = [("第一条 " + "内容" * 40, 10, False), ("第二条 " + "内容" * 40, 10, False)]
+    many = [(f"1.1.{i} " + "条文内容" * 20, 10, False) for i in range(1, 13)] + [(f"第{i}条 " + "内容" * 40, 10, False) for i in range(1, 30)]
+    both = lines(spark, few, "few").unionByName(lines(spark, many, "many"))
+    got = {(r.doc_id, r.mode): r.n for r in chunking.chunk_documents(both, F.col("doc_id")).groupBy("doc_id", "mode").agg(F.count("*").alias("n")).collect()}
+    assert got == {("few", "article"): 2, ("many", "decimal"): 12}

@@ -59,6 +59,16 @@ def test_top_k_limits_before_the_exchange(rows):
     assert scale.keep_first(rows, ["k"], [F.col("id")]).count() == 4
 
 
-def test_size_checks(rows):
-    assert scale.is_small(rows, 500) and not scale.is_small(rows, 499)
-    assert scale.broadcast_if(rows, 100_001) is rows and scale.broadcast_if(rows, None) is rows
+def test_numbering_of_sparse_ids_is_split(spark):
+    ids = spark.range(600).select((F.col("id") * 10**15 - 10**17).alias("id"), F.lit("hot").alias("k"))
+    got = scale.number_rows(ids, ["k"], "id", "n", width=50)
+    assert [r.n for r in got.orderBy("id").collect()] == list(range(1, 601))
+    assert scale.number_rows(ids.limit(0), ["k"], "id", "n").collect() == []
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    texts = spark.createDataFrame([("x" * 1000,)] * 5, "t string")
+    assert scale.is_small(texts) and not scale.is_small(texts, 4000)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 2000)
+    assert "broadcast" not in scale.broadcast_if(texts)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in scale.broadcast_if(spark.range(3), 3)._jdf.queryExecution().logical().toString().lower()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import cjk_tokens, norm_code
-from clauselake.operators import containment, dense, fusion, lexical
+from clauselake.operators import containment, dense, fusion, lexical, scale
 
 DOCS = [(1, "cat dog cat"), (2, "cat bird"), (3, "cat dog fish"), (4, "cat"), (5, "sun"), (6, "!!")]
 
@@ -30,28 +30,92 @@ def scores_by_hand(query: str) -> dict[int, float]:
             idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in query.split() if w in idf and w in ws
         )
         if s > 0:
-            out[d] = round(s, 6)
+            out[d] = s
     return out
 
 
 def test_bm25_by_hand(spark, docs, tmp_path):
     queries = spark.createDataFrame([("q1", "cat dog dog"), ("q2", "sun"), ("q3", "moon")], "query_id string, text string")
-    for index in (lexical.build_index(docs), lexical.write_index(docs, str(tmp_path / "i"), clustered=True)):
+    for index in (lexical.build_index(docs), lexical.write_index(docs, str(tmp_path / "i"), n_buckets=3)):
         got: dict[str, dict[int, float]] = {}
         for r in lexical.bm25_top(index, queries, 10).collect():
             got.setdefault(r.query_id, {})[r.doc_id] = r.score
-        assert got == {"q1": scores_by_hand("cat dog dog"), "q2": scores_by_hand("sun")}
+        want = {"q1": scores_by_hand("cat dog dog"), "q2": scores_by_hand("sun")}
+        assert got.keys() == want.keys() and all(got[q] == pytest.approx(want[q]) for q in want)
         stats = index.corpus.collect()[0]
         assert stats.n_docs == 6 and stats.avgdl == pytest.approx(10 / 6)
 
 
 def test_scores_do_not_depend_on_broadcast(spark, docs, monkeypatch):
-    queries = spark.createDataFrame([("q1", "cat dog dog")], "query_id string, text string")
-    few = sorted(map(tuple, lexical.pair_scores(lexical.build_index(docs), queries).select("doc_id", F.round("bm25", 9)).collect()))
+    queries = spark.createDataFrame([("q1", "cat dog dog"), ("q2", "cat")], "query_id string, text string")
+
+    def rows():
+        scores = lexical.pair_scores(lexical.build_index(docs), queries)
+        return sorted(map(tuple, scores.select("query_id", "doc_id", F.round("bm25", 9), F.round("cosine", 9), "overlap").collect()))
+
+    few = rows()
     monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(lexical, "broadcast_if", lambda df, rows: df)
-    many = sorted(map(tuple, lexical.pair_scores(lexical.build_index(docs), queries).select("doc_id", F.round("bm25", 9)).collect()))
-    assert few == many
+    monkeypatch.setattr(lexical, "HOT_TERMS", 20)  # the terms of several documents are split over tasks
+    assert rows() == few and {r[4] for r in few} == {1.0, 0.5}
+
+
+def test_scores_rank_unrounded(spark):
+    scores = spark.createDataFrame([(1, 7, 0.5000001, 1.0), (1, 8, 0.5000004, 1.0), (1, 9, 4e-7, 1.0), (1, 10, 0.0, 1.0)],
+                                   "query_id int, doc_id int, bm25 double, overlap double")
+    assert [r.doc_id for r in lexical.ranked(scores, "bm25", 5).orderBy("rank").collect()] == [8, 7, 9]
+
+
+CLAUSES = [(1, "疏散楼梯的净宽度不应小于1.10m", "消防", "GB 1"), (2, "服务半径不宜大于300m", "规划", "GB 2"), (3, "给水管道应设置阀门", "市政", "GB 3"),
+           (4, "楼梯间应采用自然通风", "消防", "GB 4"), (5, "绿地率不应低于30%", "景观", "GB 2")]
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_search_over_chinese_clauses(spark, tmp_path, written):
+    docs = spark.createDataFrame(CLAUSES, "doc_id long, text string, domain string, code string")
+    index = lexical.write_index(docs, str(tmp_path / "i"), n_buckets=2) if written else lexical.build_index(docs)
+    queries = spark.createDataFrame([(1, "疏散楼梯净宽度", None, None), (2, "服务半径", None, None), (3, "楼梯", "消防", ["GB 4", "GB 9"]),
+                                     (4, "不应", None, ["GB 2"])], "query_id long, text string, domain string, spec_codes array<string>")
+    best = {r.query_id: r.doc_id for r in lexical.bm25_top(index, queries, 1).collect()}
+    assert best[1] == 1 and best[2] == 2
+    some = lexical.bm25_top(index, queries, 5, facets=docs)
+    got = {}
+    for r in some.collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got[3] == [4] and got[4] == [5]
+    variants = queries.select("query_id", F.lit(0).alias("variant_no"), "text")
+    stages = fusion.hybrid_stages(index, variants, docs.select("doc_id", "code"), filters=queries.drop("text"), facets=docs)
+    found = {r.query_id: r.doc_id for r in stages["reranked"].filter("rerank_rank = 1").collect()}
+    assert found == {1: 1, 2: 2, 3: 4, 4: 5}
+    subs = variants.withColumnRenamed("variant_no", "sub_no")
+    parts = fusion.decomposed(index, subs, docs.withColumn("clause", F.lit("1")))
+    assert {r.query_id: r.doc_id for r in parts.filter("rank = 1").collect()}[1] == 1
+
+
+def test_dense_hits_take_the_vector_path(spark):
+    docs = spark.createDataFrame(CLAUSES, "doc_id long, text string, domain string, code string")
+    variants = spark.createDataFrame([(1, 0, "服务半径")], "query_id long, variant_no int, text string")
+    near = spark.createDataFrame([(1, 0, 3, 0.9), (1, 0, 2, 0.8), (1, 0, 5, -0.1)], "query_id long, variant_no int, doc_id long, score double")
+    stages = fusion.hybrid_stages(lexical.build_index(docs), variants, docs.select("doc_id", "code"), dense=near)
+    assert {(r.path, r.doc_id, r["rank"]) for r in stages["paths"].collect()} == {("words", 2, 1), ("vector_00", 3, 1), ("vector_00", 2, 2)}
+    fused = {r.doc_id: (r.overlap, r.n_paths) for r in stages["fused"].collect()}
+    assert fused == {2: (1.0, 2), 3: (0.0, 1)}
+    assert [r.doc_id for r in stages["reranked"].collect()] == [2]
+
+
+def test_no_exchange_between_postings_and_scores(spark, docs, tmp_path):
+    index = lexical.write_index(docs, str(tmp_path / "i"), n_buckets=3)
+    queries = spark.createDataFrame([(1, "cat sun")], "query_id int, text string")
+    plan = lexical.pair_scores(index, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan and "In(term" in plan.replace("IN (", "In(term")
+
+
+def test_pair_scorer_gets_batches_of_similar_length(spark):
+    rows = [(i, "q", "x" * (i * 7 % 50)) for i in range(40)] + [(40, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, query string, passage string")
+    scored = fusion.score_pairs(df, lambda pairs: np.array([len(p) + (max(len(t) for _, t in pairs) - min(len(t) for _, t in pairs) > 25) for _, p in pairs]))
+    assert {r.doc_id: r.pair_score for r in scored.collect()} == {i: float(len(p or "")) for i, _, p in rows}
+    with pytest.raises(Exception, match="scores"):
+        fusion.score_pairs(df, lambda pairs: np.zeros(0)).collect()
 
 
 def test_tokens_and_codes(spark):
@@ -69,13 +133,13 @@ def test_fusion_ties_and_paths(spark):
     )
     rows = fusion.fuse(hits).orderBy(*fusion.fused_order()).collect()
     assert [r.doc_id for r in rows] == [10, 11, 12]
-    assert rows[0].rrf == rows[1].rrf == pytest.approx(1 / 61 + 1 / 62, abs=1e-9) and rows[0].n_paths == 2
+    assert rows[0].rrf == rows[1].rrf == pytest.approx(1 / 61 + 1 / 62) and rows[0].n_paths == 2
 
 
 def test_copies_keep_the_best(spark):
     rows = [(1, " c ", "a b　c\n" + "x" * 300, 0.5, 7), (1, "c", "abc" + "x" * 300 + "tail", 0.9, 8), (1, None, "abc", 0.1, 9), (1, "c", "abc", 0.2, 10)]
     df = spark.createDataFrame(rows, "query_id int, code string, text string, score double, doc_id int")
-    kept = fusion.drop_copies(df, F.col("code"), fusion.prefix_key(F.col("text")), "score")
+    kept = fusion.drop_copies(df, F.col("code"), lexical.prefix_key(F.col("text")), "score")
     assert sorted(r.doc_id for r in kept.collect()) == [8, 9, 10]
 
 
@@ -140,9 +204,9 @@ def test_encode_checks_lengths(spark, docs):
         dense.encode(docs, "doc_id", "text", lambda texts: np.zeros((0, 2))).collect()
 
 
-@pytest.mark.parametrize("bound", [containment.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("bound", [scale.BROADCAST_BYTES, 0])
 def test_containment_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(containment, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", bound)
     rng = random.Random(3)
     words = ["aa", "ab", "ba", "Éa", "x1"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) + rng.choice(["", ".", "\n"]) for _ in range(60)]

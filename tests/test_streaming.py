@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from clauselake.operators import triage
+from clauselake.operators import lexical, triage
 from clauselake.sources import corpus
 from clauselake.streaming import jobs
 
@@ -72,17 +72,28 @@ def test_history_state_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_ingest_only_takes_new_files(spark, tmp_path):
-    sizes = []
-    for n in range(3):
-        spark.createDataFrame([(n, f"text {n}"), (100, f"again {n}")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = jobs.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, "*.parquet")
+def test_ingest_skips_seen_documents_and_replaces_revised_ones(spark, tmp_path):
+    sink, taken = str(tmp_path / "out"), []
+    batches = [
+        [(1, "a b\nc\nd"), (2, "same text")],
+        [(1, "a b"), (2, "same text"), (3, "new words")],
+        [(2, "same text"), (3, "")],
+    ]
 
-        def chunker(batch):
-            sizes.append(batch.count())
-            return batch
+    def chunker(batch):
+        taken.append(sorted(r.doc_id for r in batch.collect()))
+        lines = batch.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).filter("text <> ''")
+        return lines.select("doc_id", F.concat_ws("#", "doc_id", "n").alias("chunk_id"), "text")
 
-        jobs.ingest(stream, chunker, str(tmp_path / "out"), str(tmp_path / "state"))
-    assert sizes == [2, 2, 2]
-    rows = {r.doc_id: r.text for r in corpus.read_current(spark, str(tmp_path / "out"), "doc_id").collect()}
-    assert rows == {0: "text 0", 1: "text 1", 2: "text 2", 100: "again 2"}
+    for rows in batches:
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, "*.parquet")
+        jobs.ingest(stream, chunker, sink, str(tmp_path / "state"), postings=lambda c: lexical.term_counts(c, ["doc_id", "chunk_id"], "text"))
+        now = {(r.chunk_id, r.text) for r in corpus.read_revisions(spark, sink).collect()}
+        if len(taken) == 2:
+            assert now == {("1#0", "a b"), ("2#0", "same text"), ("3#0", "new words")}
+            index = jobs.ingested_index(spark, sink)
+            hits = lexical.bm25_top(index, spark.createDataFrame([(1, "new c d words")], "query_id int, text string"), 5).collect()
+            assert [h.chunk_id for h in hits] == ["3#0"] and index.corpus.first().n_docs == 3
+    assert taken == [[1, 2], [1, 3], [3]]
+    assert now == {("1#0", "a b"), ("2#0", "same text")}
