@@ -18,7 +18,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SAME_CLASSES = "Ԁ"
 """Below this character all Unicode versions class letters, numbers and blanks alike."""
 
-REMEMBER = 500_000
+REMEMBER = 1_100_000
 """Units remembered per worker; the memory is emptied when it is full."""
 
 LONGEST = 64
@@ -27,6 +27,8 @@ LONGEST = 64
 MARKS = ".,;:!?|%&*$#"
 """Marks at the end of a unit that form one token after a letter or number."""
 
+LINE = "\n"
+
 RARE_BLANKS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r")
 
 CHUNK = 1 << 20
@@ -81,6 +83,7 @@ class UnitEncoder:
         self._encode = encode_units
         self._most = remember
         self._known: dict[str, bytes] = {}
+        self._heads: dict[str, bytes] = {}
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -95,8 +98,9 @@ class UnitEncoder:
 
     def _chunk(self, texts: Sequence[str]) -> list[bytes]:
         known = self._known
-        if len(known) > self._most:
+        if len(known) + len(self._heads) > self._most:
             known.clear()
+            self._heads.clear()
         look = known.get
         heads, bodies, fresh = [], [], set()
         for text in texts:
@@ -110,25 +114,40 @@ class UnitEncoder:
                 fresh.update([p for p, v in zip(rest, values) if v is None])
             heads.append(head)
             bodies.append((rest, values))
-        split, whole, tails = [], set(), set()
+        # a missing part is put together from the ids of its pieces: after a space, after a line end, and marks
+        recipes, ends, after_space, after_line = [], {LINE}, set(), set()
         for p in fresh:
-            core = p.rstrip(MARKS)
-            if core != p and core and core[-1].isalnum():
-                split.append((p, core))
-                tails.add(p[len(core):])
-                p = core
-            if p not in known:
-                whole.add(p)
-        new, ends = list(whole), list(tails)
-        ids = self._encode([*heads, *ends, *[" " + p for p in new]])
-        tail_ids = dict(zip(ends, ids[len(heads):]))
-        found = dict(zip(new, ids[len(heads) + len(ends):]))
+            left, line, right = p.partition(LINE)
+            if not (line and left and right and not left[-1].isspace() and LINE not in right and not right[0].isspace()):
+                left, line, right = p, "", ""
+            core, end = _without_marks(left)
+            ends.add(end)
+            if core not in known:
+                after_space.add(core)
+            if line:
+                word, stop = _without_marks(right)
+                ends.add(stop)
+                if word not in self._heads:
+                    after_line.add(word)
+                recipes.append((p, core, end, word, stop))
+            elif end:
+                recipes.append((p, core, end, None, ""))
+        lists = [heads, list(ends), list(after_line), list(after_space)]
+        ids = iter(self._encode([*heads, *lists[1], *lists[2], *[" " + p for p in lists[3]]]))
+        first_ids = [next(ids) for _ in heads]
+        end_ids = dict(zip(lists[1], ids))
+        starts = dict(zip(lists[2], ids))
+        found = dict(zip(lists[3], ids))
         known.update([(p, v) for p, v in found.items() if len(p) <= LONGEST and not _runs(p)])
-        for p, core in split:
-            found[p] = (look(core) or found[core]) + tail_ids[p[len(core):]]
+        self._heads.update([(p, v) for p, v in starts.items() if len(p) <= LONGEST])
+        for p, core, end, word, stop in recipes:
+            made = (look(core) or found[core]) + end_ids[end]
+            if word is not None:
+                made += end_ids[LINE] + (self._heads.get(word) or starts[word]) + end_ids[stop]
+            found[p] = made
         return [
             first + b"".join([found[p] if v is None else v for p, v in zip(rest, values)] if None in values else values)
-            for first, (rest, values) in zip(ids, bodies)
+            for first, (rest, values) in zip(first_ids, bodies)
         ]
 
 
@@ -137,6 +156,12 @@ def _runs(part: str) -> bool:
     return not part or part[-1].isspace()
 
 
+def _without_marks(part: str) -> tuple[str, str]:
+    """A part and the marks at its end, if they are a token of their own: those after a letter or number."""
+    core = part.rstrip(MARKS)
+    return (core, part[len(core):]) if core and core[-1].isalnum() else (part, "")
+
+
 def _has_runs(text: str) -> bool:
     """Whether a blank may stand before a space; texts with rare blanks count as such."""
     return (text[:1] == " " or "  " in text or "\n " in text or "\t " in text or "\r " in text
