@@ -95,6 +95,55 @@ def nearest(
     return top_k(found, [query_id], [F.col("score").desc(), F.col(corpus_id)], k)
 
 
+def nearest_any(
+    corpus: DataFrame, queries: DataFrame, k: int, code_col: str, codes_col: str, corpus_id: str = "vec_id",
+    query_id: str = "query_id", vec_col: str = "embedding",
+) -> DataFrame:
+    """As nearest, among the vectors whose code is any of those that a query lists."""
+    each = queries.select(query_id, vec_col, F.explode(F.array_distinct(codes_col)).alias("_code"))
+    return nearest(corpus.withColumn("_code", F.col(code_col)), each, k, corpus_id, query_id, vec_col, "_code")
+
+
+def _signs(df: DataFrame, vec_col: str, tables: int, bits: int, probes: int) -> DataFrame:
+    """Rows once per hash table and probed bucket: _part is the table's number and the signs of random projections.
+
+    Further probes turn the signs whose projections are nearest to zero.  The planes come from a fixed seed.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.vstack(pdf[vec_col].to_list()).astype("float64")
+            planes = np.random.default_rng(7).normal(size=(tables, x.shape[1], bits))
+            for t in range(tables):
+                at = x @ planes[t]
+                bucket = (at > 0) @ (1 << np.arange(bits))
+                order = np.argsort(np.abs(at), axis=1)
+                for p in range(probes):
+                    turned = bucket if p == 0 else bucket ^ (1 << order[:, p - 1])
+                    yield pdf.assign(_part=(t << bits) + turned)
+
+    schema = ", ".join([*[f"`{c}` {kind}" for c, kind in df.dtypes], "_part long"])
+    return df.mapInPandas(run, schema)
+
+
+def lsh_nearest(
+    corpus: DataFrame, queries: DataFrame, k: int, tables: int = 16, bits: int = 5, probes: int = 6, corpus_id: str = "vec_id",
+    query_id: str = "query_id", vec_col: str = "embedding",
+) -> DataFrame:
+    """(query, id, score, rank): the k nearest by cosine that share a bucket with the query in one of the hash tables.
+
+    Buckets are parts of the exact search, so a large bucket is many blocks.  More bits make buckets smaller, more
+    tables and probes find more.
+    """
+    left = _signs(corpus.select(corpus_id, vec_col), vec_col, tables, bits, 1)
+    right = _signs(queries.select(query_id, vec_col), vec_col, tables, bits, probes)
+    found = nearest(left, right, k * tables * probes, corpus_id, query_id, vec_col, "_part").groupBy(query_id, corpus_id).agg(
+        F.max("score").alias("score"))
+    return top_k(found, [query_id], [F.col("score").desc(), F.col(corpus_id)], k)
+
+
 def hash_bucket(term: Column, dim: int) -> Column:
     """Bucket of a word from its md5 digest, so that any engine finds the same one."""
     return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim).cast("int")

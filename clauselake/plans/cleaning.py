@@ -9,6 +9,7 @@ from clauselake import profiles as P
 from clauselake.functions.text import count_class, strip
 from clauselake.operators import quality
 from clauselake.operators.containment import containing
+from clauselake.operators.scale import top_k
 from clauselake.plans.registry import query
 from clauselake.plans.sql import BLANK
 from clauselake.sources.tables import read_documents, read_table
@@ -155,8 +156,6 @@ by_source AS (SELECT 'source' AS scope, source AS name, count(DISTINCT doc_id) A
 SELECT * FROM by_kind UNION ALL SELECT * FROM by_source WHERE pos <= 15""")
 def issue_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Issues by kind, and the fifteen sources with most affected documents."""
-    from clauselake.operators.scale import top_k
-
     found = issues(spark, sf)
     kinds = quality.issue_kinds(found).select(F.lit("kind").alias("scope"), F.col("kind").alias("name"), "n")
     sources = found.groupBy("source").agg(F.countDistinct("doc_id").alias("n")).select(
@@ -167,6 +166,15 @@ def issue_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.unionByName(top_k(sources, ["scope"], best, 15, "pos"))
 
 
+@query("issue_details", f"""
+WITH {_issues_sql()}, d AS (SELECT DISTINCT kind, doc_id, detail FROM issues)
+SELECT kind, doc_id, detail, pos FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id, detail) AS pos FROM d) WHERE pos <= 50""")
+def issue_details(spark: SparkSession, sf: str) -> DataFrame:
+    """The first fifty details of each kind of issue."""
+    found = issues(spark, sf).select("kind", "doc_id", "detail").distinct()
+    return top_k(found, ["kind"], [F.col("doc_id"), F.col("detail")], 50, "pos")
+
+
 def _issues_2_sql() -> str:
     parts = [
         f"SELECT doc_id, 'known' AS kind, {q(f'{e}>{fix}')} AS detail FROM documents WHERE text LIKE '%{e}%'"

@@ -45,6 +45,33 @@ def schema_project(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.project_chunks(rows).select("chunk_id", "spec_code", "domain", "char_count")
 
 
+@query("title_overrides", """
+WITH t AS (SELECT p_partkey, p_size, CASE WHEN p_size % 5 = 0 THEN 'odd ' || p_size || '.pdf' ELSE 'GB ' || p_partkey || ' 《' || p_name || '》.pdf' END AS file, p_name FROM part)
+SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN 'GB ' || p_partkey WHEN p_size % 2 = 0 THEN 'X ' || p_size ELSE '' END AS code,
+  CASE WHEN p_size % 5 > 0 THEN p_name WHEN p_size % 2 = 0 THEN 'title ' || p_size ELSE '' END AS name,
+  CASE WHEN p_size % 5 = 0 AND p_size % 2 = 1 THEN 'error' ELSE 'ok' END AS status FROM t""")
+def title_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """Code and title of file names built from the parts; odd names are listed or become errors."""
+    size = F.col("p_size").cast("string")
+    usual = F.concat(F.lit("GB "), F.col("p_partkey").cast("string"), F.lit(" 《"), F.col("p_name"), F.lit("》.pdf"))
+    odd = F.concat(F.lit("odd "), size, F.lit(".pdf"))
+    files = read_table(spark, sf, "part", "p_partkey", "p_name", "p_size").select(
+        "p_partkey", F.when(F.col("p_size") % 5 == 0, odd).otherwise(usual).alias("file"))
+    parsed = files.withColumn("t", chunking.parse_title(F.col("file"))).select("p_partkey", "file", "t.code", "t.name")
+    listed = {f"odd {i}.pdf": (f"X {i}", f"title {i}") for i in range(0, 60, 2)}
+    return corpus.override_titles(parsed, "file", listed).select(
+        "p_partkey", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("name", F.lit("")).alias("name"), "status")
+
+
+@query("report_file", ORACLES["corpus_report"])
+def report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus report as its file has it."""
+    report = structure.corpus_report(spark, sf)
+    path = f"{corpus.shared_dir(spark)}/clauselake/report-{uuid.uuid4().hex}"
+    corpus.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 @query("point_ids", """
 WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(source || '#' || doc_id)) AS d FROM documents)
 SELECT doc_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || translate(substr(d, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab')

@@ -212,6 +212,28 @@ def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return dense.nearest(corpus, queries, 3, part_col="label")
 
 
+@query("knn_spec_filter", f"""
+WITH {COSINE}
+SELECT query_id, vec_id, score, rank FROM (SELECT query_id, vec_id, score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM pairs WHERE label IN (qlabel, (qlabel + 3) % 10)) WHERE rank <= 3""")
+def knn_spec_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Three nearest vectors with any of the labels that a query lists."""
+    corpus, queries = vectors(spark, sf)
+    label = F.col("label")
+    return dense.nearest_any(corpus, queries.withColumn("labels", F.array(label, (label + 3) % 10)), 3, "label", "labels")
+
+
+@query("knn_lsh_recall")
+def knn_lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the ten exact neighbours of every vector that the approximate search finds; has no SQL."""
+    corpus, queries = vectors(spark, sf)
+    exact = dense.nearest(corpus, queries, 10).select("query_id", "vec_id")
+    found = dense.lsh_nearest(corpus, queries, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(
+        F.count("*").alias("n_exact"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
 @query("threshold_hits", f"""
 WITH {COSINE}, hits AS (SELECT query_id, vec_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
