@@ -71,7 +71,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """Left join of rows with one row per key, however large a key's share of the rows is.
 
     Keys with more than total / HOT_SHARE rows are at most HOT_SHARE, a proven bound, and are broadcast.  Their rows
-    then carry a key of their own through the second join, so they spread over all tasks instead of meeting in one.
+    then carry a key of their own through the second join, as do rows without a key, so they spread over all tasks
+    instead of meeting in one.
     """
     limit = max(1, total // HOT_SHARE)
     values = [c for c in groups.columns if c != key]
@@ -82,7 +83,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     own = F.xxhash64(key, row_id) if kind == "bigint" else F.concat(
         F.lit("\0"), F.xxhash64(key, row_id).cast("string")).cast(kind)
     marked = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(own))
+        "_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
     joined = marked.join(cold, "_key", "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in values])
@@ -123,11 +124,6 @@ def held_out(doc_id: str, modulus: int, rest: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == rest
 
 
-def long_rows(table: DataFrame, columns: Sequence[str]) -> int:
-    """Number of rows of a written table, from its footers."""
-    return table.select(*columns[:1]).count()
-
-
 def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """The groups of a partition that is sorted by the keys, one after the other."""
     held: list[pa.RecordBatch] = []
