@@ -197,6 +197,17 @@ def search_conversations(
     return joined.filter(F.col("in_title") | F.col("snippet").isNotNull()).select(conv, "in_title", turn, "snippet")
 
 
+def search_specs(spec_rows: DataFrame, term: str, code: str = "code", title: str = "title") -> DataFrame:
+    """(code, title, snippet) of the specs whose code or title holds a term in any case, a long title cut around it."""
+    low = term.lower()
+    shown = F.coalesce(F.col(title), F.lit(""))
+    at = F.locate(low, F.lower(shown))
+    start = F.greatest(at - SNIPPET, F.lit(1))
+    piece = F.concat(F.when(at - 1 > SNIPPET, "…").otherwise(""), shown.substr(start, at - start + len(low) + SNIPPET))
+    found = F.lower(F.coalesce(F.col(code), F.lit(""))).contains(low) | (at > 0)
+    return spec_rows.filter(found).select(code, title, F.when(at > 0, piece).otherwise("").alias("snippet"))
+
+
 def toggle(selected: Column, group: Column) -> Column:
     """Filter set after a click on a group: all there, take them out; else add the missing."""
     missing = F.array_except(group, selected)

@@ -32,6 +32,18 @@ def clause_match(expected: Column, actual: Column) -> Column:
     return (e != "") & (a != "") & (F.contains(e, a) | F.contains(a, e))
 
 
+def truth_audit(truth: DataFrame, corpus: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, present): whether the corpus has a clause of the expected code that contains the expected one or is in it.
+
+    truth: (key, code, clause).  corpus: (code, clause).  Codes join by equality on their distinct clauses only.
+    """
+    have = corpus.select(norm_code(F.col("code"), "d").alias("_k"), F.col("clause").alias("_has")).distinct()
+    wanted = truth.select(key, norm_code(F.col("code"), "d").alias("_k"), "clause")
+    found = wanted.join(have, "_k").filter(clause_match(F.col("clause"), F.col("_has"))).select(key).distinct()
+    return truth.select(key).distinct().join(found.withColumn("present", F.lit(True)), key, "left").select(
+        key, F.coalesce("present", F.lit(False)).alias("present"))
+
+
 def also_accept(text: Column) -> Column:
     """array<struct<code,clause>> from `code|clause;code|clause`; entries without a code are ignored."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";", -1), strip)

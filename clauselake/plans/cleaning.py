@@ -258,8 +258,9 @@ def sampled_pairs(spark: SparkSession, sf: str) -> DataFrame:
 SAMPLED = r"""
 s0 AS (SELECT doc_id, source, n_chars, regexp_extract_all(text, '\p{L}+') AS w,
   row_number() OVER (PARTITION BY source ORDER BY text LIKE '% the %' DESC, doc_id) AS rn FROM documents WHERE n_chars BETWEEN 60 AND 400),
-s1 AS (SELECT doc_id, source, w, unnest(range(1, len(w) // 2 + 1)) AS i FROM s0 WHERE rn <= 30),
-s2 AS (SELECT doc_id, source, substr(w[2 * i - 1], 1, 3) AS wrong, substr(w[2 * i], 1, 3) AS fixed FROM s1),
+s1 AS (SELECT doc_id, source, w FROM s0 WHERE rn <= 30),
+si AS (SELECT *, unnest(range(1, len(w) // 2 + 1)) AS i FROM s1),
+s2 AS (SELECT doc_id, source, substr(w[2 * i - 1], 1, 3) AS wrong, substr(w[2 * i], 1, 3) AS fixed FROM si),
 s3 AS (SELECT * FROM s2 WHERE wrong <> '' AND fixed <> '' AND wrong <> fixed)"""
 
 

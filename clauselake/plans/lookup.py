@@ -316,6 +316,17 @@ def context_block(spark: SparkSession, sf: str) -> DataFrame:
     return full.join(short, "query_id")
 
 
+@query("spec_search", """
+WITH s AS (SELECT p_brand || '-' || p_partkey AS code, p_name AS title FROM part), f AS (SELECT *, instr(lower(title), 'ol') AS p FROM s)
+SELECT code, title, CASE WHEN p > 0 THEN CASE WHEN p > 13 THEN '…' ELSE '' END || substr(title, greatest(p - 12, 1), p - greatest(p - 12, 1) + 14) ELSE '' END AS snippet
+FROM f WHERE p > 0 OR contains(lower(code), 'ol')""")
+def spec_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts, as specs, whose code or name holds a term."""
+    parts = read_table(spark, sf, "part", "p_partkey", "p_brand", "p_name").select(
+        F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("title"))
+    return catalog.search_specs(parts, "OL")
+
+
 @query("project_scope", """
 WITH c AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE conv_id % 7 END AS project_id FROM conversations),
 l AS (SELECT conv_id, CASE WHEN project_id IN (1, 2, 3, 4) THEN project_id END AS project_id FROM c)

@@ -77,6 +77,19 @@ def gt_presence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("gt_clause_audit", """
+WITH t AS (SELECT item_id AS query_id, 'SRC' || (item_id % 20) AS code, lpad(CAST(item_id * 37 % 1000 AS VARCHAR), 3, '0') AS clause FROM benchmark),
+p AS (SELECT DISTINCT query_id FROM t JOIN documents d ON upper(d.source) = t.code AND contains(lpad(CAST(d.doc_id AS VARCHAR), 8, '0'), t.clause))
+SELECT query_id, p.query_id IS NOT NULL AS present FROM t LEFT JOIN p USING (query_id)""")
+def gt_clause_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the clause that each item expects stands in the corpus under its code."""
+    item = F.col("item_id")
+    expected = read_table(spark, sf, "benchmark", "item_id").select(
+        item.alias("query_id"), F.concat(F.lit("SRC "), (item % 20).cast("string")).alias("code"),
+        F.lpad((item * 37 % 1000).cast("string"), 3, "0").alias("clause"))
+    return ev.truth_audit(expected, doc_codes(spark, sf))
+
+
 @query("first_hit_rank", f"WITH {RANKS} SELECT query_id, coalesce(rank_strict, -1) AS rank_strict, coalesce(rank_loose, -1) AS rank_loose FROM ranks")
 def first_hit_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Rank of the first relevant hit per item, by document and by source."""
