@@ -92,8 +92,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "end", F.col("_start") + F.col("_inside"))
     timed = stored(ends.select(
         "doc_id", "source", "size", "source_size", "target", "source_rank", "key",
-        *[((F.col("end") + r * F.col("source_size")).cast("double") / F.col("target")).alias(f"finish{r}")
-          for r in range(ROUNDS)]), "mix-times")
+        *[F.try_divide((F.col("end") + r * F.col("source_size")).cast("double"), F.col("target")).alias(f"finish{r}")
+          for r in range(ROUNDS)]), "mix-times")  # null where a source has no words
     grid = float(1024 * parts)
 
     def bin_of(time: Column) -> Column:
@@ -141,6 +141,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picked = shares.filter("taken > 0").select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(names[0]),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(names[1]),
-        F.col("size").alias(names[2]), F.expr("cast(taken div size as int)").alias(names[3])).distinct()
+        F.col("size").alias(names[2]), F.try_divide("taken", "size").cast("int").alias(names[3])).distinct()
     return mine.join(picked, names[:3]).withColumn(
         names[3], F.explode(F.array_repeat(F.lit(1), F.col(names[3])))).select(*docs.columns)
