@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import free_name, grouped, join_groups, record_batch, sliced, stored, strings
+from clauselake.llm.common import HOT_SHARE, free_name, grouped, join_groups, record_batch, sliced, stored, strings
 
 CHUNK = 6
 ERRORS = 1
@@ -168,6 +168,22 @@ def _buckets(nodes: DataFrame, n_chunks: int) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
+def _members(keyed: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+    """key, node, size and least of every row whose key has a bucket.
+
+    Buckets with more than 1/HOT_SHARE of all rows are at most HOT_SHARE, a proven bound: their keys are listed, their
+    rows meet a broadcast and stay out of the shuffle, in which the other rows meet their buckets.
+    """
+    limit = max(1, total // HOT_SHARE)
+    hot = [r["key"] for r in buckets.filter(F.col("size") > limit).select("key").collect()]
+    cold = keyed.filter(~F.col("key").isin(hot)) if hot else keyed
+    found = cold.join(buckets.filter(F.col("size") <= limit), "key")
+    if hot:
+        found = found.unionByName(
+            keyed.filter(F.col("key").isin(hot)).join(F.broadcast(buckets.filter(F.col("size") > limit)), "key"))
+    return found.select("key", "node", "size", "least")
+
+
 def _worth_confirming(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, part) whose signatures and set sizes allow the threshold; part spreads the partners of a."""
     facts = nodes.select("node", F.struct("n", "signature").alias("f"))
@@ -398,9 +414,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = _buckets(real, n_chunks)
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter(
         "size > 1"), "near-buckets")
-    ways = math.comb(CHUNK, ERRORS)
-    members = stored(join_groups(keyed, buckets, "key", "size", total * n_chunks * ways, "node").filter("least is not null"),
-                     "near-members")
+    members = stored(_members(keyed, buckets, total * n_chunks * math.comb(CHUNK, ERRORS)), "near-members")
     pairs = members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     parts = max(SPLIT, total // 1_000_000)
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))

@@ -99,6 +99,14 @@ def test_near_duplicates_brute_force(corpus, words, percent):
     assert len({c for _, c in expected.values()}) < len(expected)
 
 
+def test_hot_buckets_meet_a_broadcast(corpus, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_SHARE", 2000)
+    monkeypatch.setattr("clauselake.llm.common.HOT_SHARE", 50)
+    plain_ids = {r.doc_id: r.component_id for r in neardup.near_duplicates(corpus, words=2).collect()}
+    monkeypatch.setattr(neardup, "HOT_SHARE", 10**9)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(corpus, words=2).collect()} == plain_ids
+
+
 def test_near_duplicate_stage(corpus, empty, spark):
     expected = brute_components([(r.doc_id, r.text) for r in corpus.collect()], 5, 80)
     kept = neardup.without_near_copies(corpus)
