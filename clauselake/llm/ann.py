@@ -43,6 +43,9 @@ RECALL = 0.97
 
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 512
 
+HELD_HITS = 1_000_000
+"""Hits that a task holds before it cuts them to the best of each query."""
+
 
 @dataclass(frozen=True)
 class Lists:
@@ -187,6 +190,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray, kind: str, dims: int) -> np.ndar
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dims)
 
 
+def _best(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best hits of each query, each vector once: queries, vectors, scores."""
+    query, vec, score = (np.concatenate(column) for column in zip(*held))
+    order = np.lexsort((-score, vec, query))
+    query, vec, score = query[order], vec[order], score[order]
+    if not len(query):
+        return query, vec, score
+    first = np.append(True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1]))
+    query, vec, score = query[first], vec[first], score[first]
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    heads = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+    place = np.arange(len(query)) - np.repeat(heads, np.diff(np.append(heads, len(query))))
+    return query[place < k], vec[place < k], score[place < k]
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20,
             recall: float = RECALL) -> DataFrame:
     """The k nearest found of each query, by inner product: query_id, rank, vec_id, score.
@@ -256,6 +275,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for group in grouped(batches, ["list", "vb", "qb"]):
             is_query = group.column("is_query").to_numpy()
             if not is_query.any() or is_query.all():
@@ -264,16 +285,22 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             matrix = _matrix(group.column("v"), kind, dims).astype(np.float64)
             own, x, queries = ids[~is_query], matrix[~is_query], matrix[is_query]
             products = queries @ x.T
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for query_id, q, row in zip(ids[is_query], queries, products):
                 row[own == query_id] = -np.inf
                 cut = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
                 near = np.flatnonzero((row >= cut - 1e-9 * max(1.0, abs(cut))) & (row > -np.inf))
                 scores = (x[near] * q).sum(axis=1)  # the same sum for equal vectors, so ties are ties
                 order = np.lexsort((own[near], -scores))[:k]
-                out.append((np.full(len(order), query_id), own[near][order], scores[order]))
-            yield record_batch(schema, query_id=np.concatenate([o[0] for o in out]), vec_id=np.concatenate([o[1] for o in out]),
-                               score=np.concatenate([o[2] for o in out]))
+                held.append((np.full(len(order), query_id), own[near][order], scores[order]))
+                size += len(order)
+            if size > HELD_HITS:
+                held = [_best(held, k)]
+                size = len(held[0][0])
+                if 2 * size > HELD_HITS:  # many queries: these go on, and the merge after the exchange cuts again
+                    yield record_batch(schema, **dict(zip(("query_id", "vec_id", "score"), held[0])))
+                    held, size = [], 0
+        if held:
+            yield record_batch(schema, **dict(zip(("query_id", "vec_id", "score"), _best(held, k))))
 
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(
         F.max("score").alias("score"))
