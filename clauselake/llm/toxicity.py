@@ -35,6 +35,9 @@ WINDOW = 5
 
 MAX_WEIGHT = 6.0
 
+SHARE, SHARE_WORDS = 0.8, 5
+"""Share of a term's weight that a misspelling has before any evidence, and the number of words this is worth."""
+
 THRESHOLD = 0.7
 
 EDGES = "\"'`´“”„«»‹›‘’()[]{}<>.,;:!?¡¿*_~&#$%|-"
@@ -57,6 +60,7 @@ class Term:
     stem: bool
     weight: float
     misspelled: float = 0.0
+    near: tuple[tuple[str, float], ...] = ()  # misspellings that clean training texts hold, with weights of their own
 
 
 class LexiconAutomaton:
@@ -158,6 +162,7 @@ class Scorer:
 
     def __init__(self, terms: Sequence[Term], model: Sequence[float] | None = None):
         self._automaton = LexiconAutomaton(terms)
+        self._near = {(i, w): weight for i, t in enumerate(terms) for w, weight in t.near}
         self._model = model
         self._known: dict[str, tuple[float, bool] | None] = {}
 
@@ -165,7 +170,8 @@ class Scorer:
         """Weight of a word, and whether it is misspelled."""
         found = self._automaton.match(word) if word else None
         term = self._automaton.terms[found[0]] if found else None
-        got = None if term is None else (term.misspelled if found[1] else term.weight, found[1] > 0)
+        got = None if term is None else (
+            self._near.get((found[0], word), term.misspelled) if found[1] else term.weight, found[1] > 0)
         if len(self._known) > REMEMBER:
             self._known.clear()
         self._known[word] = got
@@ -181,7 +187,10 @@ class Scorer:
         return [(i, g[0], g[1], quoted(raw, i)) for i, g in enumerate(got) if g is not None]
 
     def features(self, text: str) -> list[float]:
-        """Strongest and summed weights of exact, misspelled and quoted hits; hits close together count more."""
+        """Strongest weight, by how much it is a misspelling's, summed and quoted weights; hits close together count more.
+
+        A misspelled hit goes the way of an exact one, so that it counts by its weight even if no training text has any.
+        """
         exact = fuzzy = said = total = 0.0
         hits = self.hits(text)
         for n, (at, weight, misspelled, is_quoted) in enumerate(hits):
@@ -195,7 +204,7 @@ class Scorer:
                 fuzzy = max(fuzzy, weight)
             else:
                 exact = max(exact, weight)
-        return [1.0, exact, fuzzy, math.log1p(total), math.log1p(said)]
+        return [1.0, max(exact, fuzzy), max(0.0, fuzzy - exact), math.log1p(total), math.log1p(said)]
 
     def score(self, text: str) -> float:
         """Likelihood of the label, between 0 and 1."""
@@ -241,7 +250,10 @@ def _evidence(train: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(evidence: DataFrame, n_bad: int, n_good: int, most: int = MAX_TERMS) -> list[Term]:
-    """The terms, each with a weight, and one for its misspellings after what those say in the training texts.
+    """The terms, each with a weight, and one for its misspellings.
+
+    Those have a share of the term's weight that is estimated over all terms together, lowered where most words close to
+    a term stand in clean training texts; a misspelling that clean training texts hold goes by its own numbers.
 
     A term must be so unevenly spread that among all words less than one would be by chance.
     """
@@ -264,26 +276,38 @@ def learn_lexicon(evidence: DataFrame, n_bad: int, n_good: int, most: int = MAX_
     shared = evidence.sparkSession.sparkContext.broadcast(terms)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("term", pa.int32()), ("bad", pa.int64()), ("good", pa.int64())])
+        schema = pa.schema([("term", pa.int32()), ("word", pa.string()), ("bad", pa.int64()), ("good", pa.int64())])
         automaton = LexiconAutomaton(shared.value)
         for batch in batches:
-            rows = [(found[0], b, g) for w, b, g in zip(*(c.to_pylist() for c in batch.columns))
+            rows = [(found[0], w, b, g) for w, b, g in zip(*(c.to_pylist() for c in batch.columns))
                     if (found := automaton.match(w)) is not None and found[1] > 0]
             yield record_batch(schema, **{f.name: [r[i] for r in rows] for i, f in enumerate(schema)})
 
-    seen = {r["term"]: (r["bad"], r["good"]) for r in evidence.filter("not stem").select("word", "bad", "good").mapInArrow(
-        near, "term int, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()}
+    seen: dict[int, list[tuple[str, int, int]]] = {}
+    for r in evidence.filter("not stem").select("word", "bad", "good").mapInArrow(  # words of the training texts, one edit off
+            near, "term int, word string, bad long, good long").orderBy("term", "word").collect():
+        seen.setdefault(r["term"], []).append((r["word"], r["bad"], r["good"]))
+    odds = n_bad / n_good
+
+    def sides(words: list[tuple[str, int, int]]) -> tuple[float, float]:
+        """Words that toxic texts hold more often, and those that clean texts do, for texts of equal number."""
+        bad = sum(b > g * odds for _, b, g in words)
+        return bad, (len(words) - bad) * min(1.0, odds)
+
+    bad, good = sides([w for words in seen.values() for w in words])
+    share = (bad + SHARE * SHARE_WORDS) / (bad + good + SHARE_WORDS)
     out = []
     for i, t in enumerate(terms):
-        bad, good = seen.get(i, (0, 0))
-        sure = (bad / n_bad + 0.5 / n_bad) / (bad / n_bad + good / n_good + 1.0 / n_bad)
-        out.append(Term(t.text, t.stem, t.weight, 0.0 if t.stem else t.weight * max(0.0, 2 * sure - 1) + 0.25 * (bad + good == 0)))
+        bad, good = sides(seen.get(i, []))
+        weight = 0.0 if t.stem else t.weight * (bad + share * SHARE_WORDS) / (bad + good + SHARE_WORDS)
+        own = [(w, math.log(b + 1) - math.log(g * odds + math.exp(-weight))) for w, b, g in seen.get(i, []) if g]
+        out.append(Term(t.text, t.stem, t.weight, weight, tuple((w, min(weight, max(0.0, v))) for w, v in own)))
     return out
 
 
 def fit(rows: Sequence[tuple[int, Sequence[float]]]) -> list[float]:
     """Logistic model by Newton steps; the ridge pulls towards a prior in which quoted hits say little."""
-    prior = np.array([-2.0, 1.0, 0.7, 0.5, 0.1])
+    prior = np.array([-2.0, 1.0, 0.0, 0.5, 0.1])
     if not rows:
         return prior.tolist()
     y = np.array([r[0] for r in rows], float)

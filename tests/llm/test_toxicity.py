@@ -85,3 +85,23 @@ def test_quotation_is_told_from_abuse():
     assert said < 0.5 < meant
     assert [h[3] for h in scorer.hits('he wrote "what a dolt" here, dolt')] == [True, False]
     assert scorer.hits("dollt")[0][2] and not scorer.hits("doltish")
+
+
+def test_misspellings_absent_from_training(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("klmnoprstuv") for _ in range(rng.randint(2, 8))) for _ in range(300)] + ["bolt"]
+    texts, labels, toxic = [], [], range(0, 600, 2)
+    for i in range(600):
+        text = [rng.choice(words) for _ in range(rng.randint(10, 40))]
+        if i in toxic:
+            text.insert(rng.randrange(len(text)), rng.choice(["grumbler", "scoundrel", "dolt"]))
+        texts.append((i, " ".join(text)))
+        labels.append((i, int(i in toxic)))
+    texts += [(1000, "krum grumbxler tosk"), (1001, "scondrel"), (1002, "you doltt"), (1003, "scoundrek grumbker"),
+              (1010, "a bolt of krum"), (1011, "bolt bolt bolt")]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(
+        spark.createDataFrame(texts, "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[i].predicted for i in (1000, 1001, 1002, 1003)] == [1] * 4, [got[i].score for i in range(1000, 1004)]
+    assert [got[i].predicted for i in (1010, 1011)] == [0, 0]
+    assert sum(got[i].predicted == int(i in toxic) for i in range(600)) >= 590
