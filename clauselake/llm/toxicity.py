@@ -41,7 +41,8 @@ SHARE, SHARE_WORDS = 0.8, 5
 THRESHOLD = 0.7
 
 EDGES = "\"'`´“”„«»‹›‘’()[]{}<>.,;:!?¡¿*_~&#$%|-"
-OPENING, CLOSING = "\"“„«‹‘", "\"”“»›’"
+ENDS = {'"': '"', "“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’"}
+OPENING = "".join(ENDS)
 
 REMEMBER = 300_000
 """Words whose match is remembered per worker."""
@@ -147,12 +148,32 @@ def words_of(text: str) -> tuple[list[str], list[str]]:
 
 
 def quoted(raw: Sequence[str], at: int) -> bool:
-    """Whether a quotation that opens at or before a word, within the window, closes at or after it."""
-    opens = any(raw[i][:1] in OPENING and raw[i][:1] for i in range(max(0, at - WINDOW), at + 1))
-    if not opens:
-        return False
-    return any(raw[i].rstrip(".,;:!?")[-1:] in CLOSING and raw[i].rstrip(".,;:!?")[-1:]
-               for i in range(at, min(len(raw), at + WINDOW + 1)))
+    """Whether a quotation that opens at or before a word, within the window, closes at or after it.
+
+    Marks are paired from left to right: a closing mark ends the last open quotation that it can end.
+    """
+    first = max(0, at - WINDOW)
+    opened: list[tuple[int, str]] = []  # the words where quotations began that are still open, and the marks that end them
+    for i in range(first, min(len(raw), at + WINDOW + 1)):
+        word = raw[i]
+        tail = word.lstrip(EDGES)
+        lead, tail = word[: len(word) - len(tail)], tail[len(tail.rstrip(EDGES)):]
+        if len(lead) == len(word):  # marks only: each ends a quotation if it can, and opens one if not
+            lead, tail = "", word
+        for c in lead:
+            if c in OPENING:
+                opened.append((i, ENDS[c]))
+        for c in tail:
+            n = next((n for n in range(len(opened) - 1, -1, -1) if c in opened[n][1]), None)
+            if n is not None:
+                if opened[n][0] <= at <= i:
+                    return True
+                del opened[n:]
+            elif len(tail) == len(word) and c in OPENING:
+                opened.append((i, ENDS[c]))
+        if i >= at and not any(o <= at for o, _ in opened):
+            return False
+    return False
 
 
 class Scorer:

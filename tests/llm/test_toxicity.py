@@ -105,3 +105,10 @@ def test_misspellings_absent_from_training(spark):
     assert [got[i].predicted for i in (1000, 1001, 1002, 1003)] == [1] * 4, [got[i].score for i in range(1000, 1004)]
     assert [got[i].predicted for i in (1010, 1011)] == [0, 0]
     assert sum(got[i].predicted == int(i in toxic) for i in range(600)) >= 590
+
+
+def test_marks_are_paired():
+    assert [toxicity.quoted(x.split(), x.split().index("dolt")) for x in (
+        'he said "stop" you dolt , then "go"', '"what a dolt you are" he said', 'as “one” he , dolt that he is, “two” said',
+        'the " old dolt " here', '"so it was, you dolt then "go"', 'it said “the «old» dolt of old”')] == [
+            False, True, False, True, False, True]
