@@ -3,7 +3,8 @@
 Letter trigrams of all labelled training texts are counted per language, and how often each language uses each
 script.  A word is a run of letters; its score for a language is the sum of the log shares of its trigrams, and only
 the languages that use its script are candidates.  The best labelling of a text's words, where each change of language
-costs a penalty, gives its spans; the language of the most letters is the text's.
+costs a penalty, gives its spans; the language of the most letters is the text's.  What a word may say grows with its
+letters, and runs of scripts without blanks are cut into pieces that count as words.
 """
 
 from __future__ import annotations
@@ -34,8 +35,14 @@ BITS = 17
 PENALTY = 14.0
 """Cost of a change of language, in units of log likelihood."""
 
-CLIP = 8.0
-"""The most by which one word may speak against a language."""
+CLIP, CLIP_LETTERS = 8.0, 8
+"""The most by which a word of up to so many letters may speak against a language that uses its script; longer words in proportion."""
+
+BLANKLESS, PIECE = ("han", "kana", "thai"), 4
+"""Scripts written without blanks between words, and the letters of a piece that stands for a word there."""
+
+BARRED = 4.0
+"""What a word in a script that a language does not use speaks against it beyond the clip, in changes of language; over two, as a span needs."""
 
 SCRIPT_SHARE = 0.005
 """A language uses a script that holds at least this share of its letters."""
@@ -60,6 +67,15 @@ def letter_tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, script
 
 
+@lru_cache(maxsize=1)
+def blankless() -> np.ndarray:
+    """Per script, as numbered by letter_tables: whether its words are cut into pieces."""
+    names = list(dict.fromkeys(n for n, _, _ in SCRIPTS))
+    cut = np.zeros(256, bool)
+    cut[[1, *(2 + names.index(n) for n in BLANKLESS)]] = True
+    return cut
+
+
 class Letters:
     """The letters of many texts: trigram hashes, words and the text that each word belongs to."""
 
@@ -79,7 +95,11 @@ class Letters:
         self.grams = (mixed >> np.uint32(32 - BITS)).astype(np.int32)
         self.at = at
         self.kinds = kinds[at]
-        self.starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        # a word ends where letters or their script do; scripts without blanks, and those not told apart, go in pieces
+        begins = (np.diff(at, prepend=-2) > 1) | (np.diff(self.kinds, prepend=self.kinds[:1]) != 0)
+        number = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(begins, number, 0))
+        self.starts = np.flatnonzero(begins | (blankless()[self.kinds] & ((number - run) % PIECE == 0)))
         self.lengths = np.diff(np.append(self.starts, len(at)))
         first = at[self.starts]
         self.text_of_word = np.searchsorted(self.offsets, first, side="right") - 1
@@ -137,8 +157,11 @@ class Identifier:
 
     def _word_scores(self, letters: Letters) -> np.ndarray:
         scores = np.add.reduceat(self._shares[letters.grams], letters.starts, axis=0)
-        scores = np.where(self._barred[letters.script_of_word], -np.inf, scores)
-        return np.maximum(scores - scores.max(axis=1, keepdims=True), -CLIP).astype(np.float64)
+        barred = self._barred[letters.script_of_word]
+        scores = scores - np.where(barred, -np.inf, scores).max(axis=1, keepdims=True)
+        clip = CLIP * np.maximum(1.0, letters.lengths / CLIP_LETTERS)[:, None]
+        floor = -(clip + BARRED * self.penalty)
+        return np.where(barred, floor, np.maximum(scores, -clip)).astype(np.float64)
 
     def _path(self, scores: np.ndarray, total: np.ndarray) -> np.ndarray:
         """The best label of each word."""

@@ -65,3 +65,29 @@ def test_stage_keeps_columns(docs, spark):
     assert langid.identify(docs.limit(0)).collect() == []
     nothing = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:4] for r in langid.identify(nothing).collect()] == [("und", 0.0)]
+
+
+def test_short_runs_in_another_script_are_spans(spark):
+    rng = random.Random(5)
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张"
+    rows = [(i, prose(lang, 40, rng), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    rows += [(100 + i, "".join(rng.choice(han) for _ in range(60)), "zh") for i in range(20)]
+    words, passage = prose("cc", 3, rng), "".join(rng.choice(han) for _ in range(30))
+    inner = [(900, prose("aa", 20, rng), words, prose("aa", 20, rng)), (901, prose("bb", 20, rng), prose("cc", 1, rng), prose("bb", 9, rng)),
+             (902, prose("aa", 6, rng), passage, prose("aa", 6, rng))]
+    rows += [(i, f"{a} {b} {c}", None) for i, a, b, c in inner] + [(903, "the" + passage * 20 + "the", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for (i, a, b, c), outer, other in zip(inner, ("aa", "bb", "aa"), ("cc", "cc", "zh")):
+        assert [(s.start, s.end, s.lang) for s in got[i].spans] == [
+            (0, len(a), outer), (len(a) + 1, len(a) + 1 + len(b), other), (len(a) + len(b) + 2, len(a) + len(b) + len(c) + 2, outer)]
+        assert got[i].lang_pred == outer and 0.5 < got[i].score <= 1
+    assert got[903].lang_pred == "zh" and [s.lang for s in got[903].spans if s.end - s.start > 3] == ["zh"]
+
+
+def test_words_speak_by_their_letters():
+    import numpy as np
+
+    shares = [np.full(1 << langid.BITS, v, "<f4").tobytes() for v in (-9.0, -12.0)]
+    labels = langid.Identifier([(x, s, [2]) for x, s in zip("ab", shares)])
+    scores = labels._word_scores(langid.Letters(["abc " + "abcd" * 8 + " " + "天" * 9]))
+    assert scores[0].tolist() == [0.0, -8.0] and scores[1].tolist() == [0.0, -32.0] and len(scores) == 5
