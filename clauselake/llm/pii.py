@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +38,10 @@ TOKEN = re.compile(r"\S+")
 EDGES = "\"'`()[]{}<>.,;:!?*&#$%|"
 
 LONGEST = 128
-"""A run longer than this is no slot."""
+"""A run longer than this is cut at its marks; a piece of it that is still longer has no mark inside and is no slot."""
+
+INNER = re.compile(r"[^\"'`()\[\]{}<>.,;:!?*&#$%|=/+\\]+")
+"""Pieces of a long run."""
 
 SUPPORT = 3
 """Different instances that must speak for a pattern."""
@@ -45,8 +49,6 @@ SUPPORT = 3
 TRUST = 0.5
 """Share of a pattern's places that known instances must fill, and the likelihood that makes an instance known."""
 
-ROUNDS = 3
-
 MARKS = 1 << 20
 """Bits of the mark table that tells which words are counted."""
 
@@ -97,7 +99,7 @@ def seeds(text: str) -> list[tuple[int, int, int]]:
 
 
 def _word(run: str) -> str:
-    return run.lower()[-LONGEST:]
+    return run.lower()
 
 
 def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int | None, int, int, str, str]]:
@@ -108,11 +110,15 @@ def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int |
     taken = sorted((s, e, k) for k, s, e in base)
     out, t, reach = [], 0, 0
     places: list[tuple[int, int, int | None]] = [(s, e, k) for s, e, k in taken]
+    longer: list[tuple[int, int]] = []
     for s, e in runs:
         while t < len(taken) and taken[t][0] < e:
             reach = max(reach, taken[t][1])
             t += 1
-        if e - s > LONGEST or reach > s or HINT.search(text, s, e) is None:
+        if e - s > LONGEST:
+            longer.append((s, e))
+            continue
+        if reach > s or HINT.search(text, s, e) is None:
             continue
         run = text[s:e]
         cut = run.rfind("=") + 1
@@ -120,6 +126,12 @@ def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int |
         b = s + len(run.rstrip(EDGES))
         if a < b and HINT.search(text, a, b):
             places.append((a, b, None))
+    reaches = list(accumulate((e for _, e, _ in taken), max))
+    begins = [s for s, _, _ in taken]
+    for a, b in (m.span() for s, e in longer for m in INNER.finditer(text, s, e)):
+        t = bisect_left(begins, b)
+        if b - a <= LONGEST and HINT.search(text, a, b) and not (t and reaches[t - 1] > a):
+            places.append((a, b, None))
     starts = [s for s, _ in runs]
     for s, e, k in sorted(places, key=lambda p: p[:2]):
         i = bisect_right(starts, s) - 1  # the run in which the slot begins
@@ -197,8 +209,11 @@ def _places(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
 
 
 def bootstrap(scan: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, trust: float = TRUST,
-              rounds: int = ROUNDS) -> DataFrame | None:
-    """Instances that are no seeds and became known: instance, kind; None if no pattern is worth counting."""
+              rounds: int | None = None) -> DataFrame | None:
+    """Instances that are no seeds and became known: instance, kind; None if no pattern is worth counting.
+
+    An instance keeps the kind under which it became known, so that rounds end when one finds nothing; `rounds` ends them before.
+    """
     slot = F.explode("slots").alias("s")
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("s.before").alias("word")),
                               F.struct(F.lit("r").alias("side"), F.col("s.after").alias("word")))).alias("c")
@@ -213,8 +228,9 @@ def bootstrap(scan: DataFrame, docs: DataFrame, text_col: str = "text", support:
     counted = stored(_places(docs, text_col, words), "pii-places")
     edges = stored(graph.join(counted, "word"), "pii-edges")
     seed_of = graph.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
-    known = seed_of
-    for _ in range(rounds):
+    known, done = stored(seed_of, "pii-known"), 0
+    while rounds is None or done < rounds:
+        done += 1
         told = edges.drop("kind").join(known, "instance")
         trusted = told.groupBy("side", "word", "kind").agg(
             F.count("*").alias("by"), (F.sum("n") / F.max("places")).alias("trust")).filter(
@@ -223,12 +239,11 @@ def bootstrap(scan: DataFrame, docs: DataFrame, text_col: str = "text", support:
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))).alias("p")).filter(F.col("p") >= trust)
         found = likely.groupBy("instance").agg(F.max(F.struct("p", -F.col("kind"))).alias("best")).select(
             "instance", (-F.col("best")["col2"]).alias("kind"))
-        new = stored(found.join(seed_of, "instance", "left_anti"), "pii-known")
-        grown = stored(seed_of.unionByName(new), "pii-known")
-        if new.join(known, "instance", "left_anti").isEmpty():
+        new = stored(found.join(known, "instance", "left_anti"), "pii-new")
+        if new.isEmpty():
             break
-        known = grown
-    return new
+        known = stored(known.unionByName(new), "pii-known")
+    return known.join(seed_of, "instance", "left_anti")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:

@@ -82,3 +82,24 @@ def test_empty_and_repeated(docs, spark):
 def test_long_blankless_texts_are_linear():
     text = "a1" * 200_000
     assert pii.slots(text, pii.seeds(text)) == []
+
+
+def test_long_runs_are_cut_at_their_marks():
+    text = "log " + ",".join(f'"k{i}"/user{i}' for i in range(40)) + ",u@h.org end"
+    found = pii.slots(text, pii.seeds(text))
+    assert {f[0] for f in found} == {"u@h.org", *(f"k{i}" for i in range(40)), *(f"user{i}" for i in range(40))}
+    assert all(text[f[2]: f[3]].lower() == f[0] for f in found)
+    word = "x" * 300
+    assert pii.slots(f"{word} a1", [])[0][4] == word
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    rows, n = [], 0
+    for step in range(7):
+        before = [f"u{i}@h.org" if step == 0 else f"id{step}x{i}" for i in range(4)]
+        rows += [f"lab{step} {x} tail{n + i}" for i, x in enumerate(before)]
+        rows += [f"lab{step} id{step + 1}x{i} more{n + i}" for i in range(4)]
+        n += 4
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert all(got[i].startswith("email:5:") for i in range(len(rows)))
