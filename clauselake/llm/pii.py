@@ -1,8 +1,8 @@
 """Personal data: four kinds found by form, and more found by bootstrapping from their contexts.
 
 Emails, IP addresses, card and phone numbers are found by their patterns; they are the seeds.  A slot is a place where
-an identifier may stand: a seed, or a run of non-blanks with a digit or @ that overlaps no seed.  The word before a slot and the
-word after it are its lexical patterns.  Instances and patterns form a graph, with the number of slots they share on the
+an identifier may stand: a seed, or a run of non-blanks, cut into labels and values, with a digit or @ that overlaps no
+seed.  The word before a slot and the word after it, glued to it by a mark or not, are its lexical patterns.  Instances and patterns form a graph, with the number of slots they share on the
 edges.  In each round a pattern is trusted if, of all places in the corpus where its word stands, enough are filled
 by known instances of one kind, and if enough different instances speak for it; an instance is known if the
 trusted patterns around it make it likely enough.  Slots of instances that became known are spans beside the seeds.
@@ -34,14 +34,21 @@ CARD_DIGITS = (16, 19)
 PHONE_DIGITS = (8, 15)
 
 HINT = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"\S+")
+# letters of scripts without blanks or with endings glued to foreign words, and the marks among them
+GLUED, GLUED_MARKS = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af", "\u3000-\u303f\uff01-\uff0f\uff1a-\uff20"
+TOKEN = re.compile(rf"[^\s{GLUED}{GLUED_MARKS}]+")
+CUTS = re.compile(r"[\"<>{}\[\]|&=;]|(?:(?<=[^\W\d_]{3})|(?<=[^\W\d_])(?<![0-9A-Fa-f]{2})):")
+"""Where a run is cut into labels and values; a colon after letters only, so that times and addresses stay whole."""
+
+WORD = re.compile(rf"(?:[^\s\"'`()\[\]{{}}<>,;:!?*&#$%|=/+\\{GLUED}{GLUED_MARKS}]+|[{GLUED}]+)[:=]?")
+"""A pattern word, with the colon or equals sign right after it."""
 EDGES = "\"'`()[]{}<>.,;:!?*&#$%|"
 
 LONGEST = 128
 """A run longer than this is cut at its marks; a piece of it that is still longer has no mark inside and is no slot."""
 
 INNER = re.compile(r"[^\"'`()\[\]{}<>.,;:!?*&#$%|=/+\\]+")
-"""Pieces of a long run."""
+"""Pieces of a long run, or of one with a seed in it."""
 
 SUPPORT = 3
 """Different instances that must speak for a pattern."""
@@ -99,47 +106,44 @@ def seeds(text: str) -> list[tuple[int, int, int]]:
 
 
 def _word(run: str) -> str:
-    return run.lower()
+    return run.lower().strip(".")
+
+
+def pieces(text: str) -> Iterator[tuple[int, int]]:
+    """The places where identifiers may stand: runs, cut into labels and values, and values that are long at every mark."""
+    for m in TOKEN.finditer(text):
+        at = m.start()
+        for end, go_on in [*((c.start(), c.end()) for c in CUTS.finditer(text, *m.span())), (m.end(), m.end())]:
+            yield from ((at, end),) if end - at <= LONGEST else (i.span() for i in INNER.finditer(text, at, end))
+            at = go_on
 
 
 def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int | None, int, int, str, str]]:
     """Instance, kind of a seed or None, start, end, word before, word after."""
     if HINT.search(text) is None:
         return []
-    runs = [m.span() for m in TOKEN.finditer(text)]
     taken = sorted((s, e, k) for k, s, e in base)
-    out, t, reach = [], 0, 0
+    reaches, begins = list(accumulate((e for _, e, _ in taken), max)), [s for s, _, _ in taken]
     places: list[tuple[int, int, int | None]] = [(s, e, k) for s, e, k in taken]
-    longer: list[tuple[int, int]] = []
-    for s, e in runs:
-        while t < len(taken) and taken[t][0] < e:
-            reach = max(reach, taken[t][1])
-            t += 1
-        if e - s > LONGEST:
-            longer.append((s, e))
-            continue
-        if reach > s or HINT.search(text, s, e) is None:
+
+    def free(s: int, e: int) -> bool:
+        t = bisect_left(begins, e)
+        return not t or reaches[t - 1] <= s
+
+    for s, e in (x for p in pieces(text) for x in ([p] if free(*p) else [i.span() for i in INNER.finditer(text, *p)])):
+        if e - s > LONGEST or HINT.search(text, s, e) is None or not free(s, e):
             continue
         run = text[s:e]
-        cut = run.rfind("=") + 1
-        a = s + cut + len(run[cut:]) - len(run[cut:].lstrip(EDGES))
-        b = s + len(run.rstrip(EDGES))
-        if a < b and HINT.search(text, a, b):
-            places.append((a, b, None))
-    reaches = list(accumulate((e for _, e, _ in taken), max))
-    begins = [s for s, _, _ in taken]
-    for a, b in (m.span() for s, e in longer for m in INNER.finditer(text, s, e)):
-        t = bisect_left(begins, b)
-        if b - a <= LONGEST and HINT.search(text, a, b) and not (t and reaches[t - 1] > a):
+        a, b = e - len(run.lstrip(EDGES + "/")), s + len(run.rstrip(EDGES + "/"))
+        if a < b:
             places.append((a, b, None))
-    starts = [s for s, _ in runs]
+    words = [(*m.span(), w) for m in WORD.finditer(text) if (w := _word(m[0]))]
+    starts, ends = [s for s, _, _ in words], [e for _, e, _ in words]
+    out = []
     for s, e, k in sorted(places, key=lambda p: p[:2]):
-        i = bisect_right(starts, s) - 1  # the run in which the slot begins
-        j = bisect_left(starts, e)  # the first run after it
-        head = text[runs[i][0]: s].rstrip(EDGES)
-        before = head if head else text[slice(*runs[i - 1])] if i > 0 else ""
-        after = text[slice(*runs[j])] if j < len(runs) else ""
-        out.append((text[s:e].lower(), k, s, e, _word(before), _word(after)))
+        i = bisect_right(ends, s) - 1  # the last word that ends before the slot
+        j = bisect_left(starts, e)  # the first one after it
+        out.append((text[s:e].lower(), k, s, e, words[i][2] if i >= 0 else "", words[j][2] if j < len(words) else ""))
     return out
 
 
@@ -193,11 +197,10 @@ def _places(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
 
         for batch in sliced(batches, "text", 4 << 20):
             for text in strings(batch.column("text")):
-                for word in map(_word, text.split()):
-                    for w in (word, word[: word.rfind("=") + 1]) if "=" in word else (word,):
-                        got = seen.get(w)
-                        if look(w) if got is None else got:
-                            counts[w] += 1
+                for w in map(_word, WORD.findall(text)):  # as slots() cuts them
+                    got = seen.get(w)
+                    if look(w) if got is None else got:
+                        counts[w] += 1
             if len(counts) > 200_000:
                 yield record_batch(schema, word=list(counts), places=list(counts.values()))
                 counts.clear()

@@ -103,3 +103,23 @@ def test_rounds_go_on_until_nothing_is_new(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
     assert all(got[i].startswith("email:5:") for i in range(len(rows)))
+
+
+def test_labels_glued_to_values(spark):
+    forms = ["mailto:{}", '{{"email":"{}","id":1}}', "contact={}", "邮箱：{}谢谢"]
+    texts = [f.format(f"u{i}@h{i}.org") + f" t{i}" for f in forms for i in range(12)]
+    hidden = [f.format(f"user{i}x") + f" v{i}" for i, f in enumerate(forms)]
+    docs = spark.createDataFrame(list(enumerate(texts + hidden)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    for i, text in enumerate(hidden):
+        at = text.index("user")
+        assert f"email:{at}:{at + 6}" in got[len(texts) + i].split(","), (text, got[len(texts) + i])
+    assert [x[0] for x in pii.slots("tel:555-1234 at 12:30 aa:bb:01 x=5&y=6", [])] == ["555-1234", "12:30", "aa:bb:01", "5", "6"]
+
+
+def test_contexts_are_counted_words():
+    rng = random.Random(4)
+    for _ in range(5000):
+        text = "".join(rng.choice('ab1@.:=", /(天') for _ in range(rng.randint(0, 40)))
+        counted = set(map(pii._word, pii.WORD.findall(text))) | {""}
+        assert all(b in counted and a in counted for *_, b, a in pii.slots(text, pii.seeds(text)))
