@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import ann, bpe, exactdup, langid, mixing, neardup, pii, tokens, toxicity, warc
+from clauselake.llm import ann, bpe, exactdup, langid, merkle, mixing, neardup, pii, tokens, toxicity, warc
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
@@ -124,3 +124,43 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors of every twentieth one."""
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@query("op11_merkle_manifest", r"""
+WITH RECURSIVE
+d AS (SELECT *, CASE WHEN list_reduce(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END,
+    xor(crc, b)), 4294967295) & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+e AS (SELECT doc_id, source,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail, coalesce(strlen(other) || ':' || other, '-') AS bad FROM d),
+l AS (SELECT doc_id, source, sha256(head || tail) AS leaf, sha256(head || bad) AS changed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM e),
+up(source, level, pos, h, n) AS (SELECT source, 0, pos, leaf, n FROM l UNION ALL
+    SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM up WHERE n > 1
+    GROUP BY source, level, pos // 3, n),
+t AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(level, pos, h, n) AS (SELECT 0, pos, h, n FROM t UNION ALL
+    SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1
+    GROUP BY level, pos // 3, n),
+f(doc_id, source, level, pos, n, h, proof) AS (SELECT doc_id, source, 0, pos, n, changed, '' FROM l UNION ALL
+    SELECT f.doc_id, f.source, f.level + 1, f.pos // 3, (f.n + 2) // 3,
+      sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.h ELSE u.h END, '' ORDER BY u.pos)),
+      f.proof || string_agg(CASE WHEN u.pos = f.pos THEN '' ELSE u.h END, '' ORDER BY u.pos)
+    FROM f JOIN up u ON u.source IS NOT DISTINCT FROM f.source AND u.level = f.level AND u.pos // 3 = f.pos // 3
+    WHERE f.n > 1 GROUP BY f.doc_id, f.source, f.level, f.pos, f.n, f.h, f.proof),
+g(doc_id, level, pos, n, h, proof) AS (SELECT f.doc_id, 0, t.pos, t.n, f.h, f.proof
+    FROM f JOIN t ON t.source IS NOT DISTINCT FROM f.source WHERE f.n = 1 UNION ALL
+    SELECT g.doc_id, g.level + 1, g.pos // 3, (g.n + 2) // 3,
+      sha256(string_agg(CASE WHEN u.pos = g.pos THEN g.h ELSE u.h END, '' ORDER BY u.pos)),
+      g.proof || string_agg(CASE WHEN u.pos = g.pos THEN '' ELSE u.h END, '' ORDER BY u.pos)
+    FROM g JOIN top u ON u.level = g.level AND u.pos // 3 = g.pos // 3
+    WHERE g.n > 1 GROUP BY g.doc_id, g.level, g.pos, g.n, g.h, g.proof)
+SELECT l.doc_id, l.leaf, t.h AS subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = r.h AS verified
+FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source JOIN g ON g.doc_id = l.doc_id AND g.n = 1
+CROSS JOIN (SELECT h FROM top WHERE n = 1) r
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, the roots above it, and whether its tampered text is found out."""
+    return merkle.merkle_manifest(documents(spark, sf_dir, *merkle.FIELDS))
