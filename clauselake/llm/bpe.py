@@ -19,16 +19,17 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from clauselake.llm.common import record_batch, sliced, strings
-from clauselake.llm.units import LONGEST, UnitEncoder, Vocabulary
+from clauselake.llm.common import free_name, record_batch, sliced, strings
+from clauselake.llm.units import LONGEST, Recent, UnitEncoder, Vocabulary
 
 NEVER = 1 << 62
-PAIRS = 500_000
-"""Pairs whose compatibility is remembered per worker."""
+PAIRS = 16 << 20
+"""Bytes of the pairs whose compatibility is remembered per worker."""
 
-WORDS = 400_000
-"""Pre-tokens remembered per worker."""
+WORDS = 16 << 20
+"""Bytes of the pre-tokens remembered per worker."""
 
 
 class PrefixBpe:
@@ -49,8 +50,8 @@ class PrefixBpe:
         for text, i in self._whole.items():
             self._ends.add_word(text, (len(text), i))
         self._ends.make_automaton()
-        self._fits: dict[int, bool] = {}
-        self._words: dict[bytes, bytes] = {}
+        self._fits = Recent(PAIRS)
+        self._words = Recent(WORDS)
         self._table = [vocab.bytes_of.get(i, b"") for i in range(max(vocab.bytes_of) + 1)]
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -90,9 +91,8 @@ class PrefixBpe:
                 pair = last[before] << 32 | token
                 good = fits.get(pair)
                 if good is None:
-                    if len(fits) > PAIRS:
-                        fits.clear()
-                    good = fits[pair] = self._compatible(last[before], token)
+                    good = self._compatible(last[before], token)
+                    fits.put(pair, good)
                 if not good:
                     continue
             last[end], first[end] = token, before
@@ -114,9 +114,7 @@ class PrefixBpe:
             if ids is None:
                 ids = self.word(w).tobytes()
                 if len(w) <= LONGEST:
-                    if len(known) >= WORDS:
-                        known.clear()
-                    known[w] = ids
+                    known.put(w, ids, len(w) + len(ids))
             out.append(ids)
         return b"".join(out)
 
@@ -171,23 +169,25 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def token_ids(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """All columns of the documents and the ids of each text as an array; a null text has no ids."""
-    names = docs.columns
-    kinds = docs.select(text_col).schema
-    from pyspark.sql import types as T
+    """All columns of the documents and the ids of each text as an array; a null text has no ids.
 
-    if out in names:
-        raise ValueError(f"the documents have a column {out!r} already")
+    The array is the last column; its name gets underscores in front if the documents have a column of that name.  A column
+    that is no text is read as text and passed on as it is.
+    """
+    out = free_name(docs, out)
     wide = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
-    assert kinds[0].dataType == T.StringType()
+    is_text = dict(docs.dtypes)[docs.select(text_col).columns[0]] == "string"
+    read = docs.select(text_col).columns[0] if is_text else free_name(docs, "_text")
+    source = docs if is_text else docs.withColumn(read, docs[text_col].cast("string"))
+    n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encode = codec(path)
-        for batch in sliced(batches, text_col):
-            packed = encode(strings(batch.column(text_col)))
+        for batch in sliced(batches, read):
+            packed = encode(strings(batch.column(read)))
             sizes = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
             ids = pa.ListArray.from_arrays(pa.array(sizes), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], ids], names=[*batch.schema.names[:n], out])
 
-    return docs.mapInArrow(run, wide)
+    return source.mapInArrow(run, wide)

@@ -151,12 +151,16 @@ class ShardReader:
         return values
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str) -> UnitEncoder:
-    """The worker's encoder by the tokenizers library, which remembers the ids of frequent units."""
+@lru_cache(maxsize=1)
+def library_encoder(path: str, plain: bool = False) -> UnitEncoder:
+    """The worker's encoder by the tokenizers library, which remembers the ids of frequent units.
+
+    With plain, the strings of special tokens are ordinary text.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = plain
     tokenizer.no_truncation()
     tokenizer.no_padding()
 

@@ -18,8 +18,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SAME_CLASSES = "Ԁ"
 """Below this character all Unicode versions class letters, numbers and blanks alike."""
 
-REMEMBER = 1_100_000
-"""Units remembered per worker; the memory is emptied when it is full."""
+REMEMBER = 64 << 20
+"""Bytes of the units remembered per worker."""
 
 LONGEST = 64
 """Longer units are encoded each time."""
@@ -30,8 +30,9 @@ MARKS = ".,;:!?|%&*$#"
 LINE = "\n"
 
 RARE_BLANKS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r")
+RARE_ASCII = tuple(filter(str.isascii, RARE_BLANKS))
 
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 """Characters whose units are held at once; a longer text is held alone."""
 
 
@@ -73,17 +74,47 @@ class Vocabulary:
         return [bytes(own[c] for c in w) for w, _ in self._library.pre_tokenize_str(text)]
 
 
+class Recent:
+    """What was used last, by key, in a bounded number of bytes: a young generation, and the one before it.
+
+    When the young generation fills half the bytes, it becomes the old one; what is still used moves back.
+    """
+
+    ENTRY = 150
+    """Bytes of an entry besides its key and value: two object heads and a place in the table."""
+
+    def __init__(self, most: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self._most, self._size = most // 2, 0
+
+    def get(self, key):
+        """The value of a key, or None."""
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value, size: int = 0) -> None:
+        """Remember a value that has `size` bytes with its key."""
+        if self._size > self._most:
+            self.young, self.old, self._size = {}, self.young, 0
+        self.young[key] = value
+        self._size += self.ENTRY + size
+
+
 class UnitEncoder:
     """Texts to packed ids, one remembered unit at a time.
 
-    `encode_units` gives the packed ids of units that are not remembered yet.
+    `encode_units` gives the packed ids of units that are not remembered; `remember` bounds the bytes of those that are.
     """
 
     def __init__(self, encode_units: Callable[[Sequence[str]], list[bytes]], remember: int = REMEMBER):
         self._encode = encode_units
-        self._most = remember
-        self._known: dict[str, bytes] = {}
-        self._heads: dict[str, bytes] = {}
+        self._units = Recent(remember - remember // 8)
+        self._heads = Recent(remember // 8)
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -97,11 +128,7 @@ class UnitEncoder:
         return out + self._chunk(texts[start:])
 
     def _chunk(self, texts: Sequence[str]) -> list[bytes]:
-        known = self._known
-        if len(known) + len(self._heads) > self._most:
-            known.clear()
-            self._heads.clear()
-        look = known.get
+        look = self._units.young.get
         heads, bodies, fresh = [], [], set()
         for text in texts:
             if _has_runs(text):
@@ -114,41 +141,61 @@ class UnitEncoder:
                 fresh.update([p for p, v in zip(rest, values) if v is None])
             heads.append(head)
             bodies.append((rest, values))
-        # a missing part is put together from the ids of its pieces: after a space, after a line end, and marks
-        recipes, ends, after_space, after_line = [], {LINE}, set(), set()
+        first_ids, found = self._made(heads, fresh)
+        return [
+            first + b"".join([found[p] if v is None else v for p, v in zip(rest, values)] if None in values else values)
+            for first, (rest, values) in zip(first_ids, bodies)
+        ]
+
+    def _made(self, heads: list[str], fresh: set[str]) -> tuple[list[bytes], dict]:
+        """Ids of the heads, and of each unit that the young generation does not have; these are remembered."""
+        known, after = self._units, self._heads
+        found: dict[str, bytes | None] = {}
+        # a new unit is put together from the ids of its pieces: after a space, after a line end, and marks
+        recipes, ends, after_space, after_line = [], {LINE}, {}, {}
         for p in fresh:
+            if p.isalnum():
+                found[p] = value = known.get(p)
+                if value is None:
+                    after_space[p] = None
+                    recipes.append((p, p, "", None, ""))
+                continue
             left, line, right = p.partition(LINE)
             if not (line and left and right and not left[-1].isspace() and LINE not in right and not right[0].isspace()):
                 left, line, right = p, "", ""
             core, end = _without_marks(left)
             ends.add(end)
-            if core not in known:
-                after_space.add(core)
+            if core not in after_space:
+                after_space[core] = known.get(core)
+            word, stop = None, ""
             if line:
                 word, stop = _without_marks(right)
                 ends.add(stop)
-                if word not in self._heads:
-                    after_line.add(word)
-                recipes.append((p, core, end, word, stop))
-            elif end:
-                recipes.append((p, core, end, None, ""))
-        lists = [heads, list(ends), list(after_line), list(after_space)]
-        ids = iter(self._encode([*heads, *lists[1], *lists[2], *[" " + p for p in lists[3]]]))
+                if word not in after_line:
+                    after_line[word] = after.get(word)
+            recipes.append((p, core, end, word, stop))
+        new_cores = [p for p, v in after_space.items() if v is None]
+        new_words = [p for p, v in after_line.items() if v is None]
+        marks = list(ends)
+        ids = iter(self._encode([*heads, *marks, *new_words, *[" " + p for p in new_cores]]))
         first_ids = [next(ids) for _ in heads]
-        end_ids = dict(zip(lists[1], ids))
-        starts = dict(zip(lists[2], ids))
-        found = dict(zip(lists[3], ids))
-        known.update([(p, v) for p, v in found.items() if len(p) <= LONGEST and not _runs(p)])
-        self._heads.update([(p, v) for p, v in starts.items() if len(p) <= LONGEST])
+        end_ids = dict(zip(marks, ids))
+        for p, v in zip(new_words, ids):
+            after_line[p] = v
+            if len(p) <= LONGEST:
+                after.put(p, v, len(p) + len(v))
+        for p, v in zip(new_cores, ids):
+            after_space[p] = v
+            if len(p) <= LONGEST and not _runs(p):
+                known.put(p, v, len(p) + len(v))
         for p, core, end, word, stop in recipes:
-            made = (look(core) or found[core]) + end_ids[end]
+            made = after_space[core]
+            if end:
+                made += end_ids[end]
             if word is not None:
-                made += end_ids[LINE] + (self._heads.get(word) or starts[word]) + end_ids[stop]
+                made += end_ids[LINE] + after_line[word] + end_ids[stop]
             found[p] = made
-        return [
-            first + b"".join([found[p] if v is None else v for p, v in zip(rest, values)] if None in values else values)
-            for first, (rest, values) in zip(first_ids, bodies)
-        ]
+        return first_ids, found
 
 
 def _runs(part: str) -> bool:
@@ -165,7 +212,7 @@ def _without_marks(part: str) -> tuple[str, str]:
 def _has_runs(text: str) -> bool:
     """Whether a blank may stand before a space; texts with rare blanks count as such."""
     return (text[:1] == " " or "  " in text or "\n " in text or "\t " in text or "\r " in text
-            or any(c in text for c in RARE_BLANKS))
+            or any(c in text for c in (RARE_ASCII if text.isascii() else RARE_BLANKS)))
 
 
 def _merged(head: str, *rest: str) -> list[str]:

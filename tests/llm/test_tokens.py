@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from clauselake.llm import bpe, tokens
+from clauselake.llm import bpe, tokens, units
 from clauselake.llm.units import UnitEncoder, Vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,8 +59,27 @@ def test_token_ids_keep_all_columns(corpus, library):
     got = bpe.token_ids(corpus.withColumnRenamed("size", "n_tokens"), PATH)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_tokens", "ids"]
     assert all(r.ids == library.encode(r.text or "", add_special_tokens=False).ids for r in got.collect())
-    with pytest.raises(ValueError, match="ids"):
-        bpe.token_ids(corpus.withColumnRenamed("size", "ids"), PATH)
+    for taken, name in (("ids", "_ids"), ("IDS", "_ids")):
+        got = bpe.token_ids(corpus.withColumnRenamed("size", taken), PATH)
+        assert got.columns == ["doc_id", "text", "lang", "source", taken, name]
+        assert got.filter("doc_id = 3").first()[name] == library.encode(corpus.filter("doc_id = 3").first().text).ids
+    numbers = bpe.token_ids(corpus.select("doc_id"), PATH, "doc_id").collect()
+    assert all(r.ids == library.encode(str(r.doc_id)).ids for r in numbers)
+
+
+def test_remembered_units_are_bounded():
+    recent = units.Recent(40 * units.Recent.ENTRY)
+    for i in range(1000):
+        recent.put(str(i), b"", 0)
+        assert recent.get("0") == b"" and len(recent.young) + len(recent.old) <= 44
+    assert recent.get("500") is None
+
+
+def test_a_small_memory_changes_no_ids(texts, library):
+    encode = units.UnitEncoder(lambda us: [np.array(library.encode(u, add_special_tokens=False).ids, "<u4").tobytes() for u in us], 4000)
+    for _ in range(2):
+        for text, packed in zip(texts, [encode([t])[0] for t in texts]):
+            assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 class Held:
