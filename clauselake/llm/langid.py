@@ -247,9 +247,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return source.mapInArrow(run, out_schema)
 
 
-def known_language(docs: DataFrame, **names) -> DataFrame:
-    """The documents whose language could be told, with their columns; "und" goes."""
-    clash = {"held_out", "lang_pred", "score", "spans", "_held_out"} & {c.lower() for c in docs.columns}
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c.lower() in clash})
-    kept = identify(renamed, keep=True, **names).filter(F.col("lang_pred") != UNKNOWN)
-    return kept.select(*[F.col(f"_own_{c}").alias(c) if c.lower() in clash else F.col(c) for c in docs.columns])
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The documents whose language could be told, with their columns; "und" goes.
+
+    The columns travel under names of their own, so they may have any names.
+    """
+    own = [f"c{i}_" for i in range(len(docs.columns))]
+    place = {c.lower(): name for c, name in zip(docs.columns, own)}
+    found = identify(docs.toDF(*own), place[id_col.lower()], place[text_col.lower()], place[lang_col.lower()], keep=True, **options)
+    return found.filter(F.col("lang_pred") != UNKNOWN).select(*own).toDF(*docs.columns)

@@ -91,3 +91,13 @@ def test_words_speak_by_their_letters():
     labels = langid.Identifier([(x, s, [2]) for x, s in zip("ab", shares)])
     scores = labels._word_scores(langid.Letters(["abc " + "abcd" * 8 + " " + "天" * 9]))
     assert scores[0].tolist() == [0.0, -8.0] and scores[1].tolist() == [0.0, -32.0] and len(scores) == 5
+
+
+def test_columns_may_have_any_names(spark):
+    rng = random.Random(6)
+    rows = [(i, prose("aa", 20, rng), "aa", *range(7)) for i in range(8)] + [(8, "--", "aa", *range(7))]
+    names = "doc_id long, text string, lang string, Score int, _own_Score int, held_out int, Spans int, lang_pred int, c0_ int, _Text int"
+    docs = spark.createDataFrame(rows, names)
+    kept = langid.known_language(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] != 8]
