@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import ann, bpe, exactdup, langid, merkle, mixing, neardup, pii, tokens, toxicity, warc
+from clauselake.llm import align, ann, bpe, exactdup, langid, merkle, mixing, neardup, pii, tokens, toxicity, warc
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def vocabulary() -> str:
-    """Path of the public vocabulary file on this machine."""
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Path of a public vocabulary file on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @query("op6_bpe_prefixes")
@@ -164,3 +164,10 @@ CROSS JOIN (SELECT h FROM top WHERE n = 1) r
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, the roots above it, and whether its tampered text is found out."""
     return merkle.merkle_manifest(documents(spark, sf_dir, *merkle.FIELDS))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of every document by two tokenizers."""
+    paths = vocabulary(), vocabulary(PIECES)
+    return align.link_statistics(align.aligned(documents(spark, sf_dir, "doc_id", "text"), *paths), *paths)
