@@ -14,7 +14,9 @@ measured size allows, and is joined otherwise.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from clauselake.llm.common import join_groups, record_batch, sliced, stored, strings
 from clauselake.llm.tokens import library_encoder
-from clauselake.llm.units import Vocabulary
+from clauselake.llm.units import PATTERN, SAME_CLASSES, Vocabulary
 
 LOOKUP_PAIRS = 1 << 20
 """Pairs of ids that are sent to the tasks as a table; more are joined."""
@@ -32,32 +34,27 @@ LOOKUP_PAIRS = 1 << 20
 HELD_PAIRS = 1 << 20
 """Pairs whose counts a task holds before it hands them on."""
 
-TEXT_BYTES = 4 << 20
-LOW = np.uint64(0xFFFFFFFF)
+TEXT_BYTES = 1 << 20
+LIBRARY_BYTES = 16 << 20
+"""Bytes of the units that a worker remembers for the slower library."""
 
+WORD = 8
+"""Bytes of an end in an array of ends."""
 
-def common_cuts(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+FIRST_PROBE = 4 * WORD
+
+LONG_BLANK = re.compile(r"\s{200}")
+
+
+def common_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of tokens of both before each common end, given the ascending ends of both; the last ends are equal."""
-    cuts_a: list[int] = []
-    cuts_b: list[int] = []
-    i = j = 0
-    while i < len(a):
-        # one token to one along the diagonal: probe twice as far while the ends agree, half as far once they do not
-        if a[i] == b[j]:
-            run, width, grows = 1, 1, True
-            while width:
-                ends = a[i + run: i + run + width]
-                if ends and ends == b[j + run: j + run + width]:
-                    run += len(ends)
-                    grows = grows and len(ends) == width
-                else:
-                    grows = False
-                width = 2 * width if grows else width // 2
-            cuts_a += range(i + 1, i + run + 1)
-            cuts_b += range(j + 1, j + run + 1)
-            i, j = i + run, j + run
-            continue
-        # no agreement: step on where the end comes first, until both end together
+    # stretches of groups of one token each, from the group that ends them; unlike words stop every probe at the end
+    first_a, first_b, runs = [], [], []
+    whole_a, whole_b = (np.append(e, end).astype(np.int64).tobytes() for e, end in ((ends_a, -1), (ends_b, -2)))
+    a, b = ends_a.tolist(), ends_b.tolist()
+    n, i, j = len(a), 0, 0
+    while i < n:
+        # step on where the end comes first, until both end together
         x, y = a[i], b[j]
         while x != y:
             if x < y:
@@ -66,10 +63,40 @@ def common_cuts(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 y = b[j]
-        i, j = i + 1, j + 1
-        cuts_a.append(i)
-        cuts_b.append(j)
-    return cuts_a, cuts_b
+        i += 1
+        j += 1
+        first_a.append(i)
+        first_b.append(j)
+        # one token to one along the diagonal: probe twice as far while the ends agree, then half as far down to one
+        at = start = WORD * i
+        shift = WORD * j - start
+        width = FIRST_PROBE
+        while whole_a[at: at + width] == whole_b[at + shift: at + shift + width]:
+            at += width
+            width *= 2
+        while width > WORD:
+            width //= 2
+            if whole_a[at: at + width] == whole_b[at + shift: at + shift + width]:
+                at += width
+        run = (at - start) // WORD
+        runs.append(run + 1)
+        i += run
+        j += run
+    steps = np.arange(sum(runs)) - np.repeat(np.cumsum(runs) - runs, runs)
+    return np.repeat(first_a, runs) + steps, np.repeat(first_b, runs) + steps
+
+
+@dataclass(frozen=True)
+class Groups:
+    """Aligned texts one after the other: ids of both, where each text ends, and after how many ids each group ends."""
+
+    a: np.ndarray
+    b: np.ndarray
+    ends_a: np.ndarray
+    ends_b: np.ndarray
+    cuts_a: np.ndarray
+    cuts_b: np.ndarray
+    ends_groups: np.ndarray
 
 
 class Pair:
@@ -77,43 +104,69 @@ class Pair:
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
+        import tiktoken
 
-        self._encode = library_encoder(byte_path, True)
+        self._path = byte_path
         vocabulary = Vocabulary(byte_path)
-        self._bytes_a = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)]
+        self._ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={})
         self._pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self._bytes_b = [self._piece(i) for i in range(self._pieces.get_piece_size())]
-        self._size_a = np.array(list(map(len, self._bytes_a)))
-        self._size_b = np.array(list(map(len, self._bytes_b)))
+        self.bytes_a = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)]
+        self.bytes_b = [self._piece(i) for i in range(self._pieces.get_piece_size())]
+        self.size_a = np.array(list(map(len, self.bytes_a)))
+        self.size_b = np.array(list(map(len, self.bytes_b)))
+        self.vocabulary = max(len(self.size_a), len(self.size_b))
 
     def _piece(self, i: int) -> bytes:
         if self._pieces.is_byte(i):
             return bytes([int(self._pieces.id_to_piece(i)[3:5], 16)])
         return self._pieces.id_to_piece(i).replace("▁", " ").encode()
 
-    def align(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
-        """Per text the ids of both and the cuts of both; all empty if the tokens' bytes are not those of the text."""
+    def _byte_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each text.
+
+        The faster library has the same merges; texts with characters that Unicode versions class differently, or with
+        blanks too long for its patterns, go to the library that the vocabulary is for.
+        """
+        easy = [(t.isascii() or max(t) < SAME_CLASSES) and LONG_BLANK.search(t) is None for t in texts]
+        hard = [t for t, e in zip(texts, easy) if not e]
         # a letter before the space is a token of its own, so its id is cut off again
-        packed = self._encode(["x " + t for t in texts])
-        pieces = self._pieces.encode(texts, num_threads=1)
-        nothing = np.zeros(0, np.int32)
-        out = []
-        for text, own, others in zip(texts, packed, pieces):
-            a, b = np.frombuffer(own, "<u4")[1:], np.array(others, np.int64)
+        others = iter(library_encoder(self._path, True, LIBRARY_BYTES)(["x " + t for t in hard]) if hard else ())
+        return [self._ranks.encode_to_numpy(" " + t, disallowed_special=()) if e else np.frombuffer(next(others), "<u4")[1:]
+                for t, e in zip(texts, easy)]
+
+    def align(self, texts: list[str]) -> Groups:
+        """The groups of all texts; a text whose tokens' bytes differ from it has no ids."""
+        own, others = self._byte_ids(texts), self._pieces.encode(texts, num_threads=1)
+        nothing = np.zeros(0, np.int64)
+        ids_a, ids_b, cuts_a, cuts_b = [nothing], [nothing], [nothing], [nothing]
+        done_a = done_b = 0
+        for text, a, pieces in zip(texts, own, others):
             whole = b" " + text.encode()
-            if (not text or b"".join(map(self._bytes_a.__getitem__, a.tolist())) != whole
-                    or b"".join(map(self._bytes_b.__getitem__, others)) != whole):
-                out.append((nothing, nothing, [], []))
-                continue
-            ends_a, ends_b = np.cumsum(self._size_a[a]).tolist(), np.cumsum(self._size_b[b]).tolist()
-            out.append((a.astype(np.int32), b.astype(np.int32), *common_cuts(ends_a, ends_b)))
-        return out
-
-    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of the tokens of each link, of two runs of ids with the same bytes."""
-        ends_a, ends_b = np.cumsum(self._size_a[a]), np.cumsum(self._size_b[b])
-        ends = np.union1d(ends_a, ends_b)
-        return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+            ends = np.cumsum(self.size_a[a])  # every byte is a token, so none of these gets lost
+            b = np.array(pieces, np.int64)
+            if not text or ends[-1] != len(whole) or b"".join(map(self.bytes_b.__getitem__, pieces)) != whole:
+                a, b, cuts = nothing, nothing, (nothing, nothing)
+            else:
+                cuts = common_cuts(ends, np.cumsum(self.size_b[b]))
+            ids_a.append(a)
+            ids_b.append(b)
+            cuts_a.append(cuts[0] + done_a)
+            cuts_b.append(cuts[1] + done_b)
+            done_a, done_b = done_a + len(a), done_b + len(b)
+        ends_a, ends_b, ends_groups = (np.cumsum([len(v) for v in x[1:]], dtype=np.int64) for x in (ids_a, ids_b, cuts_a))
+        return Groups(np.concatenate(ids_a).astype(np.int64), np.concatenate(ids_b), ends_a, ends_b, np.concatenate(cuts_a),
+                      np.concatenate(cuts_b), ends_groups)
+
+    def links(self, groups: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the two tokens of every link, and where the links of each text end."""
+        ends_a, ends_b = np.cumsum(self.size_a[groups.a]), np.cumsum(self.size_b[groups.b])  # both sides have the same bytes
+        in_a, in_b = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, bool), None
+        in_b = in_a.copy()
+        in_a[ends_a] = True
+        in_b[ends_b] = True
+        ends = np.flatnonzero(in_a | in_b)
+        of_text = np.append(0, ends_a)[groups.ends_a]
+        return (np.cumsum(in_a) - in_a)[ends], (np.cumsum(in_b) - in_b)[ends], np.searchsorted(ends, of_text, side="right")
 
 
 @lru_cache(maxsize=1)
@@ -122,11 +175,9 @@ def tokenizer_pair(byte_path: str, piece_path: str) -> Pair:
     return Pair(byte_path, piece_path)
 
 
-def _lists(values: list, kind: type = np.int32) -> pa.ListArray:
-    """An Arrow column of lists of integers."""
-    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, kind), *[np.asarray(v, kind) for v in values if len(v)]])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"),
+                       docs[text_col].cast("string").alias("text"))
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,32 +188,59 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
     whose tokens' bytes differ from it, has empty arrays.  Rows that repeat come out as often, ids may be null, and an empty
     table gives no rows.  Nothing is shuffled.
     """
-    source = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"),
-                         docs[text_col].cast("string").alias("text"))
-    arrays = ("a", "b", "a_cuts", "b_cuts")
+    def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizer_pair(byte_path, piece_path)
         for batch in sliced(batches, "text", TEXT_BYTES):
-            found = pair.align(strings(batch.column("text")))
+            g = pair.align(strings(batch.column("text")))
+            n = np.diff(g.ends_groups, prepend=0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), *[_lists([f[k] for f in found]) for k in range(4)]],
-                names=["row", "doc_id", *arrays])
+                [batch.column("row"), batch.column("doc_id"), lists(g.a, g.ends_a), lists(g.b, g.ends_b),
+                 lists(g.cuts_a - np.repeat(np.append(0, g.ends_a)[:-1], n), g.ends_groups),
+                 lists(g.cuts_b - np.repeat(np.append(0, g.ends_b)[:-1], n), g.ends_groups)],
+                names=["row", "doc_id", "a", "b", "a_cuts", "b_cuts"])
 
-    return source.mapInArrow(run, "row long, doc_id long, " + ", ".join(f"{c} array<int>" for c in arrays))
+    return _source(docs, id_col, text_col).mapInArrow(run, "row long, doc_id long, a array<int>, b array<int>, a_cuts array<int>, b_cuts array<int>")
 
 
 @lru_cache(maxsize=1)
-def _group_texts(size: int) -> list[str]:
-    """Each id followed by a comma, by a bar, and by a semicolon."""
-    return [f"{i}{mark}" for mark in ",|;" for i in range(size)]
+def _written(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each id followed by a comma, by a bar, and by a semicolon: as rows of characters, and how many there are."""
+    made = [f"{i}{mark}".encode() for mark in ",|;" for i in range(size)]
+    sizes = np.array(list(map(len, made)))
+    widest = int(sizes.max())
+    table = np.frombuffer(b"".join(x.ljust(widest) for x in made), np.uint8).reshape(len(made), -1)
+    return table, sizes
 
 
-def described(groups: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """Per aligned text: row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs of ids.
+def group_digests(groups: Groups, vocabulary: int) -> list[str]:
+    """Digest of each text's groups as text: ids parted by commas, the two sides by a bar, groups by semicolons.
 
-    The pairs are packed as unsigned 64-bit integers (the first id in the high half), `times` says how many links each has.
-    The digest is that of the groups as text, ids parted by commas, the two sides by a bar, groups by semicolons.
+    All ids are below `vocabulary`.
+    """
+    a, b, cuts_a, cuts_b = groups.a.copy(), groups.b.copy(), groups.cuts_a, groups.cuts_b
+    table, sizes = _written(vocabulary)
+    # the place of an id among the ids of both sides: group after group, one side after the other
+    place_a = np.arange(len(a)) + np.repeat(np.append(0, cuts_b)[:-1], np.diff(cuts_a, prepend=0))
+    place_b = np.arange(len(b)) + np.repeat(cuts_a, np.diff(cuts_b, prepend=0))
+    a[cuts_a - 1] += vocabulary
+    b[cuts_b - 1] += 2 * vocabulary
+    mixed = np.empty(len(a) + len(b), np.int64)
+    mixed[place_a] = a
+    mixed[place_b] = b
+    lengths = sizes[mixed]
+    data = table[mixed][np.arange(table.shape[1]) < lengths[:, None]].tobytes()
+    ends = np.append(0, np.cumsum(lengths))[groups.ends_a + groups.ends_b].tolist()
+    return [hashlib.sha256(data[i: j - 1]).hexdigest() if j > i else "" for i, j in zip([0, *ends], ends)]
+
+
+def described(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per text its groups in short: row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs of ids.
+
+    The pairs are packed as 64-bit integers (the first id in the high half), `times` says how many links each has.  Rows are
+    those of `aligned`.
     """
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
                         ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
@@ -170,45 +248,19 @@ def described(groups: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizer_pair(byte_path, piece_path)
-        vocabulary = max(len(pair._size_a), len(pair._size_b))
-        text_of = _group_texts(vocabulary).__getitem__
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {c: batch.column(c) for c in ("a", "b", "a_cuts", "b_cuts")}
-            flat = {c: x.values.to_numpy() for c, x in columns.items()}
-            ends = {c: x.offsets.to_numpy() for c, x in columns.items()}
-            out: dict[str, list] = {f: [] for f in schema.names[2:]}
-            for i in range(batch.num_rows):
-                a, b, cuts_a, cuts_b = (flat[c][ends[c][i]: ends[c][i + 1]] for c in ("a", "b", "a_cuts", "b_cuts"))
-                at_a, at_b = pair.links(a, b)
-                pairs, times = np.unique(a[at_a].astype(np.uint64) << np.uint64(32) | b[at_b].astype(np.uint64), return_counts=True)
-                out["n_a"].append(len(a))
-                out["n_b"].append(len(b))
-                out["n_groups"].append(len(cuts_a))
-                out["n_links"].append(len(at_a))
-                out["groups_sha256"].append(_group_digest(a, b, cuts_a, cuts_b, vocabulary, text_of))
-                out["pairs"].append(pairs.tobytes())
-                out["times"].append(times.astype("<u4").tobytes())
-            yield record_batch(schema, row=batch.column("row"), doc_id=batch.column("doc_id"), **out)
-
-    return groups.mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-                                  "pairs binary, times binary")
-
-
-def _group_digest(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, vocabulary: int, text_of) -> str:
-    if not len(a):
-        return ""
-    # an id's place among all ids of both sides, and the mark behind it
-    group_a = np.repeat(np.arange(len(cuts_a)), np.diff(cuts_a, prepend=0))
-    group_b = np.repeat(np.arange(len(cuts_b)), np.diff(cuts_b, prepend=0))
-    marked_a, marked_b = a.astype(np.int64), b.astype(np.int64)
-    marked_a[cuts_a - 1] += vocabulary
-    marked_b[cuts_b - 1] += 2 * vocabulary
-    mixed = np.empty(len(a) + len(b), np.int64)
-    mixed[np.arange(len(a)) + np.append(0, cuts_b)[group_a]] = marked_a
-    mixed[np.arange(len(b)) + cuts_a[group_b]] = marked_b
-    return hashlib.sha256("".join(map(text_of, mixed.tolist()))[:-1].encode()).hexdigest()
+        for batch in sliced(batches, "text", TEXT_BYTES):
+            groups = pair.align(strings(batch.column("text")))
+            at_a, at_b, ends = pair.links(groups)
+            linked = groups.a[at_a] << 32 | groups.b[at_b]
+            counted = [np.unique(linked[i:j], return_counts=True) for i, j in zip(np.append(0, ends), ends)]
+            yield record_batch(
+                schema, row=batch.column("row"), doc_id=batch.column("doc_id"), n_a=np.diff(groups.ends_a, prepend=0),
+                n_b=np.diff(groups.ends_b, prepend=0), n_groups=np.diff(groups.ends_groups, prepend=0),
+                n_links=np.diff(ends, prepend=0), groups_sha256=group_digests(groups, pair.vocabulary),
+                pairs=[p.astype("<i8").tobytes() for p, _ in counted], times=[t.astype("<u4").tobytes() for _, t in counted])
+
+    return _source(docs, id_col, text_col).mapInArrow(
+        run, "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary")
 
 
 def pair_counts(described_rows: DataFrame) -> DataFrame:
@@ -290,13 +342,14 @@ def _joined(rows: DataFrame, counts: DataFrame, links: int) -> DataFrame:
     return rows.drop("pairs", "times").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
 
 
-def link_statistics(groups: DataFrame, byte_path: str, piece_path: str, lookup: int = LOOKUP_PAIRS) -> DataFrame:
-    """Digest and link counts of aligned texts: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
+def link_statistics(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text",
+                    lookup: int = LOOKUP_PAIRS) -> DataFrame:
+    """Digest and link counts of every text: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     n_best counts the links whose pair is linked as often, over all documents, as any pair of its second id; count_sum adds
-    up the counts of the links' pairs.  Texts without tokens have zeros and an empty digest.
+    up the counts of the links' pairs.  Texts without tokens have zeros and an empty digest; for the other cases see `aligned`.
     """
-    rows = stored(described(groups, byte_path, piece_path), "align-rows")
+    rows = stored(described(docs, byte_path, piece_path, id_col, text_col), "align-rows")
     counts = stored(pair_counts(rows), "align-pairs")
     size, links = counts.agg(F.count("*"), F.sum("n")).first()
     found = _looked_up(rows, counts) if size <= lookup else _joined(rows, counts, links)

@@ -169,5 +169,4 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens of every document by two tokenizers."""
-    paths = vocabulary(), vocabulary(PIECES)
-    return align.link_statistics(align.aligned(documents(spark, sf_dir, "doc_id", "text"), *paths), *paths)
+    return align.link_statistics(documents(spark, sf_dir, "doc_id", "text"), vocabulary(), vocabulary(PIECES))

@@ -42,6 +42,9 @@ SHARD_IDS = 4 << 20
 READ_IDS = 1 << 20
 """Ids held at once when whole documents are read."""
 
+REMEMBER = 200 << 20
+"""Bytes of the units that a worker remembers, which does nothing else then."""
+
 END = 0
 """Id after each document."""
 
@@ -152,7 +155,7 @@ class ShardReader:
 
 
 @lru_cache(maxsize=1)
-def library_encoder(path: str, plain: bool = False) -> UnitEncoder:
+def library_encoder(path: str, plain: bool = False, remember: int = REMEMBER) -> UnitEncoder:
     """The worker's encoder by the tokenizers library, which remembers the ids of frequent units.
 
     With plain, the strings of special tokens are ordinary text.
@@ -168,7 +171,7 @@ def library_encoder(path: str, plain: bool = False) -> UnitEncoder:
         found = tokenizer.encode_batch_fast(list(units), add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    return UnitEncoder(encode)
+    return UnitEncoder(encode, remember)
 
 
 def _files(folder: str) -> tuple[pafs.FileSystem, str]:

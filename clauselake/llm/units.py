@@ -8,6 +8,7 @@ Each piece, called a unit, can thus be encoded alone and remembered; remembered
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 
 import regex
@@ -18,8 +19,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SAME_CLASSES = "Ԁ"
 """Below this character all Unicode versions class letters, numbers and blanks alike."""
 
-REMEMBER = 64 << 20
-"""Bytes of the units remembered per worker."""
+REMEMBER = 48 << 20
+"""Bytes of the units remembered per worker, beside other memories."""
 
 LONGEST = 64
 """Longer units are encoded each time."""
@@ -29,10 +30,16 @@ MARKS = ".,;:!?|%&*$#"
 
 LINE = "\n"
 
+BARE = "\0"
+"""Stands before a unit that has no space before it."""
+
 RARE_BLANKS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r")
 RARE_ASCII = tuple(filter(str.isascii, RARE_BLANKS))
 
-CHUNK = 2 << 20
+ODD_MARK = re.compile(rf"[{re.escape(MARKS)}](?<![^\W_].)(?=\s|\Z)")
+"""A mark at the end of a unit that does not follow a letter or number, so that it may be part of a longer token."""
+
+CHUNK = 1 << 20
 """Characters whose units are held at once; a longer text is held alone."""
 
 
@@ -104,6 +111,13 @@ class Recent:
         self.young[key] = value
         self._size += self.ENTRY + size
 
+    def update(self, entries: dict) -> None:
+        """Remember many values, keys and values being texts or bytes."""
+        if self._size > self._most:
+            self.young, self.old, self._size = {}, self.young, 0
+        self.young.update(entries)
+        self._size += self.ENTRY * len(entries) + sum(map(len, entries)) + sum(map(len, entries.values()))
+
 
 class UnitEncoder:
     """Texts to packed ids, one remembered unit at a time.
@@ -113,8 +127,7 @@ class UnitEncoder:
 
     def __init__(self, encode_units: Callable[[Sequence[str]], list[bytes]], remember: int = REMEMBER):
         self._encode = encode_units
-        self._units = Recent(remember - remember // 8)
-        self._heads = Recent(remember // 8)
+        self._units = Recent(remember)
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -131,7 +144,12 @@ class UnitEncoder:
         look = self._units.young.get
         heads, bodies, fresh = [], [], set()
         for text in texts:
-            if _has_runs(text):
+            easy = _easy(text)
+            if easy is not None:
+                head, rest = "", easy
+            elif BARE in text:
+                head, rest = text, []
+            elif _has_runs(text):
                 head, *units = _merged(*text.split(" "))
                 rest = [u[1:] for u in units]
             else:
@@ -147,55 +165,34 @@ class UnitEncoder:
             for first, (rest, values) in zip(first_ids, bodies)
         ]
 
-    def _made(self, heads: list[str], fresh: set[str]) -> tuple[list[bytes], dict]:
+    def _made(self, heads: list[str], fresh: set[str]) -> tuple[list[bytes], dict[str, bytes]]:
         """Ids of the heads, and of each unit that the young generation does not have; these are remembered."""
-        known, after = self._units, self._heads
-        found: dict[str, bytes | None] = {}
-        # a new unit is put together from the ids of its pieces: after a space, after a line end, and marks
-        recipes, ends, after_space, after_line = [], {LINE}, {}, {}
-        for p in fresh:
-            if p.isalnum():
-                found[p] = value = known.get(p)
-                if value is None:
-                    after_space[p] = None
-                    recipes.append((p, p, "", None, ""))
-                continue
-            left, line, right = p.partition(LINE)
-            if not (line and left and right and not left[-1].isspace() and LINE not in right and not right[0].isspace()):
-                left, line, right = p, "", ""
-            core, end = _without_marks(left)
-            ends.add(end)
-            if core not in after_space:
-                after_space[core] = known.get(core)
-            word, stop = None, ""
-            if line:
-                word, stop = _without_marks(right)
-                ends.add(stop)
-                if word not in after_line:
-                    after_line[word] = after.get(word)
-            recipes.append((p, core, end, word, stop))
-        new_cores = [p for p, v in after_space.items() if v is None]
-        new_words = [p for p, v in after_line.items() if v is None]
-        marks = list(ends)
-        ids = iter(self._encode([*heads, *marks, *new_words, *[" " + p for p in new_cores]]))
-        first_ids = [next(ids) for _ in heads]
-        end_ids = dict(zip(marks, ids))
-        for p, v in zip(new_words, ids):
-            after_line[p] = v
-            if len(p) <= LONGEST:
-                after.put(p, v, len(p) + len(v))
-        for p, v in zip(new_cores, ids):
-            after_space[p] = v
-            if len(p) <= LONGEST and not _runs(p):
-                known.put(p, v, len(p) + len(v))
-        for p, core, end, word, stop in recipes:
-            made = after_space[core]
-            if end:
-                made += end_ids[end]
-            if word is not None:
-                made += end_ids[LINE] + after_line[word] + end_ids[stop]
-            found[p] = made
-        return first_ids, found
+        known, heads_of = self._units, sorted(set(heads))
+        found = {p: v for p in fresh if (v := known.old.get(p)) is not None} if known.old else {}
+        new = list(fresh.difference(found))
+        ids = self._encode([*heads_of, *[p[1:] if p[:1] == BARE else " " + p for p in new]])
+        head_ids = dict(zip(heads_of, ids))
+        found.update(zip(new, ids[len(heads_of):]))
+        known.update(found)
+        return [head_ids[h] for h in heads], found
+
+
+def _easy(text: str) -> list[str] | None:
+    """The units of a text in which words, marks and line ends can be cut apart at once, or None.
+
+    Blanks must stand alone between words, and marks at the end of a word must follow a letter or number.  Line ends and
+    such marks are tokens of their own then, and the word after a line end has no space before it.
+    """
+    if (not text or BARE in text or "\t" in text or "\r" in text or "\n\n" in text or " \n" in text or _has_runs(text)
+            or text[-1].isspace() or text[0] == LINE or ODD_MARK.search(text)):
+        return None
+    text = BARE + text.replace(LINE, f" {BARE}{LINE} {BARE}") + " "
+    for mark in MARKS:
+        if mark in text:
+            text = text.replace(mark + " ", f" {BARE}{mark} ")
+    units = text.split(" ")
+    units.pop()
+    return units
 
 
 def _runs(part: str) -> bool:
@@ -203,12 +200,6 @@ def _runs(part: str) -> bool:
     return not part or part[-1].isspace()
 
 
-def _without_marks(part: str) -> tuple[str, str]:
-    """A part and the marks at its end, if they are a token of their own: those after a letter or number."""
-    core = part.rstrip(MARKS)
-    return (core, part[len(core):]) if core and core[-1].isalnum() else (part, "")
-
-
 def _has_runs(text: str) -> bool:
     """Whether a blank may stand before a space; texts with rare blanks count as such."""
     return (text[:1] == " " or "  " in text or "\n " in text or "\t " in text or "\r " in text
