@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import align, ann, bpe, exactdup, langid, merkle, mixing, neardup, pii, tokens, toxicity, warc
+from clauselake.llm import align, ann, bpe, exactdup, langid, lattice, merkle, mixing, neardup, pii, tokens, toxicity, warc
 from clauselake.llm.common import BLANKS, WORD, documents
 from clauselake.plans.registry import query
 
@@ -170,3 +170,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens of every document by two tokenizers."""
     return align.link_statistics(documents(spark, sf_dir, "doc_id", "text"), vocabulary(), vocabulary(PIECES))
+
+
+@query("op12_near_vectors", """
+WITH RECURSIVE
+x AS (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings),
+ok AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM x WHERE v IS NOT NULL AND len(v) > 0
+       AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      AND list_dot_product(a.v, b.v) >= 0.9 * a.norm * b.norm),
+r(vec_id, reach) AS (SELECT vec_id, vec_id FROM x UNION SELECT r.vec_id, l.w FROM r JOIN l ON l.u = r.reach),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+""")
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and the group of near duplicates of every vector."""
+    return lattice.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
