@@ -285,12 +285,16 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             matrix = _matrix(group.column("v"), kind, dims).astype(np.float64)
             own, x, queries = ids[~is_query], matrix[~is_query], matrix[is_query]
             products = queries @ x.T
+            by_id = np.argsort(own, kind="stable")
+            heads = np.flatnonzero(np.append(True, np.diff(own[by_id]) != 0))
             for query_id, q, row in zip(ids[is_query], queries, products):
                 row[own == query_id] = -np.inf
-                cut = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
+                best = np.maximum.reduceat(row[by_id], heads)  # rows of one id are one candidate
+                cut = np.partition(best, -min(k, len(best)))[-min(k, len(best))]
                 near = np.flatnonzero((row >= cut - 1e-9 * max(1.0, abs(cut))) & (row > -np.inf))
                 scores = (x[near] * q).sum(axis=1)  # the same sum for equal vectors, so ties are ties
-                order = np.lexsort((own[near], -scores))[:k]
+                order = np.lexsort((own[near], -scores))
+                order = order[np.sort(np.unique(own[near][order], return_index=True)[1])[:k]]
                 held.append((np.full(len(order), query_id), own[near][order], scores[order]))
                 size += len(order)
             if size > HELD_HITS:

@@ -58,3 +58,18 @@ def test_small_tables(spark, rows):
     assert got == expected
     assert ann.nearest(frame(spark, rows).limit(0)).collect() == []
     assert ann.nearest(frame(spark, rows[:1])).collect() == []
+
+
+def test_rows_that_repeat_an_id_are_one_candidate(spark):
+    rng = np.random.default_rng(8)
+    others = [(i, rng.normal(size=8)) for i in range(2, 40) if i != 20]
+    query = rng.normal(size=8)
+    for copies in ([5 * query] * 25, [5 * query + i * 1e-3 for i in range(25)]):
+        rows = [(20, query), *others, *((1, v) for v in copies)]
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+        got = [(r.vec_id, r.score) for r in ann.nearest(df).filter("query_id = 20").orderBy("rank").collect()]
+        best = {}
+        for i, v in rows[1:]:
+            best[i] = max(best.get(i, -np.inf), float(v @ query))
+        wanted = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        assert [i for i, _ in got] == [i for i, _ in wanted] and np.allclose([s for _, s in got], [s for _, s in wanted])
