@@ -6,6 +6,8 @@ so the lines are exchanged once and every later step reuses that partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,17 +240,21 @@ def chunk_lines(
     return merge_short(number_copies(split_long(segments, profile), code), profile)
 
 
-def chunk_documents(lines: DataFrame, code: Column, profile: StructureProfile = STANDARDS) -> DataFrame:
+def chunk_documents(
+    lines: DataFrame, code: Column, profile: StructureProfile = STANDARDS,
+    store: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """Chunks in the better mode per document: decimal, unless it gives few and article mode gives more.
 
-    Only the documents with few decimal chunks are read in article mode; counts travel, texts do not.
+    Only the documents with few decimal chunks are read in article mode; counts travel, texts do not.  `store` writes a
+    frame and reads it again: the chunks of a mode are read more than once, and would be computed anew each time.
     """
-    decimal = chunk_lines(lines, code, profile).withColumn("mode", F.lit("decimal"))
+    decimal = store(chunk_lines(lines, code, profile).withColumn("mode", F.lit("decimal")))
     n_decimal = decimal.groupBy("doc_id").agg(F.count("*").alias("_d"))
     few = lines.select("doc_id").distinct().join(n_decimal, "doc_id", "left").select(
         "doc_id", F.coalesce("_d", F.lit(0)).alias("_d")).filter(F.col("_d") < profile.few_chunks)
-    article = chunk_lines(lines.join(few.select("doc_id"), "doc_id", "left_semi"), code, profile, article=True).withColumn(
-        "mode", F.lit("article"))
+    article = store(chunk_lines(lines.join(few.select("doc_id"), "doc_id", "left_semi"), code, profile, article=True).withColumn(
+        "mode", F.lit("article")))
     more = article.groupBy("doc_id").agg(F.count("*").alias("_a")).join(few, "doc_id").filter(F.col("_a") > F.col("_d")).select("doc_id")
     return decimal.join(more, "doc_id", "left_anti").unionByName(article.join(more, "doc_id", "left_semi"))
 

@@ -18,6 +18,9 @@ PACK_ROWS = 2048
 BROADCAST_BYTES = 64 << 20
 """Query vectors up to this size are sent to every task; more are joined block by block."""
 
+SLACK = 1e-12
+"""By how much a product of blocks may differ from the sum that ranks."""
+
 
 def _packs(df: DataFrame, id_col: str, vec_col: str, part_col: str | None) -> DataFrame:
     """Rows (part, cell, ids, mat): unit vectors of up to PACK_ROWS rows of one part as one binary block."""
@@ -54,7 +57,7 @@ def nearest(
     Both sides travel as packed blocks, so one row stands for thousands of vectors and a product of two blocks
     yields only its own top k.  With part_col a query meets only vectors of its part; a large part is many
     blocks, so it spreads over tasks.  Few queries are broadcast; many are joined cell by cell, each cell of
-    the corpus meeting every query block once.
+    the corpus meeting every query block once.  Full doubles are ranked; equal scores fall back to the id.
     """
     spark = corpus.sparkSession
     n_queries = queries.select(F.lit(1)).count()
@@ -80,14 +83,17 @@ def nearest(
                 rows = np.frombuffer(mat, dtype="float64").reshape(len(ids), -1)
                 wanted = np.frombuffer(qmat, dtype="float64").reshape(len(qids), -1)
                 order = np.argsort(ids, kind="stable")
-                scores = np.round(wanted @ rows[order].T, 6)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame(
-                    {
-                        "q": np.repeat(qids, best.shape[1]), "id": ids[order][best].ravel(),
-                        "score": np.take_along_axis(scores, best, axis=1).ravel(),
-                    }
-                )
+                ids, rows = ids[order], rows[order]
+                products = wanted @ rows.T
+                n = min(k, len(ids))
+                cut = np.partition(products, len(ids) - n, axis=1)[:, len(ids) - n]
+                at, near = np.nonzero(products >= cut[:, None] - SLACK)
+                # the same sum wherever two vectors meet, so equal vectors tie
+                scores = (wanted[at] * rows[near]).sum(axis=1)
+                best = np.lexsort((near, -scores, at))
+                place = np.arange(len(at)) - np.searchsorted(at[best], at[best])
+                best = best[place < k]
+                yield pd.DataFrame({"q": qids[at[best]], "id": ids[near[best]], "score": scores[best]})
 
     found = pairs.mapInPandas(product, f"q {qid_type}, id {id_type}, score double").select(
         F.col("q").alias(query_id), F.col("id").alias(corpus_id), "score"

@@ -173,9 +173,11 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of the documents, made by the incremental ingest in two batches, the second of which repeats the first."""
     sink, state = _folders(spark, "ingest")
     docs, source = read_documents(spark, sf, "text"), f"{sink}-source"
-    docs.filter(F.col("doc_id") % 2 == 0).coalesce(1).write.mode("append").parquet(source)
-    docs.coalesce(1).write.mode("append").parquet(source)
-    stream = jobs.read_files(spark, source, docs.schema, "*.parquet", per_batch=1)
+    sink_files = []
+    for part in (docs.filter(F.col("doc_id") % 2 == 0), docs):  # a batch is as many files as a part has
+        part.write.mode("append").parquet(source)
+        sink_files.append(len(spark.read.schema(docs.schema).parquet(source).inputFiles()) - sum(sink_files))
+    stream = jobs.read_files(spark, source, docs.schema, "*.parquet", per_batch=sink_files[0])
 
     def chunk(batch: DataFrame) -> DataFrame:
         return chunking.chunk_lines(chunking.lines_of(spread(batch.select("doc_id", "text"), "doc_id"), P.PROSE), structure.code(), P.PROSE)

@@ -13,7 +13,7 @@ from clauselake.operators.scale import keep_first, top_k
 from clauselake.plans import sql
 from clauselake.plans.registry import query
 from clauselake.sources.corpus import shared_dir
-from clauselake.sources.tables import read_documents, read_table
+from clauselake.sources.tables import keep, read_documents, read_table
 
 
 def bench_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +110,11 @@ def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("term_idf", f"WITH {sql.DOC_TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("term_idf", rf"""
+WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{sql.WORD}')) AS term FROM documents),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM p GROUP BY 1),
+      (SELECT count(*) AS n FROM documents))
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END, 6) AS idf FROM r""")
 def term_idf(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency and weight of every word."""
     return lexical.idf_table(doc_index(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
@@ -124,6 +128,20 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return shown(lexical.bm25_top(doc_index(spark, sf), bench_queries(spark, sf), 10))
 
 
+@query("bm25_bounded", f"""
+WITH {sql.DOC_TERMS}, {sql.BENCH}, {sql.scores("bq")}, {sql.top("hits", "qscore", "bm25", 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits""")
+def bm25_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """As bm25_topk, but only documents within reach of the best are scored in full."""
+    return shown(lexical.bm25_top(doc_index(spark, sf), bench_queries(spark, sf), 10, store=keep(spark)))
+
+
+@query("bm25_work")
+def bm25_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Per benchmark item: postings of its words, postings that the bounded search adds up, documents it scores in full."""
+    return lexical.postings_scored(doc_index(spark, sf), bench_queries(spark, sf), 10, keep(spark))
+
+
 @query("bm25_cjk", f"""
 WITH {CJK_DOCS}, {sql.doc_terms(sql.cjk_words, "cdocs")}, bq AS (SELECT item_id AS query_id, {CJK_TEXT} AS text FROM benchmark),
 {sql.scores("bq", tok=sql.cjk_words)}, {sql.top("hits", "qscore", "bm25", 10)}
@@ -172,9 +190,9 @@ def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return shown(lexical.bm25_top(doc_index(spark, sf), queries, 10, facets=doc_facets(spark, sf)))
 
 
-def shown(hits: DataFrame) -> DataFrame:
+def shown(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Hits with rounded scores."""
-    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return hits.select("query_id", id_col, F.round("score", 6).alias("score"), "rank")
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -185,43 +203,43 @@ def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 COSINE = """
 pairs AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS qlabel, b.label,
-  round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+  list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
     / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
-       * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
+       * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS score
   FROM embeddings a, embeddings b)"""
 
 
 @query("knn_topk", f"""
 WITH {COSINE}
-SELECT query_id, vec_id, score, rank FROM (SELECT query_id, vec_id, score,
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT query_id, vec_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5""")
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Five nearest vectors of every vector, exactly."""
     corpus, queries = vectors(spark, sf)
-    return dense.nearest(corpus, queries, 5)
+    return shown(dense.nearest(corpus, queries, 5), "vec_id")
 
 
 @query("knn_filtered", f"""
 WITH {COSINE}
-SELECT query_id, vec_id, score, rank FROM (SELECT query_id, vec_id, score,
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT query_id, vec_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
   FROM pairs WHERE label = qlabel) WHERE rank <= 3""")
 def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Three nearest vectors with the same label."""
     corpus, queries = vectors(spark, sf)
-    return dense.nearest(corpus, queries, 3, part_col="label")
+    return shown(dense.nearest(corpus, queries, 3, part_col="label"), "vec_id")
 
 
 @query("knn_spec_filter", f"""
 WITH {COSINE}
-SELECT query_id, vec_id, score, rank FROM (SELECT query_id, vec_id, score,
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT query_id, vec_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
   FROM pairs WHERE label IN (qlabel, (qlabel + 3) % 10)) WHERE rank <= 3""")
 def knn_spec_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Three nearest vectors with any of the labels that a query lists."""
     corpus, queries = vectors(spark, sf)
     label = F.col("label")
-    return dense.nearest_any(corpus, queries.withColumn("labels", F.array(label, (label + 3) % 10)), 3, "label", "labels")
+    return shown(dense.nearest_any(corpus, queries.withColumn("labels", F.array(label, (label + 3) % 10)), 3, "label", "labels"), "vec_id")
 
 
 @query("knn_lsh_recall")
@@ -237,12 +255,12 @@ def knn_lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
 @query("threshold_hits", f"""
 WITH {COSINE}, hits AS (SELECT query_id, vec_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
-SELECT query_id, count(*) AS n_kept, min(score) AS lowest FROM hits WHERE rank <= 20 AND score >= 0.3 GROUP BY 1""")
+SELECT query_id, count(*) AS n_kept, round(min(score), 6) AS lowest FROM hits WHERE rank <= 20 AND score >= 0.3 GROUP BY 1""")
 def threshold_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Of the twenty nearest vectors, how many reach the relevance threshold."""
     corpus, queries = vectors(spark, sf)
     hits = dense.nearest(corpus, queries, fusion.CANDIDATES).filter(F.col("score") >= fusion.MIN_RELEVANCE)
-    return hits.groupBy("query_id").agg(F.count("*").alias("n_kept"), F.min("score").alias("lowest"))
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_kept"), F.round(F.min("score"), 6).alias("lowest"))
 
 
 @query("vector_audit", """

@@ -11,7 +11,7 @@ from clauselake.operators.scale import carry_forward, number_rows
 from clauselake.plans.registry import query
 from clauselake.plans.sql import BLANK
 from clauselake.profiles import PROSE
-from clauselake.sources.tables import read_documents, read_table, spread
+from clauselake.sources.tables import keep, read_documents, read_table, spread
 
 P = PROSE
 
@@ -293,7 +293,7 @@ SELECT doc_id, CASE WHEN nd < 10 AND na > nd THEN 'article' ELSE 'decimal' END A
   CASE WHEN nd < 10 AND na > nd THEN na ELSE nd END AS n_chunks FROM n WHERE greatest(nd, na) > 0 AND NOT (nd = 0 AND NOT (na > nd))""")
 def mode_choice(spark: SparkSession, sf: str) -> DataFrame:
     """Reading mode and chunk count per document."""
-    chunks = chunking.chunk_documents(doc_lines(spark, sf), code(), P)
+    chunks = chunking.chunk_documents(doc_lines(spark, sf), code(), P, keep(spark))
     return chunks.groupBy("doc_id", "mode").agg(F.count("*").alias("n_chunks"))
 
 

@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from clauselake.sources.corpus import shared_dir
+
+
+def keep(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a frame to the shared folder and reads it again: what is read more than once is computed once."""
+
+    def store(df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(spark)}/clauselake/kept-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return store
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over the cores when the scan has fewer splits than cores.

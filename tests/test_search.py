@@ -215,3 +215,37 @@ def test_containment_brute_force(spark, monkeypatch, bound):
     p = spark.createDataFrame(list(enumerate(passages)), "query_id int, text string")
     got = sorted((r.query_id, r.doc_id, r.pos) for r in containment.containing(d, p).collect())
     assert got == sorted((i, j, t.index(q) + 1) for i, q in enumerate(passages) for j, t in enumerate(texts) if q in t)
+
+
+def test_bounded_search_has_the_same_rows(spark, tmp_path):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.choice([0, 3, 20, 60, 200])))) for i in range(400)]
+    docs += [(1000 + i, docs[i][1]) for i in range(40)] + [(2000, None), (2001, "")]
+    asked = [(i, " ".join(rng.choices(words, k=rng.choice([1, 4, 15])))) for i in range(25)] + [(90, "none"), (91, None), (92, docs[7][1])]
+    index = lexical.write_index(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "index"))
+    queries = spark.createDataFrame(asked, "query_id long, text string").withColumn("domain", F.when(F.col("query_id") % 3 == 0, "even"))
+    facets = spark.createDataFrame([(i, ["even", "odd"][i % 2], "c") for i, _ in docs], "doc_id long, domain string, code string")
+
+    def store(df, n=iter(range(1000))):
+        path = str(tmp_path / f"kept-{next(n)}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    for k, some in ((10, None), (10, facets)):
+        assert rows(lexical.bm25_top(index, queries, k, facets=some, store=store)) == rows(lexical.bm25_top(index, queries, k, facets=some))
+    near = lexical.reachable(index, queries, 1, store)
+    assert 0 < near.count() < lexical.pair_scores(index, queries).count() / 2
+    work = {r.query_id: r for r in lexical.postings_scored(index, queries, 10, store).collect()}
+    assert all(r.n_candidates >= 1 and r.n_postings >= 1 for r in work.values())
+
+
+def test_neighbours_closer_than_a_rounded_score_rank_by_their_score(spark):
+    corpus = spark.createDataFrame([(i, [1.0, x]) for i, x in enumerate([3e-4, 2e-4, 1e-4, 2e-4, 0.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>")
+    hits = dense.nearest(corpus, queries, 4).orderBy("rank").collect()
+    assert [h.vec_id for h in hits] == [4, 2, 1, 3] and hits[2].score == hits[3].score and 0 < hits[0].score - hits[1].score < 1e-8
