@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake import profiles as P
+from clauselake import schemas
 from clauselake.functions.text import strip
 from clauselake.operators import chunking
 from clauselake.plans import dialogue, structure
@@ -28,6 +29,62 @@ def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+FILE_ROWS = 500
+
+
+def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks: the source is the code, the language the domain."""
+    doc = F.col("doc_id").cast("string")
+    return read_documents(spark, sf, "text", "lang", "source").select(
+        F.concat("source", F.lit("#"), doc).alias("chunk_id"), F.col("source").alias("spec_code"), F.col("source").alias("spec_name"),
+        F.lit(None).cast("string").alias("chapter"), F.lit(None).cast("string").alias("section"), doc.alias("clause"),
+        F.lit("clause").alias("type"), "text", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit(False).alias("is_mandatory"),
+        F.col("lang").alias("domain"), F.col("source").alias("source_pdf"), F.length("text").alias("char_count"))
+
+
+@query("chunk_files", """
+SELECT source AS spec_code, lang AS domain, count(*) AS n_chunks, CAST(sum(len(text)) AS BIGINT) AS n_chars,
+  count(DISTINCT doc_id) AS n_ids FROM documents WHERE text <> '' GROUP BY 1, 2""")
+def chunk_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks and characters by code and domain, from files with a list of chunks each that the documents are written to."""
+    folder, _ = _folders(spark, "chunks")
+    chunks = _document_chunks(spark, sf)
+    # a file has the chunks of one code whose numbers are close, so none grows with the code
+    lists = chunks.groupBy("spec_code", F.floor(F.col("clause").cast("long") / FILE_ROWS).alias("part")).agg(
+        F.collect_list(F.struct(*chunks.columns)).alias("chunks"))
+    lists.select("chunks").write.option("maxRecordsPerFile", 1).json(folder)
+    chunks.limit(1).select(F.lit("{broken").alias("value")).write.mode("append").text(folder)
+    return corpus.read_chunks(spark, folder).groupBy("spec_code", "domain").agg(
+        F.count("*").alias("n_chunks"), F.sum("char_count").alias("n_chars"), F.countDistinct("chunk_id").alias("n_ids"))
+
+
+@query("chunk_sink", """
+SELECT lang AS domain, source AS spec_slug, 2 * count(*) AS n_rows, count(*) AS n_chunks FROM documents
+WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2""")
+def chunk_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and different chunks per folder after the corpus was written, rebuilt and added to."""
+    folder, _ = _folders(spark, "sink")
+    chunks = _document_chunks(spark, sf).filter("spec_code is not null and domain is not null")
+    for mode in ("append", "overwrite", "append"):
+        corpus.write_chunks(chunks, folder, mode)
+    return spark.read.schema("chunk_id string, domain string, spec_slug string").json(folder).groupBy("domain", "spec_slug").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("chunk_id").alias("n_chunks"))
+
+
+@query("eval_file", """
+SELECT CAST(item_id AS VARCHAR) AS id, 'd' || item_id % 3 AS difficulty, md5(text || ' "x",' || chr(10) || 'y') AS query_md5 FROM benchmark""")
+def eval_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items written as an eval set with quotes, commas and line ends in its fields, and read again."""
+    folder, _ = _folders(spark, "eval")
+    item = F.col("item_id").cast("string")
+    values = {"id": item, "difficulty": F.concat(F.lit("d"), (F.col("item_id") % 3).cast("string")),
+              "query": F.concat("text", F.lit(' "x",\ny'))}
+    rows = read_table(spark, sf, "benchmark").select(*[
+        values.get(name, F.lit(None).cast("string")).alias(name) for name in schemas.names(schemas.EVAL_ROW)])
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    return corpus.read_eval_set(spark, folder).select("id", "difficulty", F.md5("query").alias("query_md5"))
+
+
 @query("schema_project", """
 SELECT 'src' || doc_id || '#' || lang AS chunk_id, source AS spec_code, lang AS domain, len(text) AS char_count FROM documents WHERE n_chars >= 50 AND doc_id % 13 <> 0""")
 def schema_project(spark: SparkSession, sf: str) -> DataFrame:
