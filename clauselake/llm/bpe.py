@@ -25,10 +25,10 @@ from clauselake.llm.common import free_name, record_batch, sliced, strings
 from clauselake.llm.units import LONGEST, Recent, UnitEncoder, Vocabulary
 
 NEVER = 1 << 62
-PAIRS = 16 << 20
+PAIRS = 48 << 20
 """Bytes of the pairs whose compatibility is remembered per worker."""
 
-WORDS = 16 << 20
+WORDS = 48 << 20
 """Bytes of the pre-tokens remembered per worker."""
 
 

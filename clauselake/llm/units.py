@@ -19,7 +19,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SAME_CLASSES = "Ԁ"
 """Below this character all Unicode versions class letters, numbers and blanks alike."""
 
-REMEMBER = 48 << 20
+REMEMBER = 96 << 20
 """Bytes of the units remembered per worker, beside other memories."""
 
 LONGEST = 64
