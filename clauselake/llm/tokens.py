@@ -42,7 +42,7 @@ SHARD_IDS = 4 << 20
 READ_IDS = 1 << 20
 """Ids held at once when whole documents are read."""
 
-REMEMBER = 200 << 20
+REMEMBER = 280 << 20
 """Bytes of the units that a worker remembers, which does nothing else then."""
 
 END = 0
