@@ -39,7 +39,7 @@ def test_pipeline(spark):
 def test_stages_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["known_language", "exact_copies", "near_copies", "mixed_sources", "token_ids"]
     names = [n for n in entry.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if re.match(r"op\d+_", n)])
