@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,9 @@ BLOCK = 512
 SLICE = 4096
 """Stragglers and members of a bucket that one task compares at once."""
 
+HELD = 4 << 20
+"""Bytes of members' hashes that a comparison reads at once."""
+
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -349,47 +353,62 @@ def _stragglers(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent
     sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     most = most_differences(percent)
 
-    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compare(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         late = group.column("late").to_numpy()
         node, comp = group.column("node").to_numpy(), group.column("component").to_numpy()
         n, lagging = group.column("n").to_numpy(), group.column("is_late").to_numpy()
         sig = _signatures(group.column("signature"))
-        sets = [None if h is None else np.frombuffer(h, np.uint32) for h in group.column("hashes").to_pylist()]
-        known = np.array([h is not None for h in sets])
-        flat = np.concatenate([np.zeros(0, np.uint32), *(h for h in sets if h is not None)])
-        names, flat = np.unique(flat, return_inverse=True)
-        heads = np.cumsum([0, *(len(h) for h in sets if h is not None)])
-        place = np.cumsum(known) - 1
-        members_ = np.flatnonzero(~late)
-        us, vs = [], []
-        for x in np.flatnonzero(late):
-            ok = (comp[members_] != comp[x]) & (100 * np.minimum(n[members_], n[x]) >= percent * np.maximum(n[members_], n[x]))
-            if not nearest:
-                ok &= ~lagging[members_] | (node[members_] > node[x])  # a pair of stragglers meets twice
-            near = members_[ok]
-            if not len(near):
+        hashes = group.column("hashes")
+        sizes = pc.fill_null(pc.binary_length(hashes), 0).to_numpy()
+        known = hashes.is_valid().to_numpy()
+        at = np.flatnonzero(~late)
+        for members_ in np.split(at, np.flatnonzero(np.diff(np.cumsum(sizes[at]) // HELD)) + 1):
+            found: list[tuple[int, np.ndarray]] = []
+            for x in np.flatnonzero(late):
+                ok = (comp[members_] != comp[x]) & (100 * np.minimum(n[members_], n[x]) >= percent * np.maximum(n[members_], n[x]))
+                if not nearest:
+                    ok &= ~lagging[members_] | (node[members_] > node[x])  # a pair of stragglers meets twice
+                near = members_[ok]
+                apart = (sig[near] != sig[x]).sum(axis=1)
+                if nearest and len(near):
+                    best = int(apart.argmin())
+                    near, apart = near[best: best + 1], apart[best: best + 1]
+                near = near[apart <= most]
+                if len(near):
+                    found.append((x, near))
+            if not found:
                 continue
-            apart = (sig[near] != sig[x]).sum(axis=1)
-            if nearest:
-                best = int(apart.argmin())
-                near, apart = near[best: best + 1], apart[best: best + 1]
-            near = near[apart <= most]
-            if known[x] and len(near):
+            if not nearest:
+                found = similar(found, known, hashes, n)
+            yield (np.concatenate([np.full(len(near), node[x]) for x, near in found]),
+                   np.concatenate([node[near] for _, near in found]))
+
+    def similar(found: list[tuple[int, np.ndarray]], known: np.ndarray, hashes: pa.ChunkedArray,
+                n: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The rows and partners that stay once known sets are compared; only sets that have a partner are read."""
+        used = np.unique(np.concatenate([[x for x, _ in found], *(near for _, near in found)]).astype(np.int64))
+        used = used[known[used]]
+        sets = [np.frombuffer(hashes[int(i)].as_buffer(), np.uint32) for i in used]
+        heads = np.cumsum([0, *map(len, sets)])
+        names, flat = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_inverse=True)
+        kept = []
+        for x, near in found:
+            both = near[known[near]] if known[x] else near[:0]
+            if len(both):
+                at = int(np.searchsorted(used, x))
                 mine = np.zeros(len(names), bool)
-                mine[flat[heads[place[x]]: heads[place[x] + 1]]] = True
-                shared = np.add.reduceat(np.append(mine[flat], False).astype(np.int64), heads[:-1])
-                common = np.where(known[near], shared[np.maximum(place[near], 0)], np.iinfo(np.int32).max)
-                near = near[~known[near] | (100 * common >= percent * (n[near] + n[x] - common))]
-            us.append(np.full(len(near), node[x]))
-            vs.append(node[near])
-        empty = np.zeros(0, np.int64)
-        return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
+                mine[flat[heads[at]: heads[at + 1]]] = True
+                common = np.array([np.count_nonzero(mine[flat[heads[k]: heads[k + 1]]]) for k in np.searchsorted(used, both)])
+                poor = both[100 * common < percent * (n[both] + n[x] - common)]
+                near = near[~np.isin(near, poor)]
+            kept.append((x, near))
+        return kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for group in grouped(batches, ["key", "i", "j"]):
-            a, b = compare(group)
-            yield record_batch(schema, a=a, b=b)
+            for a, b in compare(group):
+                yield record_batch(schema, a=a, b=b)
 
     return sorted_rows.mapInArrow(run, "a long, b long").distinct().withColumn(
         "part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
