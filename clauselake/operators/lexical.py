@@ -114,8 +114,12 @@ def _table_name(path: str) -> str:
 
 def _term_table(postings: DataFrame, n_docs: Column) -> DataFrame:
     """(term, df, idf): log odds, where terms in over half of the documents get a share of the mean instead."""
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
-        "_raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return term_weights(postings.groupBy("term").agg(F.count("*").alias("df")), n_docs)
+
+
+def term_weights(frequencies: DataFrame, n_docs: Column) -> DataFrame:
+    """(term, df, idf) from (term, df)."""
+    raw = frequencies.withColumn("_raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("_raw")).scalar()
     return raw.select(
         "term", "df", F.when(F.col("_raw") < 0, F.lit(IDF_FLOOR) * mean).otherwise(F.col("_raw")).alias("idf"))

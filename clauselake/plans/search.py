@@ -13,6 +13,7 @@ from clauselake.operators.scale import keep_first, top_k
 from clauselake.plans import sql
 from clauselake.plans.registry import query
 from clauselake.sources.corpus import shared_dir
+from clauselake.sources.segments import SegmentedIndex
 from clauselake.sources.tables import keep, read_documents, read_table
 
 
@@ -136,6 +137,21 @@ def bm25_bounded(spark: SparkSession, sf: str) -> DataFrame:
     return shown(lexical.bm25_top(doc_index(spark, sf), bench_queries(spark, sf), 10, store=keep(spark)))
 
 
+@query("bm25_segments", f"""
+WITH {sql.DOC_TERMS}, {sql.BENCH}, {sql.scores("bq")}, {sql.top("hits", "qscore", "bm25", 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits""")
+def bm25_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """As bm25_topk, from an index of three batches that is compacted once; the second batch revises and deletes documents of the first."""
+    docs = read_documents(spark, sf, "text")
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/clauselake/segments-{uuid.uuid4().hex}")
+    third = F.col("doc_id") % 3
+    index.append(docs.filter(third != 2).withColumn("text", F.when(third == 0, F.reverse("text")).otherwise(F.col("text"))), 0)
+    index.append(docs.filter(third == 0), 1, deleted=docs.filter(third == 1))
+    index.compact()
+    index.append(docs, 2)
+    return shown(lexical.bm25_top(index.read(), bench_queries(spark, sf), 10))
+
+
 @query("bm25_work")
 def bm25_work(spark: SparkSession, sf: str) -> DataFrame:
     """Per benchmark item: postings of its words, postings that the bounded search adds up, documents it scores in full."""
