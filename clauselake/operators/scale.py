@@ -7,7 +7,7 @@ blocks and stitched together with per-block summaries, and percentiles are brack
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,12 @@ BROADCAST_ROWS = 100_000
 BLOCK = 1 << 20
 """Rows per block that a task sorts for one key."""
 
+MOST_ORDERED = 100_000
+"""Distinct values of a key that one task orders for an order statistic."""
+
+CELLS, CELL_ACCURACY = 64, 10_000
+"""Cells into which a larger bracket is cut, and the accuracy of the sketch that places their borders."""
+
 MAX_RANGES = 4096
 """Id ranges at most; beyond MAX_RANGES * BLOCK rows the ranges grow."""
 
@@ -128,12 +134,15 @@ def carry_forward(
 
 
 def index_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], accuracy: int = 10_000
+    df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], accuracy: int = 10_000,
+    most: int = MOST_ORDERED, store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Exact order statistic sorted[min(n-1, int(n*p))] per key: columns keys, p, n, value.
 
     A quantile sketch (merged map-side) gives two values that surely enclose the wanted rank.  Rows below the
-    lower one are only counted, and just the distinct values in between are ordered, so no task sorts a key.
+    lower one are only counted.  While the bracket may hold over `most` distinct values, which follows from the rows of the
+    largest key, it is cut into cells, and the counts of the cells tell which of them has the rank.  So no task orders
+    more than `most` values of a key.  With `store`, each narrowed bracket is written and read again.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     slack = 3.0 / accuracy
@@ -162,19 +171,47 @@ def index_percentiles(
     below = (
         joined.filter(F.col(value) < F.col("lo")).groupBy(*keys, "p").agg(F.sum("_c").alias("_below"))
     )
-    inside = (
-        joined.filter(F.col(value).between(F.col("lo"), F.col("hi")))
-        .join(below, [*keys, "p"], "left")
-        .withColumn("_below", F.coalesce("_below", F.lit(0)))
-    )
+    inside = F.col(value).between(F.col("lo"), F.col("hi"))
+    held, most = _held(df.filter(F.col(value).isNotNull()), keys, accuracy), max(most, CELLS)
+    if held <= most:
+        inner = joined.filter(inside).join(below, [*keys, "p"], "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
+    else:
+        wanted = wanted.join(below, [*keys, "p"], "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
+        while held > most:
+            wanted = _narrowed(counts, wanted, keys, value)
+            wanted = store(wanted) if store else wanted
+            held = held * (1 / CELLS + 2 / CELL_ACCURACY) + 2
+        inner = counts.join(F.broadcast(wanted) if small else wanted, list(keys)).filter(inside)
     w = Window.partitionBy(*keys, "p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        inside.withColumn("_upto", F.col("_below") + F.sum("_c").over(w))
+        inner.withColumn("_upto", F.col("_below") + F.sum("_c").over(w))
         .filter(F.col("_upto") > F.col("_at"))
         .groupBy(*keys, "p").agg(F.first("n").alias("n"), F.min(value).alias(value))
     )
 
 
+def _held(df: DataFrame, keys: Sequence[str], accuracy: int) -> float:
+    """Distinct values that the bracket of a key holds at most: its slack and the error of the sketch on either side."""
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return min(largest, largest * 8 / accuracy + 2)
+
+
+def _narrowed(counts: DataFrame, wanted: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The brackets cut down to one of CELLS cells, which hold about as many distinct values each; counts are exact."""
+    own = [*keys, "p"]
+    held = counts.join(wanted, list(keys)).filter(F.col(value).between(F.col("lo"), F.col("hi")))
+    grid = held.groupBy(*own).agg(
+        F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], CELL_ACCURACY).alias("_grid"))
+    placed = held.join(grid, own).withColumn("_cell", F.size(F.filter("_grid", lambda g: g < F.col(value))))
+    cells = placed.groupBy(*own, "_cell").agg(
+        F.sum("_c").alias("_in"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.first("n").alias("n"),
+        F.first("_at").alias("_at"), F.first("_below").alias("_below"))
+    w = Window.partitionBy(*own).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # at most CELLS rows
+    upto = cells.withColumn("_upto", F.col("_below") + F.sum("_in").over(w))
+    return upto.filter((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_in") <= F.col("_at"))).select(
+        *keys, "n", "p", "lo", "hi", "_at", (F.col("_upto") - F.col("_in")).alias("_below"))
+
+
 def in_blocks(df: DataFrame, keys: Sequence[str], pos: str, before: int, width: int = BLOCK) -> DataFrame:
     """Adds _blk and _copy so that a frame of `before` preceding rows can be computed inside (keys, _blk).
 

@@ -13,7 +13,7 @@ from clauselake.operators.scale import index_percentiles, top_k
 from clauselake.plans import dialogue, sql
 from clauselake.plans.registry import query
 from clauselake.plans.search import HYBRID, bench_queries, doc_index, hybrid
-from clauselake.sources.tables import read_documents, read_table
+from clauselake.sources.tables import keep, read_documents, read_table
 
 K = 20
 
@@ -334,7 +334,7 @@ SELECT event_type, max(n) AS n, round(max(m), 6) AS mean, max(CASE WHEN i = leas
 def latency_pctl(spark: SparkSession, sf: str) -> DataFrame:
     """Median and 95th percentile by index, and mean, per event type; zero values are left out."""
     rows = read_table(spark, sf, "events", "event_type", "value").filter(F.col("value") > 0)
-    points = index_percentiles(rows, ["event_type"], "value", [0.5, 0.95])
+    points = index_percentiles(rows, ["event_type"], "value", [0.5, 0.95], store=keep(spark))
     wide = points.groupBy("event_type").agg(
         F.max("n").alias("n"), F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("p50"),
         F.max(F.when(F.col("p") == 0.95, F.col("value"))).alias("p95"),

@@ -24,6 +24,9 @@ SLOW_MS = 5000
 ERROR_SHARE = 0.03
 ACCURACY = 10_000
 
+RANGE_MINUTES = 1 << 14
+"""Minutes of a key that one task orders."""
+
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str, per_batch: int = 64) -> DataFrame:
     """Stream of the parquet files of a folder, new files only."""
@@ -99,11 +102,14 @@ def drop_repeats(rows: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     return rows.withWatermark(ts, LATENESS).dropDuplicatesWithinWatermark([key])
 
 
-def sessions(events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = 6 * 3600) -> DataFrame:
+def sessions(
+    events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = 6 * 3600, range_minutes: int = RANGE_MINUTES
+) -> DataFrame:
     """Per key and burst of activity: start, end, events and errors of a finished table.
 
     Events of one minute (or of a shorter gap) are always in one session, so they are summed up before the
-    shuffle and a busy key brings its minutes, not its events, to the window.
+    shuffle and a busy key brings its minutes, not its events, to the window.  A task orders one time range of a key; only
+    the first and last session of each range, which others may continue, meet per key.
     """
     micros, gap = 1_000_000, gap_seconds * 1_000_000
     width = min(60, gap_seconds) * micros
@@ -111,13 +117,23 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = 6 *
     minutes = events.groupBy(key, F.floor(at / width).alias("_m")).agg(
         F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"), F.count_if("is_error").alias("n_errors")
     )
-    order = Window.partitionBy(key).orderBy("_m")
-    opens = F.when(F.col("a") - F.lag("b").over(order) <= gap, 0).otherwise(1)
-    numbered = minutes.withColumn("_o", opens).withColumn("_s", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "_s").agg(
-        F.timestamp_micros(F.min("a")).alias("session_start"), F.timestamp_micros(F.max("b") + gap).alias("session_end"),
-        F.sum("n").alias("n"), F.sum("n_errors").alias("n_errors"),
-    ).drop("_s")
+    sums = [F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.sum("n_errors").alias("n_errors")]
+
+    def joined(spans: DataFrame, *part: str) -> DataFrame:
+        """Spans of a part that follow each other within the gap become one; _s numbers what comes out."""
+        order = Window.partitionBy(*part).orderBy("a")
+        opens = F.when(F.col("a") - F.lag("b").over(order) <= gap, 0).otherwise(1)
+        numbered = spans.withColumn("_o", opens).withColumn(
+            "_s", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy(*part, "_s").agg(*sums)
+
+    parts = joined(minutes.withColumn("_r", F.floor(F.col("_m") / range_minutes)), key, "_r").withColumn(
+        "_inner", (F.col("_s") > 1) & (F.col("_s") < F.max("_s").over(Window.partitionBy(key, "_r"))))
+    borders = joined(parts.filter(~F.col("_inner")).select(key, "a", "b", "n", "n_errors"), key)
+    whole = parts.filter("_inner").select(key, "a", "b", "n", "n_errors").unionByName(borders.drop("_s"))
+    return whole.select(
+        key, F.timestamp_micros("a").alias("session_start"), F.timestamp_micros(F.col("b") + gap).alias("session_end"),
+        "n", "n_errors")
 
 
 def session_stream(events: DataFrame, key: str, ts: str = "ts", gap: str = "6 hours") -> DataFrame:

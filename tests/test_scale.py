@@ -38,6 +38,30 @@ def test_index_percentiles(rows, accuracy):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [64, 100])
+def test_index_percentiles_by_cells(rows, most):
+    few = rows.withColumn("x", F.when(F.col("id") % 3 == 0, F.lit(4.0)).otherwise(F.col("x") + F.col("id") / 1000))  # one heavy value
+    ps = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {(r.k, r.p): (r.n, r.x) for r in scale.index_percentiles(few, ["k"], "x", ps, 20, most).collect()}
+    values: dict[str, list[float]] = {}
+    for r in few.collect():
+        values.setdefault(r.k, []).append(r.x)
+    assert got == {(k, p): (len(v), sorted(v)[min(len(v) - 1, int(len(v) * p))]) for k, v in values.items() for p in ps}
+
+
+def test_a_bracket_of_a_million_values(spark, monkeypatch):
+    n, most, seen = 2_500_000, 10_000, []
+    df = spark.range(n).select(F.lit("a").alias("k"), ((F.col("id") * 7919) % n).alias("x"))
+    narrowed = scale._narrowed
+    monkeypatch.setattr(scale, "_narrowed", lambda counts, wanted, *rest: seen.append((wanted, narrowed(counts, wanted, *rest))) or seen[-1][1])
+    got = scale.index_percentiles(df, ["k"], "x", [0.5, 0.95], accuracy=20, most=most, store=lambda d: d.checkpoint())
+    assert {r.p: r.x for r in got.collect()} == {0.5: n // 2, 0.95: int(n * 0.95)}
+    first, last = seen[0][0].filter("p = 0.5").first(), seen[-1][1].collect()
+    assert first.hi - first.lo >= 500_000 and len(seen) == 2
+    assert all(r.hi - r.lo < most and r.lo <= r._at <= r.hi for r in last)
+
+
+
 def test_index_percentile_of_one_and_of_equals(spark):
     df = spark.createDataFrame([("a", 2.0)] + [("b", 1.0)] * 50, "k string, x double")
     got = {(r.k, r.p): r.x for r in scale.index_percentiles(df, ["k"], "x", [0.5, 0.95]).collect()}

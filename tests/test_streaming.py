@@ -1,6 +1,7 @@
 """Streams fed file by file must give what the batch twins give on the rows that were not late."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -59,6 +60,22 @@ def test_batch_sessions_match_session_window(spark):
         assert sorted(map(tuple, jobs.sessions(rows, "user_id", gap_seconds=gap).collect())) == want
 
 
+def test_one_busy_user_over_many_ranges(spark):
+    rng = random.Random(3)
+    at, rows = 0, []
+    for i in range(800):  # some gaps end a session, some sessions are longer than several ranges
+        at += rng.choice([1, 20, 59, 60, 61, 90, 4000])
+        rows.append((i, 1 if i % 9 else 2, T0 + dt.timedelta(seconds=at), 1.0, rng.random() < 0.3))
+    events = spark.createDataFrame(rows, EVENTS)
+    for gap in (30, 100, 3600):
+        native = events.groupBy("user_id", F.session_window("ts", f"{gap} seconds").alias("s")).agg(F.count("*").alias("n"), F.count_if("is_error").alias("e"))
+        want = sorted(map(tuple, native.select("user_id", "s.start", "s.end", "n", "e").collect()))
+        for ranges in (1, 3, 50, 1 << 14):
+            got = jobs.sessions(events, "user_id", gap_seconds=gap, range_minutes=ranges)
+            assert sorted(map(tuple, got.collect())) == want
+
+
+
 def test_history_state_equals_batch(spark, tmp_path):
     rows = [(c, t, "user" if t % 2 else "assistant", "" if t == 4 else f"{c}-{t}") for c in (1, 2) for t in range(20)]
     schema = "conv_id long, turn long, role string, text string"
