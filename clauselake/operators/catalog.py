@@ -16,6 +16,9 @@ EVIDENCE_CHARS = 300
 SNIPPET = 12
 HINTS = 8
 
+GRAM = 3
+"""Characters of the grams on which labels and wanted clauses meet."""
+
 
 def fixed_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Table of a list that the caller holds; a short one is broadcast, a long one is joined like any other."""
@@ -31,13 +34,29 @@ def specs(chunks: DataFrame, code: str, fields: Sequence[str], id_col: str, doma
     return some.groupBy(code).agg(first, F.count("*").alias("n_chunks")).select(code, "_f.*", "n_chunks")
 
 
-def _substrings(text: Column) -> Column:
-    """Every distinct part of a short label."""
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n))
-    return F.array_distinct(
-        F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: text.substr(i, m))))
-    )
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct parts of a text that have so many characters."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: text.substr(i, size)))
+
+
+def contained(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(code_key, part, text): all pairs of one code in which the text contains the part.
+
+    A part meets only the texts that have its rarest gram of GRAM characters, or of as many as it has; these are verified.
+    A text adds at most one row per character and gram size that the parts of its code use; no row is compared with all.
+    """
+    sized = parts.filter(F.col("part") != "").distinct().withColumn("_q", F.least(F.length("part"), F.lit(GRAM)))
+    sizes = sized.groupBy("code_key").agg(F.collect_set("_q").alias("_sizes"))  # GRAM sizes at most
+    grams = texts.distinct().join(sizes, "code_key").select(
+        "code_key", "text", F.explode(F.flatten(F.transform("_sizes", lambda q: F.coalesce(
+            _grams(F.col("text"), q), F.array().cast("array<string>"))))).alias("_gram"))
+    counts = grams.groupBy("code_key", "_gram").agg(F.count("*").alias("_df"))
+    of_parts = sized.select("code_key", "part", F.explode(_grams(F.col("part"), F.col("_q"))).alias("_gram"))
+    rarest = of_parts.join(counts, ["code_key", "_gram"], "left").groupBy("code_key", "part").agg(
+        F.min(F.coalesce("_df", F.lit(0))).alias("_least"), F.min_by("_gram", F.struct("_df", "_gram")).alias("_gram")
+    ).filter("_least > 0").drop("_least")
+    return rarest.join(grams, ["code_key", "_gram"]).filter(F.col("text").contains(F.col("part"))).select("code_key", "part", "text")
 
 
 def clause_labels(chunks: DataFrame, code: str, clause: str, id_col: str) -> DataFrame:
@@ -50,19 +69,21 @@ def clause_labels(chunks: DataFrame, code: str, clause: str, id_col: str) -> Dat
 def lookup_clause(requests: DataFrame, labels: DataFrame, id_col: str, request_id: str = "request_id") -> DataFrame:
     """(request, clause, id) best match per request (request_id, code, clause); unmatched requests are absent.
 
-    Exact label first, then a label containing the wanted one or contained in it, then the id.  Containment is
-    found by equality with the parts of the short labels, so nothing is compared pairwise.
+    Exact label first, then a label containing the wanted one or contained in it, then the id.  Both containments are
+    joins on rare grams, so nothing is compared pairwise; what several requests want is looked up once.
     """
     wanted = requests.select(
         request_id, norm_code(F.col("code"), "a").alias("code_key"), strip(F.col("clause")).alias("want")
     ).filter(F.col("want") != "")
-    holds = labels.select("code_key", "clause", id_col, F.explode_outer(_substrings(F.col("clause"))).alias("want"))
-    inside = wanted.select(request_id, "code_key", "want", F.explode_outer(_substrings(F.col("want"))).alias("clause"))
-    cols = [request_id, "want", "clause", id_col]
-    found = wanted.join(holds, ["code_key", "want"]).select(cols).union(
-        inside.filter(F.col("clause") != F.col("want")).join(labels, ["code_key", "clause"]).select(cols)
-    )
-    return keep_first(found, [request_id], [F.when(F.col("clause") == F.col("want"), 0).otherwise(1), F.col(id_col)]).select(
+    wants, clauses = wanted.select("code_key", "want").distinct(), labels.select("code_key", "clause")
+    holds = contained(wants.withColumnRenamed("want", "part"), clauses.withColumnRenamed("clause", "text"))
+    inside = contained(clauses.withColumnRenamed("clause", "part"), wants.withColumnRenamed("want", "text"))
+    pairs = holds.toDF("code_key", "want", "clause").unionByName(
+        inside.toDF("code_key", "clause", "want").filter(F.col("clause") != F.col("want")))
+    best = keep_first(
+        pairs.join(labels, ["code_key", "clause"]), ["code_key", "want"],
+        [F.when(F.col("clause") == F.col("want"), 0).otherwise(1), F.col(id_col)])
+    return wanted.join(best, ["code_key", "want"]).select(
         request_id, "clause", id_col, (F.col("clause") == F.col("want")).alias("exact")
     )
 

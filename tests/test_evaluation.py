@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,21 @@ def test_toggle_tier_and_entries(spark):
     row = spark.range(1).select(catalog.evidence_entry(*args).alias("a"), catalog.check_entry(*args).alias("b")).collect()[0]
     assert row.a == '[1] 《名》GB 1 第 5.0.3 条（第 17 页·强制性条文）\n"甲\n乙"'
     assert row.b == "[1] 《名》GB 1 5.0.3（强制性条文 · 第17页）\n甲 乙"
+
+
+def test_containment_of_labels(spark):
+    rng = random.Random(8)
+    labels = [(c, "".join(rng.choices("12.条", k=rng.randrange(1, 9)))) for c in "ab" for _ in range(60)] + [("a", "x" * 40 + "12.1" + "y" * 1956)]
+    parts = [(c, "".join(rng.choices("12.条", k=rng.randrange(0, 5)))) for c in "ab" for _ in range(40)] + [("a", "xy"), ("a", "2.1yy"), (None, "1")]
+    got = catalog.contained(spark.createDataFrame(parts, "code_key string, part string"), spark.createDataFrame(labels, "code_key string, text string"))
+    want = {(c, p, t) for c, p in parts for d, t in labels if c == d and p and p in t}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_clause_lookup_with_a_long_label(spark):
+    long = "第" + "".join(str(i) + "." for i in range(700))
+    asked = spark.createDataFrame([(1, "GB 1", "6.7.8"), (2, "GB 1", long[5:1500]), (3, "GB 1", "5.1"), (4, "GB 1", "7.7.7")], "request_id long, code string, clause string")
+    chunks = spark.createDataFrame([("c1", "GB 1", long), ("c2", "GB 1", "5.1"), ("c3", "GB 1", "")], "id string, code string, clause string")
+    got = catalog.lookup_clause(asked, catalog.clause_labels(chunks, "code", "clause", "id"), "id")
+    assert {(r.request_id, r.id, r.exact) for r in got.collect()} == {(1, "c1", False), (2, "c1", False), (3, "c2", True)}
