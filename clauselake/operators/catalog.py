@@ -41,14 +41,14 @@ def _grams(text: Column, size: Column) -> Column:
 
 
 def contained(parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """(code_key, part, text): all pairs of one code in which the text contains the part.
+    """(code_key, part, text): all pairs of one code in which the text contains the part; texts come once per code.
 
     A part meets only the texts that have its rarest gram of GRAM characters, or of as many as it has; these are verified.
     A text adds at most one row per character and gram size that the parts of its code use; no row is compared with all.
     """
-    sized = parts.filter(F.col("part") != "").distinct().withColumn("_q", F.least(F.length("part"), F.lit(GRAM)))
+    sized = parts.filter(F.col("part") != "").withColumn("_q", F.least(F.length("part"), F.lit(GRAM)))
     sizes = sized.groupBy("code_key").agg(F.collect_set("_q").alias("_sizes"))  # GRAM sizes at most
-    grams = texts.distinct().join(sizes, "code_key").select(
+    grams = texts.join(sizes, "code_key").select(
         "code_key", "text", F.explode(F.flatten(F.transform("_sizes", lambda q: F.coalesce(
             _grams(F.col("text"), q), F.array().cast("array<string>"))))).alias("_gram"))
     counts = grams.groupBy("code_key", "_gram").agg(F.count("*").alias("_df"))

@@ -134,7 +134,7 @@ def test_toggle_tier_and_entries(spark):
 
 def test_containment_of_labels(spark):
     rng = random.Random(8)
-    labels = [(c, "".join(rng.choices("12.条", k=rng.randrange(1, 9)))) for c in "ab" for _ in range(60)] + [("a", "x" * 40 + "12.1" + "y" * 1956)]
+    labels = [*{(c, "".join(rng.choices("12.条", k=rng.randrange(1, 9)))) for c in "ab" for _ in range(60)}, ("a", "x" * 40 + "12.1" + "y" * 1956)]
     parts = [(c, "".join(rng.choices("12.条", k=rng.randrange(0, 5)))) for c in "ab" for _ in range(40)] + [("a", "xy"), ("a", "2.1yy"), (None, "1")]
     got = catalog.contained(spark.createDataFrame(parts, "code_key string, part string"), spark.createDataFrame(labels, "code_key string, text string"))
     want = {(c, p, t) for c, p in parts for d, t in labels if c == d and p and p in t}
