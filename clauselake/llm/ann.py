@@ -4,15 +4,16 @@ Vectors get one more component so that all have the same length; the largest inn
 distance.  Balanced k-means on a bounded sample gives the centroids of the lists.  Every vector goes to its nearest
 centroid's list, and a vector near a border to further ones too, as long as none of the lists it has lies between.  The
 centroids are linked to near ones as a graph, and a query walks the graph from list to list, taking those whose distance
-is within a ratio of the nearest one's.  The ratio is measured on the sample so that the wanted recall is met.  Long
-lists and frequent queries are split, so no task holds more than a block of each.
+is within a ratio of the nearest one's.  The ratio, and the number of centroids from which a walk starts, are measured on
+some of the queries asked, against all vectors and through the walk itself, so that the wanted recall is met.  Long lists
+and frequent queries are split, so no task holds more than a block of each.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,14 @@ BORDER = 1.10
 DEGREE = 16
 """Links of each centroid."""
 
-RECALL = 0.97
-"""Share of the sample's true neighbours that the measured ratio must reach."""
+RECALL = 0.99
+"""Share of the true neighbours of the probes that the walks must reach."""
+
+PROBES = 256
+"""Queries whose true neighbours are looked up among all vectors to measure the ratio."""
+
+STARTS = 16
+"""Centroids from which a walk starts; four times as many, up to all, while the probes' walks miss too much."""
 
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 512
 
@@ -49,23 +56,29 @@ HELD_HITS = 1_000_000
 
 @dataclass(frozen=True)
 class Lists:
-    """Centroids, their graph, the length that all vectors are brought to, and the ratio that selects lists."""
+    """Centroids, their graph, the length of the longest vector, the ratio that selects lists, and where walks start.
+
+    Vectors are divided by that length, and everything is in doubles: crowds may be far closer than they are long.
+    """
 
     centroids: np.ndarray
     links: np.ndarray
     length: float
     ratio: float
+    starts: np.ndarray
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
-        """Vectors with the component that brings them to the common length."""
-        rest = np.sqrt(np.maximum(self.length**2 - (x.astype(np.float64) ** 2).sum(axis=1), 0.0))
-        return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
+        """Vectors with the component that brings them to length one."""
+        x = x.astype(np.float64) / self.length
+        rest = np.sqrt(np.maximum(1.0 - (x**2).sum(axis=1), 0.0))
+        return np.concatenate([x, rest[:, None]], axis=1)
 
     def aimed(self, q: np.ndarray) -> np.ndarray:
-        """Queries at the common length; their own length does not change what is nearest."""
+        """Queries at length one; their own length does not change what is nearest."""
         q = q.astype(np.float64)
-        q = q * (self.length / np.sqrt((q**2).sum(axis=1)))[:, None]
-        return np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+        q = q / np.abs(q).max(axis=1, keepdims=True)
+        q = q / np.sqrt((q**2).sum(axis=1))[:, None]
+        return np.concatenate([q, np.zeros((len(q), 1))], axis=1)
 
     def homes(self, lifted: np.ndarray) -> list[list[int]]:
         """The lists of each vector, nearest first."""
@@ -85,28 +98,28 @@ class Lists:
 
     def walk(self, query: np.ndarray, sizes: np.ndarray, least: int) -> list[int]:
         """The lists that a query is looked up in: within the ratio, and further ones until `least` vectors are there."""
-        start = 0
-        first = float(((self.centroids[start] - query) ** 2).sum())
         seen = np.zeros(len(self.centroids), bool)
-        seen[start] = True
-        todo, best, taken, held = [(first, start)], first, [], 0
+        seen[self.starts] = True
+        todo = list(zip(((self.centroids[self.starts] - query) ** 2).sum(axis=1).tolist(), self.starts.tolist()))
+        heapq.heapify(todo)
+        best, taken, held = todo[0][0], [], 0.0
         while todo:
             apart, c = heapq.heappop(todo)
             if apart > self.ratio**2 * best * 1.05 and held >= least:
                 break
             taken.append((apart, c))
             best = min(best, apart)
-            held += int(sizes[c])
+            held += sizes[c]
             fresh = self.links[c][~seen[self.links[c]]]
             seen[fresh] = True
             for d, n in zip(((self.centroids[fresh] - query) ** 2).sum(axis=1).tolist(), fresh.tolist()):
                 heapq.heappush(todo, (d, n))
-        out, held = [], 0
+        out, held = [], 0.0
         for apart, c in sorted(taken):
             if apart > self.ratio**2 * best and held >= least:
                 break
             out.append(c)
-            held += int(sizes[c])
+            held += sizes[c]
         return out
 
 
@@ -127,7 +140,7 @@ def balanced_centroids(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         sizes = np.bincount(owner, minlength=k)
         sums = np.zeros((k, x.shape[1]))
         np.add.at(sums, owner, x)
-        centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids).astype(np.float32)
+        centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids)
         weight = np.clip((sizes + 1) / (len(x) / k + 1), 0.8, 1.25) ** 0.2 * weight
     return centroids
 
@@ -150,22 +163,40 @@ def linked(centroids: np.ndarray) -> np.ndarray:
     return links
 
 
-def fit(sample: np.ndarray, length: float, n_lists: int, k: int, recall: float = RECALL) -> Lists:
-    """Lists from a sample, with the ratio that finds the wanted share of the sample's true neighbours."""
-    bare = Lists(np.zeros((1, sample.shape[1] + 1), np.float32), np.zeros((1, 1), np.int64), length, 1.0)
-    lifted = bare.lifted(sample)
-    centroids = balanced_centroids(lifted, n_lists)
-    made = Lists(centroids, linked(centroids), length, 1.0)
-    rng = np.random.default_rng(1)
-    probes = rng.choice(len(sample), min(256, len(sample)), replace=False)
-    products = sample[probes].astype(np.float64) @ sample.astype(np.float64).T
-    products[np.arange(len(probes)), probes] = -np.inf
-    near = np.argsort(-products, axis=1)[:, : min(k, max(1, len(sample) - 1))]
-    homes = {int(i): h for i, h in zip(np.unique(near), made.homes(lifted[np.unique(near)]))}
-    apart = _distances(made.aimed(sample[probes]), centroids)
-    ratios = [apart[row, homes[int(i)]].min() / max(apart[row].min(), 1e-12) for row, hits in enumerate(near) for i in hits]
-    ratio = float(np.sqrt(np.quantile(ratios, recall))) if ratios else 1.0
-    return Lists(centroids, made.links, length, max(1.0, ratio))
+def spread_out(centroids: np.ndarray, n: int) -> np.ndarray:
+    """Up to n centroids, each the farthest from those before."""
+    chosen = [0]
+    apart = ((centroids - centroids[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(n, len(centroids)):
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((centroids - centroids[chosen[-1]]) ** 2).sum(axis=1))
+        apart[chosen] = -1.0
+    return np.array(chosen)
+
+
+def fit(sample: np.ndarray, length: float, n_lists: int) -> Lists:
+    """Lists from a sample; the ratio is still to be measured."""
+    bare = Lists(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 1), np.int64), length, 1.0, np.zeros(1, np.int64))
+    centroids = balanced_centroids(bare.lifted(sample), n_lists)
+    return Lists(centroids, linked(centroids), length, 1.0, spread_out(centroids, STARTS))
+
+
+def measured(lists: Lists, queries: np.ndarray, near: list[np.ndarray], sizes: np.ndarray, least: int, recall: float) -> Lists:
+    """Lists with the ratio, and as many starts, that reach the wanted share of the queries' true neighbours (`near`)."""
+    aimed = lists.aimed(queries)
+    homes = [lists.homes(lists.lifted(vectors)) for vectors in near]
+    ratios = []
+    for row, found in zip(_distances(aimed, lists.centroids), homes):
+        ratios += [row[h].min() / max(row.min(), 1e-300) for h in found]
+    if not ratios:
+        return lists
+    out = replace(lists, ratio=max(1.0, float(np.sqrt(np.quantile(ratios, recall, method="higher"))) * (1 + 1e-9)))
+    while True:
+        walks = [set(out.walk(q, sizes, least)) for q in aimed]
+        hits = sum(not walk.isdisjoint(h) for walk, found in zip(walks, homes) for h in found)
+        if hits >= recall * len(ratios) or len(out.starts) == len(out.centroids):
+            return out
+        out = replace(out, starts=spread_out(out.centroids, 4 * len(out.starts)))
 
 
 def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
@@ -177,13 +208,18 @@ def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame
         & F.exists("v", lambda c: c != 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("vec_id", pa.int64()), ("size", pa.int32()), ("squares", pa.float64()), ("v", pa.binary())])
+        schema = pa.schema([("vec_id", pa.int64()), ("size", pa.int32()), ("norm", pa.float64()), ("v", pa.binary())])
         for batch in batches:
             arrays = [np.asarray(x, kind) for x in batch.column("v").to_pylist()]
             yield record_batch(schema, vec_id=batch.column("vec_id"), size=list(map(len, arrays)),
-                               squares=[float((a.astype("<f8") ** 2).sum()) for a in arrays], v=[a.tobytes() for a in arrays])
+                               norm=[_length(a.astype("<f8")) for a in arrays], v=[a.tobytes() for a in arrays])
+
+    return stored(rows.mapInArrow(run, "vec_id long, size int, norm double, v binary"), "ann-vectors"), kind
+
 
-    return stored(rows.mapInArrow(run, "vec_id long, size int, squares double, v binary"), "ann-vectors"), kind
+def _length(x: np.ndarray) -> float:
+    top = float(np.abs(x).max())
+    return top * float(np.sqrt(((x / top) ** 2).sum()))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind: str, dims: int) -> np.ndarray:
@@ -206,6 +242,35 @@ def _best(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tupl
     return query[place < k], vec[place < k], score[place < k]
 
 
+def _neighbours(good: DataFrame, probes: list, kind: str, dims: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The probes, and the vectors of the k true neighbours of each among all rows, by one product with every row."""
+    ids = np.array([r["vec_id"] for r in probes])
+    x = np.frombuffer(b"".join(bytes(r["v"]) for r in probes), kind).reshape(-1, dims).astype(np.float64)
+    shared = good.sparkSession.sparkContext.broadcast((ids, x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("probe", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("v", pa.binary())])
+        ids, x = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("vec_id").to_numpy()
+            products = x @ _matrix(batch.column("v"), kind, dims).astype(np.float64).T
+            products[ids[:, None] == own[None, :]] = -np.inf
+            n = min(k, len(own))
+            probe, at = np.repeat(np.arange(len(x)), n), np.argpartition(products, -n, axis=1)[:, -n:].ravel()
+            other = products[probe, at] > -np.inf
+            probe, at = probe[other], at[other]
+            yield record_batch(schema, probe=probe, vec_id=own[at], score=products[probe, at], v=batch.column("v").take(pa.array(at)))
+
+    best = Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
+    found = good.mapInArrow(run, "probe long, vec_id long, score double, v binary").withColumn(
+        "rank", F.row_number().over(best)).filter(F.col("rank") <= k).collect()
+    near = [b"".join(bytes(r["v"]) for r in rows) for rows in (
+        [r for r in found if r["probe"] == i] for i in range(len(probes)))]
+    return x, [np.frombuffer(vectors, kind).reshape(-1, dims) for vectors in near]
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20,
             recall: float = RECALL) -> DataFrame:
     """The k nearest found of each query, by inner product: query_id, rank, vec_id, score.
@@ -216,16 +281,16 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     with its best score.  If there are fewer than k candidates, all are returned; an empty table gives no rows.
     """
     packed, kind = _packed(vectors, id_col, vector_col)
-    most = packed.groupBy("size").agg(F.count("*").alias("n"), F.max("squares").alias("squares")).orderBy(
+    most = packed.groupBy("size").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy(
         F.desc("n"), F.desc("size")).first()
     answer = "query_id long, rank int, vec_id long, score double"
     if most is None:
         return vectors.sparkSession.createDataFrame([], answer)
-    dims, total, length = most["size"], most["n"], float(np.sqrt(most["squares"]))
+    dims, total, length = most["size"], most["n"], most["norm"]
     good = packed.filter(F.col("size") == dims).select("vec_id", "v")
     n_lists = max(1, min(MAX_LISTS, total // LIST_VECTORS))
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_lists * SAMPLE_PER_LIST).select("v").collect()
-    lists = fit(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), kind).reshape(-1, dims), length, n_lists, k, recall)
+    sample = good.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(n_lists * SAMPLE_PER_LIST).select("v").collect()
+    lists = fit(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), kind).reshape(-1, dims), length, n_lists)
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(lists)  # MAX_LISTS centroids at most
 
@@ -239,22 +304,30 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                                    vec_id=batch.column("vec_id").take(pa.array(rows)), v=batch.column("v").take(pa.array(rows)))
 
     postings = stored(good.mapInArrow(post, "list int, vec_id long, v binary"), "ann-postings")
-    sizes = np.zeros(len(lists.centroids), np.int64)
-    for r in postings.groupBy("list").count().collect():
-        sizes[r["list"]] = r["count"]
-    shared_sizes = spark.sparkContext.broadcast(sizes)
+    sizes, held = np.zeros(len(lists.centroids), np.int64), np.zeros(len(lists.centroids))
+    # the postings of an id count one in all, so lists that hold so much have as many ids at least
+    copies = postings.groupBy("vec_id", "list").agg(F.count("*").alias("n")).withColumn(
+        "all", F.sum("n").over(Window.partitionBy("vec_id")))
+    for r in copies.groupBy("list").agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("all")).alias("ids")).collect():
+        sizes[r["list"]], held[r["list"]] = r["n"], r["ids"]
+    least = 8 * REPLICAS * (k + 1)
+    queries = good.filter(F.col("vec_id") % every == 0)
+    probes = queries.orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(PROBES).collect()
+    if probes:
+        lists = measured(lists, *_neighbours(good, probes, kind, dims, k), held, least, recall)
+    shared_aim = spark.sparkContext.broadcast((lists, held))
 
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("v", pa.binary())])
         for batch in batches:
             if batch.num_rows:
-                aimed = shared.value.aimed(_matrix(batch.column("v"), kind, dims))
-                walks = [shared.value.walk(q, shared_sizes.value, 8 * REPLICAS * (k + 1)) for q in aimed]
+                lists, held = shared_aim.value
+                walks = [lists.walk(q, held, least) for q in lists.aimed(_matrix(batch.column("v"), kind, dims))]
                 rows = np.repeat(np.arange(batch.num_rows), [len(w) for w in walks])
                 yield record_batch(schema, list=[c for w in walks for c in w],
                                    vec_id=batch.column("vec_id").take(pa.array(rows)), v=batch.column("v").take(pa.array(rows)))
 
-    asked = stored(good.filter(F.col("vec_id") % every == 0).mapInArrow(aim, "list int, vec_id long, v binary"), "ann-queries")
+    asked = stored(queries.mapInArrow(aim, "list int, vec_id long, v binary"), "ann-queries")
     counts = np.zeros(len(sizes), np.int64)
     for r in asked.groupBy("list").count().collect():
         counts[r["list"]] = r["count"]

@@ -73,3 +73,25 @@ def test_rows_that_repeat_an_id_are_one_candidate(spark):
             best[i] = max(best.get(i, -np.inf), float(v @ query))
         wanted = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
         assert [i for i, _ in got] == [i for i, _ in wanted] and np.allclose([s for _, s in got], [s for _, s in wanted])
+
+
+@pytest.mark.parametrize("kind", ["queries apart", "crowd", "tiny"])
+def test_recall_on_other_rows(spark, monkeypatch, kind):
+    """Queries unlike the other rows, half of all rows far closer than they are long, and squares below single precision."""
+    monkeypatch.setattr(ann, "LIST_VECTORS", 40)
+    rng = np.random.default_rng(4)
+    n = 8000
+    x = rng.normal(size=(30, 8))[rng.integers(30, size=n)] + 0.05 * rng.normal(size=(n, 8))
+    if kind == "queries apart":
+        x[::40] = rng.normal(size=(n // 40, 8))
+    elif kind == "crowd":
+        x[rng.random(n) < 0.8] = x[0]
+        x += 1e-4 * rng.normal(size=x.shape)
+    else:
+        x = 1e-25 * rng.normal(size=(n, 8))
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    got: dict = {}
+    for r in ann.nearest(frame(spark, rows), k=2, every=40).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    hits = [min(2, sum(s >= near[-1][1] for s in got[q])) for q, near in brute(rows, 2, 40).items()]
+    assert sum(hits) >= 0.95 * 2 * len(hits)
