@@ -221,8 +221,13 @@ def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the given tables as a stream of files."""
-    return jobs.read_files(spark, sf, read_table(spark, sf, name).schema, f"{name}.parquet")
+    """One of the given tables, a file or a folder of files, as a stream; rows that belong together may stand in any of the
+    files, so all are one batch."""
+    table = read_table(spark, sf, name)
+    files = table.inputFiles()
+    if any(file.endswith(f"/{name}.parquet") for file in files):
+        return jobs.read_files(spark, sf, table.schema, f"{name}.parquet")
+    return jobs.read_files(spark, f"{sf}/{name}.parquet", table.schema, "*", max(1, len(files)))
 
 
 @query("stream_ingest", f"WITH {structure.MERGED} SELECT chunk_id, clause, type, text, char_count FROM md")

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from clauselake.operators import lexical, triage
 from clauselake.sources import corpus
 from clauselake.streaming import jobs
@@ -114,3 +115,17 @@ def test_ingest_skips_seen_documents_and_replaces_revised_ones(spark, tmp_path):
             assert [h.chunk_id for h in hits] == ["3#0"] and index.corpus.first().n_docs == 3
     assert taken == [[1, 2], [1, 3], [3]]
     assert now == {("1#0", "a b"), ("2#0", "same text")}
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    """A folder of more files than a batch takes by default, a conversation's turns dealt over them."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"c{c} t{t}") for c in range(3) for t in range(30)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(80, "conv_id", "turn").write.option(
+        "maxRecordsPerFile", 1).parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in entry.queries()["stream_history"](spark, str(tmp_path)).collect()}
+    want = set()
+    for c in range(3):
+        for t in range(1, 30, 2):
+            lines = [f"{'用户' if p % 2 else '助手'}：c{c} t{p}" for p in range(max(0, t - triage.HISTORY_TURNS), t)]
+            want.add((c, t, len(lines), "\n".join(lines)))
+    assert got == want
