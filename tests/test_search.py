@@ -249,3 +249,20 @@ def test_neighbours_closer_than_a_rounded_score_rank_by_their_score(spark):
     queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>")
     hits = dense.nearest(corpus, queries, 4).orderBy("rank").collect()
     assert [h.vec_id for h in hits] == [4, 2, 1, 3] and hits[2].score == hits[3].score and 0 < hits[0].score - hits[1].score < 1e-8
+
+
+def test_buckets_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """More text is more buckets, so a task sorts and sums no more of it; the bounds are those of all postings."""
+    monkeypatch.setattr(lexical, "BUCKET_CHARS", 1000)
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} both " * 10) for i in range(200)], "doc_id long, text string")
+    index = lexical.write_index(docs, str(tmp_path / "index"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0]
+    assert index.corpus.first()["n_buckets"] == -(-chars // 1000)
+    assert index.postings.groupBy("doc_id", "term").count().count() == index.postings.count() == index.terms.agg(F.sum("df")).first()[0]
+    plain = lexical.build_index(docs)
+    avgdl = index.corpus.first()["avgdl"]
+    want = plain.postings.groupBy("term", lexical.length_block(F.col("dl")).alias("block")).agg(
+        F.count("*").alias("n"), F.max(lexical.share(F.lit(avgdl))).alias("top"))
+    assert sorted(map(tuple, index.bounds.collect())) == sorted(map(tuple, want.collect()))
+    queries = spark.createDataFrame([(1, "w1 both"), (2, "w2 w5")], "query_id long, text string")
+    assert sorted(map(tuple, lexical.bm25_top(index, queries, 5).collect())) == sorted(map(tuple, lexical.bm25_top(plain, queries, 5).collect()))
