@@ -72,7 +72,8 @@ def nearest(
         .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
         .select("part", "cell", F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
     )
-    pairs = left.join(F.broadcast(right) if small else right, ["part", "cell"]).select("ids", "mat", "qids", "qmat")
+    # Spark sizes the blocks by their scan, far too low, and would broadcast them
+    pairs = left.join(F.broadcast(right) if small else right.hint("merge"), ["part", "cell"]).select("ids", "mat", "qids", "qmat")
     id_type = corpus.schema[corpus_id].dataType.simpleString()
     qid_type = queries.schema[query_id].dataType.simpleString()
 
