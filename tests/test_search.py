@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import cjk_tokens, norm_code
-from clauselake.operators import containment, dense, fusion, lexical, scale
+from clauselake.operators import containment, cosine, dense, fusion, lexical, scale
 
 DOCS = [(1, "cat dog cat"), (2, "cat bird"), (3, "cat dog fish"), (4, "cat"), (5, "sun"), (6, "!!")]
 
@@ -266,3 +266,28 @@ def test_buckets_grow_with_the_texts(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, index.bounds.collect())) == sorted(map(tuple, want.collect()))
     queries = spark.createDataFrame([(1, "w1 both"), (2, "w2 w5")], "query_id long, text string")
     assert sorted(map(tuple, lexical.bm25_top(index, queries, 5).collect())) == sorted(map(tuple, lexical.bm25_top(plain, queries, 5).collect()))
+
+
+@pytest.mark.parametrize("tiers", [(0.016, 2000), (0.05, 3), (2.0, 0), (0.0, 0)])
+def test_best_by_cosine_without_a_row_per_pair(spark, tmp_path, monkeypatch, tiers):
+    """Same rows as from scores of all pairs: many copies, a word in nearly all texts, repeated words, ids that are texts, no hits."""
+    for name, value in zip(("DENSE", "LOOPED"), tiers):
+        monkeypatch.setattr(cosine, name, value)
+    for name, value in (("QUERIES", 16), ("DOCS", 32), ("GROUP_QUERIES", 40), ("PART_POSTINGS", 500)):
+        monkeypatch.setattr(cosine, name, value)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(["all", *rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.choice([1, 6, 30]))]) for _ in range(150)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate([*texts, *[texts[0]] * 90, "", None, "none"])], "doc_id string, text string")
+    asked = [(i, j, " ".join(rng.choices([*words, "all", "absent"], k=rng.choice([1, 3, 9])))) for i in range(30) for j in (1, 2)]
+    queries = spark.createDataFrame([*asked, (70, 1, "absent"), (71, 1, ""), (72, 1, None), (73, 1, texts[0])], "query_id long, sub_no int, text string")
+    keys = ("query_id", "sub_no")
+    index = lexical.write_index(docs, str(tmp_path / "index"), n_buckets=3)
+    columns = [*keys, "doc_id", "score", "overlap", "rank"]
+    want = lexical.ranked(lexical.pair_scores(index, queries, keys), "cosine", 7, keys).select(columns)
+    got = cosine.cosine_top(index, queries, 7, keys).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 300
+    # a search of sub-queries makes no row per pair
+    monkeypatch.setattr(fusion, "pair_scores", None)
+    facts = docs.select("doc_id", F.lit("c").alias("code"), F.lit("1").alias("clause"))
+    assert fusion.decomposed(index, queries, facts).count() > 0
