@@ -5,8 +5,8 @@ distance.  Balanced k-means on a bounded sample gives the centroids of the lists
 centroid's list, and a vector near a border to further ones too, as long as none of the lists it has lies between.  The
 centroids are linked to near ones as a graph, and a query walks the graph from list to list, taking those whose distance
 is within a ratio of the nearest one's.  The ratio, and the number of centroids from which a walk starts, are measured on
-some of the queries asked, against all vectors and through the walk itself, so that the wanted recall is met.  Long lists
-and frequent queries are split, so no task holds more than a block of each.
+some of the queries asked, against all vectors and through the walk itself, so that the wanted recall is met.  A task holds a
+block of queries, each with a bit for every list it is looked up in, and streams lists past them; long lists are split.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import grouped, record_batch, stored
+from clauselake.llm.common import record_batch, stored
 
 LIST_VECTORS = 256
 """Vectors that a posting list is planned for."""
@@ -48,11 +48,24 @@ PROBES = 256
 STARTS = 16
 """Centroids from which a walk starts; four times as many, up to all, while the probes' walks miss too much."""
 
-BLOCK_VECTORS, BLOCK_QUERIES = 4096, 512
+BLOCK_QUERIES, QUERY_BYTES = 1 << 15, 16 << 20
+"""Queries, and their bytes as doubles, that one task holds with the best found for each; more are dealt to several blocks."""
+
+BLOCK_VECTORS = 4096
+"""Vectors of a list that meet the queries at a time."""
+
+PRODUCTS = 1 << 21
+"""Products of queries and vectors that a task has at a time."""
 
 HELD_HITS = 1_000_000
 """Hits that a task holds before it cuts them to the best of each query."""
 
+HELD_ROWS = 1 << 16
+"""Hits whose scores are summed at a time."""
+
+WALKED = 512
+"""Queries whose walks are taken together."""
+
 
 @dataclass(frozen=True)
 class Lists:
@@ -85,7 +98,7 @@ class Lists:
         out = []
         for part in range(0, len(lifted), 1024):
             apart = _distances(lifted[part: part + 1024], self.centroids)
-            near = np.argsort(apart, axis=1, kind="stable")[:, :REPLICAS]
+            near = _least(apart, REPLICAS)
             for row, order in zip(apart, near.tolist()):
                 chosen = order[:1]
                 for c in order[1:]:
@@ -96,6 +109,34 @@ class Lists:
                 out.append(chosen)
         return out
 
+    def walks(self, aimed: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Whether a query (row) is looked up in a list (column): the walks of many queries, taken in step.
+
+        All walks go on from the centroids they have reached within the ratio, a link at a time; what a walk takes does not depend
+        on the others.  Walks that hold less than `least` vectors are taken one by one.
+        """
+        out = np.zeros((len(aimed), len(self.centroids)), bool)
+        for part in range(0, len(aimed), WALKED):
+            some = aimed[part: part + WALKED]
+            apart = _distances(some, self.centroids)
+            seen, taken = np.zeros(apart.shape, bool), np.zeros(apart.shape, bool)
+            seen[:, self.starts] = True
+            best = apart[:, self.starts].min(axis=1)
+            while True:
+                query, at = np.nonzero(seen & ~taken & (apart <= (self.ratio**2 * 1.05 * best)[:, None]))
+                if not len(query):
+                    break
+                taken[query, at] = True
+                np.minimum.at(best, query, apart[query, at])
+                for link in self.links.T:
+                    seen[query, link[at]] = True
+            taken &= apart <= (self.ratio**2 * best)[:, None]
+            for i in np.flatnonzero(taken @ sizes < least):
+                taken[i] = False
+                taken[i, self.walk(some[i], sizes, least)] = True
+            out[part: part + WALKED] = taken
+        return out
+
     def walk(self, query: np.ndarray, sizes: np.ndarray, least: int) -> list[int]:
         """The lists that a query is looked up in: within the ratio, and further ones until `least` vectors are there."""
         seen = np.zeros(len(self.centroids), bool)
@@ -123,6 +164,15 @@ class Lists:
         return out
 
 
+def _least(apart: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n least of each row, the least first."""
+    if n < apart.shape[1]:
+        near = np.sort(np.argpartition(apart, n - 1, axis=1)[:, :n], axis=1)
+    else:
+        near = np.broadcast_to(np.arange(apart.shape[1]), apart.shape)
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(apart, near, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)[None, :], 0.0)
 
@@ -136,7 +186,7 @@ def balanced_centroids(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     weight = np.ones(k)
     for _ in range(STEPS):
         owner = np.concatenate([
-            (_distances(x[i: i + 2048], centroids) * weight[None, :]).argmin(axis=1) for i in range(0, len(x), 2048)])
+            (_distances(x[i: i + 512], centroids) * weight[None, :]).argmin(axis=1) for i in range(0, len(x), 512)])
         sizes = np.bincount(owner, minlength=k)
         sums = np.zeros((k, x.shape[1]))
         np.add.at(sums, owner, x)
@@ -192,8 +242,8 @@ def measured(lists: Lists, queries: np.ndarray, near: list[np.ndarray], sizes: n
         return lists
     out = replace(lists, ratio=max(1.0, float(np.sqrt(np.quantile(ratios, recall, method="higher"))) * (1 + 1e-9)))
     while True:
-        walks = [set(out.walk(q, sizes, least)) for q in aimed]
-        hits = sum(not walk.isdisjoint(h) for walk, found in zip(walks, homes) for h in found)
+        walks = out.walks(aimed, sizes, least)
+        hits = sum(bool(walk[h].any()) for walk, found in zip(walks, homes) for h in found)
         if hits >= recall * len(ratios) or len(out.starts) == len(out.centroids):
             return out
         out = replace(out, starts=spread_out(out.centroids, 4 * len(out.starts)))
@@ -271,6 +321,16 @@ def _neighbours(good: DataFrame, probes: list, kind: str, dims: int, k: int) ->
     return x, [np.frombuffer(vectors, kind).reshape(-1, dims) for vectors in near]
 
 
+def _sampled(good: DataFrame, n: int, total: int, kind: str, dims: int) -> np.ndarray:
+    """The n vectors of least hash; rows whose hash is far too high for that are not ordered."""
+    own = F.xxhash64("vec_id", "v")
+    likely = 1.05 * n + 1000
+    if likely < total:
+        low = good.filter(own <= F.lit(int((likely / total - 0.5) * 2.0**64)))
+        good = low if low.count() >= n else good
+    return _matrix(good.orderBy(own, "vec_id").limit(n).select("v").toArrow().column("v"), kind, dims)
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20,
             recall: float = RECALL) -> DataFrame:
     """The k nearest found of each query, by inner product: query_id, rank, vec_id, score.
@@ -289,8 +349,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     dims, total, length = most["size"], most["n"], most["norm"]
     good = packed.filter(F.col("size") == dims).select("vec_id", "v")
     n_lists = max(1, min(MAX_LISTS, total // LIST_VECTORS))
-    sample = good.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(n_lists * SAMPLE_PER_LIST).select("v").collect()
-    lists = fit(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), kind).reshape(-1, dims), length, n_lists)
+    lists = fit(_sampled(good, n_lists * SAMPLE_PER_LIST, total, kind, dims), length, n_lists)
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(lists)  # MAX_LISTS centroids at most
 
@@ -317,70 +376,165 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         lists = measured(lists, *_neighbours(good, probes, kind, dims, k), held, least, recall)
     shared_aim = spark.sparkContext.broadcast((lists, held))
 
+    n_lists = len(lists.centroids)
+
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("v", pa.binary())])
+        schema = pa.schema([("vec_id", pa.int64()), ("v", pa.binary()), ("walk", pa.binary())])
         for batch in batches:
             if batch.num_rows:
                 lists, held = shared_aim.value
-                walks = [lists.walk(q, held, least) for q in lists.aimed(_matrix(batch.column("v"), kind, dims))]
-                rows = np.repeat(np.arange(batch.num_rows), [len(w) for w in walks])
-                yield record_batch(schema, list=[c for w in walks for c in w],
-                                   vec_id=batch.column("vec_id").take(pa.array(rows)), v=batch.column("v").take(pa.array(rows)))
+                walks = np.packbits(lists.walks(lists.aimed(_matrix(batch.column("v"), kind, dims)), held, least), axis=1)
+                yield record_batch(schema, vec_id=batch.column("vec_id"), v=batch.column("v"), walk=[w.tobytes() for w in walks])
 
-    asked = stored(queries.mapInArrow(aim, "list int, vec_id long, v binary"), "ann-queries")
-    counts = np.zeros(len(sizes), np.int64)
-    for r in asked.groupBy("list").count().collect():
-        counts[r["list"]] = r["count"]
-    blocks = spark.createDataFrame(
-        [(i, max(1, -(-int(s) // BLOCK_VECTORS)), max(1, -(-int(c) // BLOCK_QUERIES)))
-         for i, (s, c) in enumerate(zip(sizes, counts)) if s and c], "list int, vs int, qs int")
-    mine = F.xxhash64("vec_id")
-
-    def spread(rows: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
-        numbered = rows.join(F.broadcast(blocks), "list").withColumn("own", F.pmod(mine, F.col(own)).cast("int")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        pair = ["other", "own"] if is_query else ["own", "other"]
-        return numbered.select("list", F.col(pair[0]).alias("vb"), F.col(pair[1]).alias("qb"),
-                               F.lit(is_query).alias("is_query"), "vec_id", "v")
-
-    met = spread(postings, "vs", "qs", False).unionByName(spread(asked, "qs", "vs", True))
-    dealt = met.repartition("list", "vb", "qb").sortWithinPartitions("list", "vb", "qb")
+    # a bit for each list: a row for each list of a query would grow with the square of the vectors
+    asked = stored(queries.dropDuplicates(["vec_id", "v"]).mapInArrow(aim, "vec_id long, v binary, walk binary"), "ann-queries")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, counts = 0, np.zeros(n_lists, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, WALKED):
+                counts += _bits(batch.column("walk").slice(at, WALKED), n_lists).sum(axis=0)
+            n += batch.num_rows
+        yield record_batch(pa.schema([("list", pa.int32()), ("n", pa.int64())]), list=[-1, *range(n_lists)], n=[n, *counts])
+
+    counts = np.zeros(n_lists + 1, np.int64)
+    for r in asked.mapInArrow(count, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():
+        counts[r["list"]] = r["n"]  # the queries themselves at the end
+    blocks = max(1, -(-int(counts[-1]) // max(1, min(BLOCK_QUERIES, QUERY_BYTES // (8 * dims)))))
+    groups = spark.sparkContext.defaultParallelism
+    dealt_to = _dealt(sizes * counts[:-1], groups)
+    members = [np.array(sorted({c for c, to in dealt_to.items() if g in to}), np.int64) for g in range(groups)]
+    shared_members = spark.sparkContext.broadcast(members)
+    met = "cell int, list int, vec_id long, v binary, walk binary"
+    # a long list is dealt to several groups
+    own = F.xxhash64("vec_id", "v")
+    to = spark.createDataFrame([(c, to) for c, to in dealt_to.items()], "list int, groups array<int>")
+    placed = postings.join(F.broadcast(to), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        (F.col("block") * groups + F.get("groups", F.pmod(own, F.size("groups")).cast("int"))).cast("int").alias("cell"),
+        "list", "vec_id", "v", F.lit(None).cast("binary").alias("walk"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("cell", pa.int32()), ("list", pa.int32()), ("vec_id", pa.int64()), ("v", pa.binary()), ("walk", pa.binary())])
+        for batch in batches:
+            for at in range(0, batch.num_rows, WALKED):
+                some = batch.slice(at, WALKED)
+                walks, block = _bits(some.column("walk"), n_lists), some.column("block").to_numpy()
+                for g, lists in enumerate(shared_members.value):
+                    mine = walks[:, lists]
+                    rows = np.flatnonzero(mine.any(axis=1))
+                    if len(rows):
+                        yield record_batch(
+                            schema, cell=block[rows] * groups + g, list=np.full(len(rows), -1),
+                            vec_id=some.column("vec_id").take(pa.array(rows)), v=some.column("v").take(pa.array(rows)),
+                            walk=[w.tobytes() for w in np.packbits(mine[rows], axis=1)])
+
+    placed = placed.unionByName(asked.withColumn("block", F.pmod(own, F.lit(blocks)).cast("int")).mapInArrow(ask, met))
+    # all queries of a cell come before its lists
+    streams = placed.repartitionById(blocks * groups, F.col("cell")).sortWithinPartitions("cell", "list")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-        for group in grouped(batches, ["list", "vb", "qb"]):
-            is_query = group.column("is_query").to_numpy()
-            if not is_query.any() or is_query.all():
-                continue
-            ids = group.column("vec_id").to_numpy()
-            matrix = _matrix(group.column("v"), kind, dims).astype(np.float64)
-            own, x, queries = ids[~is_query], matrix[~is_query], matrix[is_query]
-            products = queries @ x.T
-            by_id = np.argsort(own, kind="stable")
-            heads = np.flatnonzero(np.append(True, np.diff(own[by_id]) != 0))
-            for query_id, q, row in zip(ids[is_query], queries, products):
-                row[own == query_id] = -np.inf
-                best = np.maximum.reduceat(row[by_id], heads)  # rows of one id are one candidate
-                cut = np.partition(best, -min(k, len(best)))[-min(k, len(best))]
-                near = np.flatnonzero((row >= cut - 1e-9 * max(1.0, abs(cut))) & (row > -np.inf))
-                scores = (x[near] * q).sum(axis=1)  # the same sum for equal vectors, so ties are ties
-                order = np.lexsort((own[near], -scores))
-                order = order[np.sort(np.unique(own[near][order], return_index=True)[1])[:k]]
-                held.append((np.full(len(order), query_id), own[near][order], scores[order]))
-                size += len(order)
-            if size > HELD_HITS:
-                held = [_best(held, k)]
-                size = len(held[0][0])
-                if 2 * size > HELD_HITS:  # many queries: these go on, and the merge after the exchange cuts again
-                    yield record_batch(schema, **dict(zip(("query_id", "vec_id", "score"), held[0])))
-                    held, size = [], 0
-        if held:
-            yield record_batch(schema, **dict(zip(("query_id", "vec_id", "score"), _best(held, k))))
-
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(
-        F.max("score").alias("score"))
+        cell, asked, best = None, [], None
+        for batch in batches:
+            at, of = batch.column("cell").to_numpy(), batch.column("list").to_numpy()
+            cuts = np.flatnonzero((at[1:] != at[:-1]) | (of[1:] != of[:-1])) + 1
+            cuts = np.union1d(cuts, np.arange(0, batch.num_rows, BLOCK_VECTORS)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                if at[a] != cell:
+                    if best is not None:
+                        yield record_batch(schema, **best.rows())
+                    cell, asked, best = at[a], [], None
+                some = batch.slice(a, b - a)
+                if of[a] < 0:
+                    asked.append(some)
+                elif asked:
+                    best = best or _Best(pa.Table.from_batches(asked), shared_members.value[cell % groups], kind, dims, k)
+                    best.meet(of[a], some.column("vec_id").to_numpy(), _matrix(some.column("v"), kind, dims).astype(np.float64))
+        if best is not None:
+            yield record_batch(schema, **best.rows())
+
+    # dealt by query once, for both the rows of an id and the ranks
+    found = streams.mapInArrow(search, "query_id long, vec_id long, score double").repartition("query_id").groupBy(
+        "query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
+
+
+def _bits(column: pa.Array, n: int) -> np.ndarray:
+    """Rows of packed bits as a matrix of n columns."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(packed, axis=1, count=n).view(bool)
+
+
+def _dealt(load: np.ndarray, groups: int) -> dict[int, list[int]]:
+    """The groups of each list that is looked up: the heaviest first to the lightest group; one over the mean is dealt to several."""
+    share = max(1.0, load.sum() / groups)
+    pieces = sorted(((load[c] / n, int(c)) for c in np.flatnonzero(load) for n in [min(groups, int(-(-load[c] // share)))]
+                     for _ in range(n)), key=lambda x: (-x[0], x[1]))
+    heap, out = [(0.0, g) for g in range(groups)], {}
+    for size, c in pieces:
+        done, g = heapq.heappop(heap)
+        out.setdefault(c, []).append(g)
+        heapq.heappush(heap, (done + size, g))
+    return out
+
+
+class _Best:
+    """The queries of a cell, and the best vectors so far of each."""
+
+    def __init__(self, asked: pa.Table, lists: np.ndarray, kind: str, dims: int, k: int):
+        self.k, self.ids = k, asked.column("vec_id").to_numpy()
+        self.x = _matrix(asked.column("v"), kind, dims).astype(np.float64)
+        self.walks = np.frombuffer(b"".join(asked.column("walk").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.place = {int(c): i for i, c in enumerate(lists)}
+        self.floor = np.full(len(self.ids), -np.inf)
+        self.held, self.size, self.kept = [], 0, 0
+
+    def meet(self, c: int, own: np.ndarray, x: np.ndarray) -> None:
+        """Vectors of a list against the queries that look into it."""
+        at = self.place[int(c)]
+        queries = np.flatnonzero(self.walks[:, at >> 3] & (128 >> (at & 7)))
+        by_id = np.argsort(own, kind="stable")
+        own, x = own[by_id], x[by_id]
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        step = max(1, PRODUCTS // len(own))
+        for start in range(0, len(queries), step):
+            self._meet(queries[start: start + step], own, x, heads)
+
+    def _meet(self, queries: np.ndarray, own: np.ndarray, x: np.ndarray, heads: np.ndarray) -> None:
+        products = self.x[queries] @ x.T
+        floor = self.floor[queries]
+        near = products >= (floor - 1e-9 * np.maximum(1.0, np.abs(floor)))[:, None]
+        low = np.searchsorted(own, self.ids[queries])
+        for i in np.flatnonzero(own[np.minimum(low, len(own) - 1)] == self.ids[queries]):
+            same = slice(low[i], np.searchsorted(own, self.ids[queries[i]], "right"))
+            products[i, same], near[i, same] = -np.inf, False
+        many = np.flatnonzero(near.sum(axis=1) > 2 * self.k)
+        if len(many) and len(heads) > self.k:
+            each = products[many] if len(heads) == len(own) else np.maximum.reduceat(products[many], heads, axis=1)  # rows of one id are one candidate
+            cut = np.partition(each, each.shape[1] - self.k, axis=1)[:, each.shape[1] - self.k]
+            near[many] &= products[many] >= (cut - 1e-9 * np.maximum(1.0, np.abs(cut)))[:, None]
+        i, j = np.nonzero(near)
+        for a in range(0, len(i), HELD_ROWS):
+            row, col = queries[i[a: a + HELD_ROWS]], j[a: a + HELD_ROWS]
+            scores = (x[col] * self.x[row]).sum(axis=1)  # the same sum for equal vectors, so ties are ties
+            self.held.append((row, own[col], scores))
+            self.size += len(row)
+            if self.size > self.kept + HELD_HITS:
+                self._cut()
+
+    def _cut(self) -> None:
+        query, vec, score = best = _best(self.held, self.k)
+        self.held, self.size, self.kept = [best], len(query), len(query)
+        ends = np.searchsorted(query, np.arange(len(self.ids)), "right")
+        full = np.flatnonzero(np.diff(ends, prepend=0) == self.k)
+        self.floor[full] = score[ends[full] - 1]
+
+    def rows(self) -> dict[str, np.ndarray]:
+        """The best vectors of each query."""
+        if not self.held:
+            return {"query_id": [], "vec_id": [], "score": []}
+        self._cut()
+        query, vec, score = self.held[0]
+        return {"query_id": self.ids[query], "vec_id": vec, "score": score}

@@ -95,3 +95,27 @@ def test_recall_on_other_rows(spark, monkeypatch, kind):
         got.setdefault(r.query_id, []).append(r.score)
     hits = [min(2, sum(s >= near[-1][1] for s in got[q])) for q, near in brute(rows, 2, 40).items()]
     assert sum(hits) >= 0.95 * 2 * len(hits)
+
+
+def test_a_query_is_one_row_however_many_lists_it_looks_into(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_VECTORS", 20)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(rng.normal(size=(3000, 8)))]
+    kept, stored = {}, ann.stored
+    monkeypatch.setattr(ann, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    assert ann.nearest(frame(spark, rows)).count() == 150 * 20
+    assert kept["ann-queries"].count() == 150
+
+
+def test_walks_in_step_are_the_walks_one_by_one():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 8))
+    lists = ann.fit(x, float(np.sqrt((x**2).sum(axis=1)).max()), 60)
+    sizes = rng.integers(1, 40, len(lists.centroids)).astype(float)
+    aimed = lists.aimed(rng.normal(size=(ann.WALKED + 40, 8)))
+    for ratio in (1.0, 1.1, 1.5):
+        for least in (0, 100):
+            some = ann.replace(lists, ratio=ratio)
+            one_by_one = [sorted(set(some.walk(q, sizes, least))) for q in aimed]
+            in_step = [np.flatnonzero(w).tolist() for w in some.walks(aimed, sizes, least)]
+            assert sum(a == b for a, b in zip(one_by_one, in_step)) >= 0.97 * len(aimed)
