@@ -291,3 +291,46 @@ def test_best_by_cosine_without_a_row_per_pair(spark, tmp_path, monkeypatch, tie
     monkeypatch.setattr(fusion, "pair_scores", None)
     facts = docs.select("doc_id", F.lit("c").alias("code"), F.lit("1").alias("clause"))
     assert fusion.decomposed(index, queries, facts).count() > 0
+
+
+@pytest.mark.parametrize("bits", [3, 9])  # buckets that overlap so much that all pairs are fewer products, and small ones
+def test_lsh_finds_the_best_that_share_a_bucket(spark, monkeypatch, bits):
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(dense, "PART_BYTES", 9000)
+    monkeypatch.setattr(dense, "PRODUCTS", 900)
+    monkeypatch.setattr(dense, "CHECKED", 70)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x[::9], x[5] = x[7], 0.0  # a crowd of equal vectors, and one without direction
+    ids = np.arange(400) // np.where(np.arange(400) < 40, 2, 1)  # some ids have two rows
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(3)
+    kept = []
+    corpus = dense.blocks(df, store=lambda packs: kept.append(packs.cache()) or kept[0])
+    hits = dense.lsh_nearest(corpus, corpus.named("query_id"), 4, tables=3, bits=bits, probes=2)
+    got: dict = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hashing = dense.Hashing(3, bits, 2)
+    share = (hashing.buckets(x.astype(float), 2)[:, None] == hashing.buckets(x.astype(float), 1)[None]).any(axis=(2, 3))
+    unit = dense._unit(x.astype(float))
+    wanted: dict = {}
+    for q, v in zip(*np.nonzero(share)):
+        own = wanted.setdefault(int(ids[q]), {})
+        own[int(ids[v])] = max(own.get(int(ids[v]), -2.0), float((unit[q] * unit[v]).sum()))
+    assert got == {q: sorted(own.items(), key=lambda h: (-h[1], h[0]))[:4] for q, own in wanted.items()}
+    assert dense.lsh_nearest(df.limit(0), df.limit(0).withColumnRenamed("vec_id", "query_id"), 4).collect() == []
+
+
+def test_lsh_moves_no_copies_of_vectors(spark):
+    """Each vector was copied for each table, probe and cell, and moved with its copies."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(200, 8)))], "vec_id long, embedding array<float>")
+    plan = dense.lsh_nearest(df.repartition(4), df.repartition(4).withColumnRenamed("vec_id", "query_id"), 4)._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "CartesianProduct" in below and not any(join in below for join in ("SortMergeJoin", "Generate", "MapInPandas"))
+
+
+def test_blocks_refuse_vectors_of_several_lengths(spark):
+    df = spark.createDataFrame([(i, [1.0] * (i % 3 + 1)) for i in range(40)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="one length"):
+        dense.blocks(df).frame.collect()
