@@ -334,3 +334,62 @@ def test_blocks_refuse_vectors_of_several_lengths(spark):
     df = spark.createDataFrame([(i, [1.0] * (i % 3 + 1)) for i in range(40)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="one length"):
         dense.blocks(df).frame.collect()
+
+
+@pytest.mark.parametrize("table", [1 << 23, 0])
+def test_best_paths_without_a_row_per_pair(spark, tmp_path, monkeypatch, table):
+    """Same rows as from scores of all pairs: copies, repeated words, variants without an original wording, ids that are texts, no hits."""
+    for name, value in (("QUERIES", 16), ("DOCS", 32), ("TABLE", table)):
+        monkeypatch.setattr(cosine, name, value)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.choice([1, 6, 30]))) for _ in range(150)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate([*texts, *[texts[0]] * 90, "", None, *["other"] * 300])], "doc_id string, text string")
+    asked = [(f"q{i}", j, " ".join(rng.choices([*words, "absent"], k=rng.choice([1, 3, 9])))) for i in range(30) for j in range(i % 2, 3)]
+    variants = spark.createDataFrame([*asked, ("x", 0, "absent"), ("y", 0, ""), ("z", 0, None), ("z", 1, texts[0])], "query_id string, variant_no int, text string")
+    index = lexical.write_index(docs, str(tmp_path / "index"), n_buckets=3)
+    scores = lexical.pair_scores(index, variants, ("query_id", "variant_no"))
+    for vector in (True, False):
+        want = fusion.search_paths(scores, 7, vector=vector)
+        got = cosine.best_paths(index, variants, 7, vector=vector)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert cosine.best_paths(index, variants.filter("query_id = 'x'"), 7).collect() == []
+    # a hybrid search makes no row per pair
+    monkeypatch.setattr(fusion, "pair_scores", None)
+    assert fusion.hybrid_stages(index, variants, docs.select("doc_id", F.lit("c").alias("code")))["reranked"].count() > 0
+
+
+def test_pairs_of_ideographs_by_hand(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("标准规aB９é 　。,-〇𠀀", k=rng.randrange(0, 14))) for _ in range(600)]
+
+    def by_hand(text: str, punctuation: bool) -> list[str]:
+        out, run = [], ""
+        kinds = ["c" if "一" <= x <= "鿿" else "w" if x.isalnum() else "s" if x.isspace() else "p" for x in text]
+        for i, (x, kind) in enumerate(zip(text.lower(), kinds)):
+            run = run + x if i and kinds[i - 1] == kind else x
+            if kind in "cw" and (i + 1 == len(text) or kinds[i + 1] != kind):
+                out += [run] if kind == "w" or len(run) == 1 else [run[j: j + 2] for j in range(len(run) - 1)]
+            if kind == "p" and punctuation:
+                out.append(x)
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", cjk_tokens(F.col("text")).alias("all"), cjk_tokens(F.col("text"), False).alias("words")).collect():
+        assert r["all"] == by_hand(r["text"], True) and r["words"] == by_hand(r["text"], False)
+
+
+def test_prefix_of_texts_with_many_blanks(spark):
+    texts = ["", "a b", " " * 500 + "x" * 300, "ab " * 90, "a " * 150 + "b" * 200, "c" * 1000]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    assert [r.k for r in df.select(lexical.prefix_key(F.col("text")).alias("k")).collect()] == [
+        "".join((t or "").split())[:200] for t in [*texts, None]]
+
+
+def test_words_counted_by_grouping(spark):
+    rows = [(1, "cat dog cat"), (1, "cat 标准规范标准"), (2, ""), (3, None), (None, "sun sun"), (4, "!!"), *[(5, "a b a")] * 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    inside, grouped = (f(docs, ["doc_id"], "text") for f in (lexical.term_counts, lexical.grouped_counts))
+    assert grouped.columns == inside.columns and sorted(map(str, grouped.collect())) == sorted(map(str, inside.collect()))
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1  # texts are dealt once, words are not
