@@ -393,3 +393,18 @@ def test_words_counted_by_grouping(spark):
     assert grouped.columns == inside.columns and sorted(map(str, grouped.collect())) == sorted(map(str, inside.collect()))
     plan = grouped._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange") == 1  # texts are dealt once, words are not
+
+
+def test_scores_closer_than_the_matrix_tells_rank_by_their_sums(spark, tmp_path):
+    """The matrix of scores is in single precision; documents whose cosines differ by less are ranked by the sums in doubles."""
+    texts = ["a " * (3000 + i) + "b " * 3000 + "c " * (3000 - i % 3) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame([(1, 1, "a b c"), (2, 1, "a a b"), (3, 1, "c")], "query_id long, sub_no int, text string")
+    index, keys, columns = lexical.write_index(docs, str(tmp_path / "index")), ("query_id", "sub_no"), ["query_id", "doc_id", "score", "rank"]
+    want = lexical.ranked(lexical.pair_scores(index, queries, keys), "cosine", 5, keys).select(columns).collect()
+    assert sorted(map(tuple, cosine.cosine_top(index, queries, 5, keys).select(columns).collect())) == sorted(map(tuple, want))
+    scores = sorted(r.score for r in want if r.query_id == 1)
+    assert 0 < scores[-1] - scores[0] < 1e-6
+    one = np.zeros(1, "int64")
+    block = cosine._Block(5, cosine.pa.RecordBatch.from_pydict({"n_words": [1]}), one, one, np.ones(1), np.ones(1))
+    assert block._matrix(1, one, one, np.ones(1)).itemsize == 4
